@@ -1,80 +1,106 @@
-"""Token ids by a public tokenizer file, memoised per word where the file allows it."""
+"""Token ids by a public tokenizer file, memoised per unit where the file allows it."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_LOADED: dict[str, WordMemoTokenizer] = {}
+#: Characters that are their own NFC form, and whose lower case and class are beyond doubt.
+LATIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u024f]*").fullmatch
 
+_LOADED: dict[str, MemoTokenizer] = {}
 
-class WordMemoTokenizer:
+
+class MemoTokenizer:
     """Encodes whole UTF-8 texts with the ``tokenizers`` library.
 
-    A tokenizer that drops white space and never merges across it gives the same ids for a text
-    as for its words one after another. Where a probe shows this, words are encoded once, joined
-    by a special token that tells their ids apart, and then looked up. Other tokenizers, and words
-    that hold the special token itself, are encoded as they are.
+    Some files drop white space, cut texts into units by a pattern, and mark the end of each unit. There the
+    ids of a text are those of its units one after another, so that a unit is encoded once, many together, and
+    then looked up; so are words, runs without white space, of which most come again. Texts with other characters than printable Latin ones and ASCII white space, or with a special
+    token, and all texts of other files are encoded as they are.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_held: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
-        self.max_words = max_words
-        specials = sorted(i for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
-        self.sep_id = specials[0] if specials else None
-        self.sep = self.tok.id_to_token(self.sep_id) if specials else None
-        probes = ["a", "don't!?", "12 7", "É", "x́y"]
-        joined = [self._plain(" \n\t".join(probes)), b"".join(self._plain(p) for p in probes), self._plain("\x0b".join(probes)), self._plain("\r\x0c".join(probes))]
-        self.by_word = bool(specials) and len(set(joined)) == 1
+        self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.max_held = max_held
+        pattern = self._unit_pattern(path)
+        self.by_unit = pattern is not None
+        if self.by_unit:
+            self.find_units = regex.compile(rf"{pattern}|\n").findall
+            self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)").search
+            self.ends_unit = np.zeros(self.tok.get_vocab_size(), bool)
+            self.ends_unit[[i for token, i in self.tok.get_vocab().items() if token.endswith(self.suffix)]] = True
+
+    def _unit_pattern(self, path: str) -> str | None:
+        """The pattern of units, if the file works as the memo needs it."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps = [n["type"] for n in normal.get("normalizers", [])]
+        split = (pre.get("pretokenizers") or [{}])[0]
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        if self.suffix and steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed":
+            return split["pattern"].get("Regex")
+        return None
 
     def _plain(self, text: str) -> bytes:
-        return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        sep = self.sep.encode()
-        simple = [w for w in words if sep not in w]
-        for w in words:
-            if sep in w:
-                self.memo[w] = self._plain(w.decode("utf-8", "replace"))
-        for at in range(0, len(simple), 2048):
-            part = simple[at : at + 2048]
-            joined = f" {self.sep} ".join(w.decode("utf-8", "replace") for w in part)
-            ids = np.asarray(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.sep_id)
-            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-            for w, end in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.memo[w] = raw[start * width : end * width]
-                start = end + 1
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn_units(self, units: list[str]) -> None:
+        for at in range(0, len(units), 2048):
+            part = units[at : at + 2048]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_unit[ids]) + 1
+            if len(ends) != len(part):
+                self.units |= {u: self._plain(u) for u in part}
+            else:
+                self.units |= zip(part, self._cut(ids, np.r_[0, ends[:-1]], ends), strict=True)
+
+    @staticmethod
+    def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """The ids of many words at once: all their units in a row, with a mark after each word."""
+        units = self.find_units("\n".join(words))
+        if len(self.units) > self.max_held:
+            self.units.clear()
+        mark = np.iinfo(self.dtype).max
+        self.units["\n"] = np.asarray([mark], self.dtype).tobytes()
+        if new := set(units).difference(self.units):
+            self._learn_units(list(new))
+        ids = np.frombuffer(b"".join(map(self.units.__getitem__, units)), self.dtype)
+        ends = np.r_[np.flatnonzero(ids == mark), len(ids)]
+        self.words |= zip(words, self._cut(ids, np.r_[0, ends[:-1] + 1], ends), strict=True)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, ``dtype`` wide."""
-        if not self.by_word:
-            found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [self._pack(e.ids) for e in found]
-        out = []
-        for at in range(0, len(texts), 256):
-            split = [t.split() for t in texts[at : at + 256]]
-            if len(self.memo) > self.max_words:
-                self.memo.clear()
-            if new := set().union(*split).difference(self.memo):
-                self._learn(list(new))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
-
-
-def tokenizer(path: str) -> WordMemoTokenizer:
+        whole = [t.decode("utf-8", "replace") for t in texts]
+        if not self.by_unit:
+            return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]
+        cut = [t.lower().split() if LATIN(t) and not self.special(t) else None for t in whole]
+        if len(self.words) > self.max_held:
+            self.words.clear()
+        if new := set().union(*filter(None, cut)).difference(self.words):
+            self._learn_words(list(new))
+        get = self.words.__getitem__
+        return [self._plain(t) if words is None else b"".join(map(get, words)) for t, words in zip(whole, cut, strict=True)]
+
+
+def tokenizer(path: str) -> MemoTokenizer:
     """The tokenizer of a file, loaded once in each Python worker."""
     if path not in _LOADED:
-        _LOADED[path] = WordMemoTokenizer(path)
+        _LOADED[path] = MemoTokenizer(path)
     return _LOADED[path]

@@ -1,3 +1,4 @@
+import functools
 import random
 import struct
 import zlib
@@ -9,20 +10,25 @@ from pyspark.sql import functions as F
 from lockstep.llm import packing, records
 from lockstep.llm.common import stored, work_dir
 from lockstep.llm.queries import op1_best_fit_packing, op6_token_records, tokenizer_path
-from lockstep.llm.tokens import WordMemoTokenizer
+from lockstep.llm.tokens import MemoTokenizer
 
 
-def whole_ids(text, path=None):
+@functools.cache
+def loaded(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path or tokenizer_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def whole_ids(text, path=None):
+    return loaded(path or tokenizer_path()).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_word_memo_equals_whole_texts(name):
+def test_memo_equals_whole_texts(name):
     path = tokenizer_path(name)
-    tok = WordMemoTokenizer(path)
-    assert tok.by_word == (name == "word_bpe_49k.json")
+    tok = MemoTokenizer(path)
+    assert tok.by_unit == (name == "word_bpe_49k.json")
     texts = ["", "a b", "don't  stop\n\tnow's", "É é 12,5 x\x0by\x0cz", "<|endoftext|> a<|startoftext|>b <|startoftext|>", "ẞ İ Σας q r", "!'s 's'' 'tis \x1c\x1d é"]
     random.seed(3)
     alphabet = "aB'é \n\t.!19́ßİ'slre<|>"
