@@ -91,7 +91,7 @@ def repeated_chunks(docs: DataFrame, least_bytes: int = 40) -> DataFrame:
     place = F.struct("doc_id", "version", "n")
     keys = stored(chunk_keys(docs, least_bytes, False).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     candidates = stored(chunk_keys(docs, least_bytes, True).join(keys, "key"), "zstd")
-    first = candidates.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = stored(candidates.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "zstd")
     return candidates.join(first, ["key", "chunk"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "n", F.octet_length("chunk").alias("bytes"))
 
 
