@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the chunks of lines that stand in an earlier one. n_chars follows the text."""
-    out = linededup.dedup_lines(docs)
+    """Documents less the chunks of lines that stand in an earlier one; those go of which nothing is left. n_chars follows the text."""
+    out = linededup.dedup_lines(docs).where("removed is null or trim(text) <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_slices
+from .common import map_batches, stored, text_slices
 from .quality import fold
 
 DIMS = 4096
@@ -86,12 +86,16 @@ def fit_centroids(counts: np.ndarray, langs: list[str], per_lang: int = 4, quant
 def fit_languages(docs: DataFrame, rows_per_lang: int = 256, folds: int = 4, held_out: int = 2, per_lang: int = 4) -> CentroidModel:
     """Fit on at most ``rows_per_lang`` rows of each language outside the held-out fold, those with the smallest hash of doc_id.
 
-    The ids are chosen first, without their texts; the bound makes them safe to broadcast and their vectors
+    The ids are chosen first, without their texts: counts per language give a level of the hash that about four times as many
+    pass, so that only those are ranked, however large a language is. The bound makes them safe to broadcast and their vectors
     (8 KB each) safe to gather. Rows with a null doc_id, text or lang are left out.
     """
-    usable = docs.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id"), folds) != held_out)
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    some = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_lang).drop("_n")
+    usable = docs.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id", "lang")
+    counts = stored(usable.groupBy("lang").agg(F.count("*").alias("_of")))
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    few = usable.join(counts, "lang").where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("_of") <= 4 * rows_per_lang)
+    order = Window.partitionBy("lang").orderBy(digest, "doc_id")
+    some = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_lang).drop("_n", "_of")
     joined = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(some.distinct()), ["doc_id", "lang"])
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:

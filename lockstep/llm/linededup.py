@@ -27,25 +27,27 @@ def lines_of(text: bytes) -> list[bytes]:
     return out
 
 
-def chunks_of(lines: list[bytes], window: int = 2, divisor: int = 3, least: int = 2) -> list[tuple[int, int]]:
+def chunks_of(lines: list[bytes], window: int = 2, divisor: int = 3, least: int = 2, most: int = 32, least_bytes: int = 40) -> list[tuple[int, int]]:
     """Runs [start, end) of lines that content defines.
 
     A rolling hash over the hashes of the last ``window`` lines ends a chunk after a line where it is divisible by
-    ``divisor``, once the chunk has ``least`` lines. Line ends and outer white space don't count. An insertion moves
+    ``divisor``, once the chunk has ``least`` lines and ``least_bytes`` bytes, and after ``most`` lines in any case: a line that repeats
+    on and on gives no other boundary. Line ends and outer white space don't count. An insertion moves
     boundaries only until the next one. A short rest joins the chunk before it.
     """
     base = 0x9E3779B97F4A7C15
     drop = pow(base, window, 1 << 64)
     hashes = [xxhash.xxh64_intdigest(x.strip(), 11) for x in lines]
-    out, start, rolling = [], 0, 0
+    out, start, rolling, size = [], 0, 0, 0
     for i, h in enumerate(hashes):
         rolling = (rolling * base + h) & MASK
         if i >= window:
             rolling = (rolling - hashes[i - window] * drop) & MASK
         mixed = ((rolling ^ (rolling >> 29)) * 0xBF58476D1CE4E5B9 & MASK) >> 33
-        if i + 1 - start >= least and i + 1 >= window and mixed % divisor == 0:
+        size += len(lines[i])
+        if i + 1 - start >= max(least, window) and size >= least_bytes and (mixed % divisor == 0 or i + 1 - start >= most):
             out.append((start, i + 1))
-            start = i + 1
+            start, size = i + 1, 0
     if start < len(lines):
         if out and len(lines) - start < least:
             out[-1] = (out[-1][0], len(lines))
@@ -57,7 +59,7 @@ def chunks_of(lines: list[bytes], window: int = 2, divisor: int = 3, least: int
 def text_chunks(text: bytes, least_bytes: int) -> list[tuple[int, bytes]]:
     """(number, bytes without outer white space) of the chunks that have several lines and ``least_bytes``."""
     lines = lines_of(text)
-    found = ((n, b"".join(lines[a:b]).strip()) for n, (a, b) in enumerate(chunks_of(lines)) if b - a > 1)
+    found = ((n, b"".join(lines[a:b]).strip()) for n, (a, b) in enumerate(chunks_of(lines, least_bytes=least_bytes)) if b - a > 1)
     return [(n, raw) for n, raw in found if len(raw) >= least_bytes]
 
 
@@ -117,7 +119,7 @@ def dedup_lines(docs: DataFrame, least_bytes: int = 40) -> DataFrame:
                 for i, gone in enumerate(part.column("removed").to_pylist()):
                     if gone:
                         lines, out = lines_of(texts[i].encode()), set(gone)
-                        texts[i] = b"".join(x for n, (a, b) in enumerate(chunks_of(lines)) if n not in out for x in lines[a:b]).decode()
+                        texts[i] = b"".join(x for n, (a, b) in enumerate(chunks_of(lines, least_bytes=least_bytes)) if n not in out for x in lines[a:b]).decode()
                 columns = [part.column(c) for c in names]
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)

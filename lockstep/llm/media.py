@@ -178,5 +178,5 @@ def document_media(docs: DataFrame) -> DataFrame:
     page = F.concat(F.lit("<article><h1>"), caption, F.lit("</h1><figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
     sequences = interleaved(kept.select("doc_id", "n_bytes", page.alias("html")))
     features = media_features(kept)
-    features = features.groupBy("digest").agg(*[F.first(c).alias(c) for c in features.columns if c != "digest"])
+    features = stored(features.groupBy("digest").agg(*[F.first(c).alias(c) for c in features.columns if c != "digest"]))
     return resolve(sequences, features, "doc_id", "n_bytes").where("kind = 'media'")

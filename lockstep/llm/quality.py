@@ -158,11 +158,13 @@ def fold(doc_id: Column, folds: int) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int = 5, held_out: int = 0) -> RuleEnsemble:
     """Fit on labelled rows whose fold is not ``held_out``: at most ``max_rows`` of them, those with the smallest hash of doc_id.
 
-    That bound makes the label rows safe to broadcast and their statistics safe to gather. Rows with a null
+    The number of labels gives a level of the hash that twice as many pass, so that only those are sorted. The bound makes the label rows safe to broadcast and their statistics safe to gather. Rows with a null
     doc_id or quality are left out; of several labels of a document each counts.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id"), folds) != held_out)
-    some = usable.select("doc_id", F.col("quality").cast("double").alias("_label")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "_label").limit(max_rows)
+    digest, n = F.md5(F.col("doc_id").cast("string").cast("binary")), usable.count()
+    few = usable.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32 * n <= 2 * max_rows)
+    some = few.select("doc_id", F.col("quality").cast("double").alias("_label")).orderBy(digest, "doc_id", "_label").limit(max_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows = sorted(tuple(r) for r in with_statistics(joined, "doc_id", "_label").collect())
     data = np.array(rows, float).reshape(-1, 2 + len(STATISTICS))
