@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -12,19 +13,19 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stored, text_slices, utf8
 
-MASK = (1 << 64) - 1
-_CUT = re.compile(rb"\n+|(?<=[.!?]) +")
+#: A byte that no UTF-8 text holds.
+CUT = b"\xff"
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """A text as its lines, long lines cut after the ends of sentences; white space at a cut stays with the line before."""
-    out, start = [], 0
-    for found in _CUT.finditer(text):
-        out.append(text[start : found.end()])
-        start = found.end()
-    if start < len(text):
-        out.append(text[start:])
-    return out
+    if CUT in text:
+        return [text]
+    marked = text.replace(b". ", b". \xff").replace(b"! ", b"! \xff").replace(b"? ", b"? \xff").replace(b"\xff ", b" \xff")
+    lines = marked.replace(b"\n", b"\n\xff").replace(b"\xff\n", b"\n").split(CUT)
+    if not lines[-1]:
+        lines.pop()
+    return lines
 
 
 def chunks_of(lines: list[bytes], window: int = 2, divisor: int = 3, least: int = 2, most: int = 32, least_bytes: int = 40) -> list[tuple[int, int]]:
@@ -35,24 +36,30 @@ def chunks_of(lines: list[bytes], window: int = 2, divisor: int = 3, least: int
     on and on gives no other boundary. Line ends and outer white space don't count. An insertion moves
     boundaries only until the next one. A short rest joins the chunk before it.
     """
-    base = 0x9E3779B97F4A7C15
-    drop = pow(base, window, 1 << 64)
-    hashes = [xxhash.xxh64_intdigest(x.strip(), 11) for x in lines]
-    out, start, rolling, size = [], 0, 0, 0
-    for i, h in enumerate(hashes):
-        rolling = (rolling * base + h) & MASK
-        if i >= window:
-            rolling = (rolling - hashes[i - window] * drop) & MASK
-        mixed = ((rolling ^ (rolling >> 29)) * 0xBF58476D1CE4E5B9 & MASK) >> 33
-        size += len(lines[i])
-        if i + 1 - start >= max(least, window) and size >= least_bytes and (mixed % divisor == 0 or i + 1 - start >= most):
-            out.append((start, i + 1))
-            start, size = i + 1, 0
-    if start < len(lines):
-        if out and len(lines) - start < least:
-            out[-1] = (out[-1][0], len(lines))
+    n, h64 = len(lines), xxhash.xxh64_intdigest
+    hashes = np.fromiter((h64(x.strip(), 11) for x in lines), np.uint64, n)
+    rolling = hashes.copy()
+    for k in range(1, min(window, n)):
+        rolling[k:] += hashes[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+    mixed = ((rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
+    ends = [0, *accumulate(map(len, lines))]
+    out, start = [], 0
+    for at in [*np.flatnonzero(mixed % np.uint64(divisor) == 0).tolist(), n]:
+        while (forced := start + most - 1) < at:
+            while forced < at and ends[forced + 1] - ends[start] < least_bytes:
+                forced += 1
+            if forced == at:
+                break
+            out.append((start, forced + 1))
+            start = forced + 1
+        if at < n and at + 1 - start >= max(least, window) and ends[at + 1] - ends[start] >= least_bytes:
+            out.append((start, at + 1))
+            start = at + 1
+    if start < n:
+        if out and n - start < least:
+            out[-1] = (out[-1][0], n)
         else:
-            out.append((start, len(lines)))
+            out.append((start, n))
     return out
 
 

@@ -1,6 +1,5 @@
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from lockstep.llm import linededup, simhash
 from lockstep.llm.components import connected_components
@@ -120,4 +119,28 @@ def test_chunks_resist_shifts():
     again = {b"".join(shifted[a:b]) for a, b in linededup.chunks_of(shifted)}
     assert len(whole & again) >= len(whole) - 4
     assert b"".join(linededup.lines_of(b"a. b\n\nc d! e")) == b"a. b\n\nc d! e"
-    assert F is not None
+    for text in (b"", b"\n\n", b"a.  b.   c! d? \n\n e.f. ", b". . . \n. "):
+        assert b"".join(linededup.lines_of(text)) == text
+    assert linededup.lines_of(b"a. b\n\n\nc! \nd") == [b"a. ", b"b\n\n\n", b"c! \n", b"d"]
+
+
+def test_chunks_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    for _ in range(200):
+        pool = [rng.bytes(int(rng.integers(0, 40))).replace(b"\xff", b"") for _ in range(6)]
+        lines = [pool[i] for i in rng.integers(0, 6, int(rng.integers(0, 120)))] + [b"x y"] * int(rng.integers(0, 90))
+        want, start = [], 0
+        hashes = [xxhash.xxh64_intdigest(x.strip(), 11) for x in lines]
+        for i, h in enumerate(hashes):
+            r = (h + (hashes[i - 1] * base if i else 0)) & mask
+            good = ((((r ^ (r >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> 33) % 3 == 0
+            if i + 1 - start >= 2 and len(b"".join(lines[start : i + 1])) >= 40 and (good or i + 1 - start >= 32):
+                want.append((start, i + 1))
+                start = i + 1
+        if start < len(lines):
+            if want and len(lines) - start < 2:
+                want[-1] = (want[-1][0], len(lines))
+            else:
+                want.append((start, len(lines)))
+        assert linededup.chunks_of(lines) == want
