@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +61,13 @@ def back_to_back(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray,
     return np.diag(h), bool(valid)
 
 
+def first_half(blocks: np.ndarray, split: int) -> np.ndarray:
+    """Rows of the half that a split trains on first: half of the blocks, in an order drawn for each pair of splits; an odd split swaps the halves."""
+    order = np.random.default_rng(split // 2 + 1).permutation(np.unique(blocks))
+    half = np.isin(blocks, order[: len(order) // 2])
+    return half if split % 2 == 0 else ~half
+
+
 def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float], splits: int = 20, folds: int = 4) -> DataFrame:
     """Back-to-back scores: participant, split, direction, time, family, trace, score, alpha, valid.
 
@@ -76,9 +85,7 @@ def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float],
         rows = rows.sort_values("trial")
         x, y = np.array(rows["x"].tolist(), float), np.array(rows["y"].tolist(), float)
         blocks = rows["block"].to_numpy()
-        order = np.random.default_rng(int(split) // 2 + 1).permutation(np.unique(blocks))
-        half = np.isin(blocks, order[: len(order) // 2])
-        half = half if split % 2 == 0 else ~half
+        half = first_half(blocks, int(split))
         out = []
         for direction, first in ((1, half), (2, ~half)):
             second = ~first
@@ -101,6 +108,57 @@ def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float],
     return work.groupBy("participant", "time", "split").applyInPandas(solve, schema)
 
 
+def null_shift(participant: object, rep: int, n: int, least: int) -> int:
+    """A circular shift of n rows by ``least`` to n - ``least`` places, by hash: the same for all times and splits of a participant."""
+    digest = hashlib.md5(f"shift|{participant}|{rep}".encode()).digest()
+    return least + int.from_bytes(digest[:8], "big") % (n - 2 * least + 1)
+
+
+def b2b_nulls(trials: DataFrame, observed: DataFrame, families: dict[str, int], reps: int, least: int = 20) -> DataFrame:
+    """Back-to-back scores with the features shifted around against the channels: participant, split, direction, time, rep, family, score.
+
+    ``observed`` (participant, time, split, direction, alpha) gives the penalties, which are not tuned again. The channels'
+    decoder of a group is made once and serves all its shifts, so that channels are shuffled once, however many
+    repetitions there are. Groups with fewer than twice ``least`` trials, and ill-conditioned designs, give no rows.
+    """
+    from pyspark.sql import functions as F
+
+    names, sizes = list(families), list(families.values())
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        participant, time, split = key
+        rows = rows.sort_values("trial")
+        out, n = [], len(rows)
+        if n >= 2 * least:
+            x, y = np.array(rows["x"].tolist(), float), np.array(rows["y"].tolist(), float)
+            half = first_half(rows["block"].to_numpy(), int(split))
+            for direction, alpha in ((1, rows["alpha_1"].iloc[0]), (2, rows["alpha_2"].iloc[0])):
+                if not np.isfinite(alpha):
+                    continue
+                first = half if direction == 1 else ~half
+                center = y[first].mean(axis=0)
+                u, s, vt = np.linalg.svd(y[first] - center, full_matrices=False)
+                decoder = (vt.T * (s / (s**2 + alpha * float((s**2).sum()) / y.shape[1]))) @ u.T
+                seen = y[~first] - center
+                for rep in range(reps):
+                    moved = np.roll(x, null_shift(participant, rep, n, least), axis=0)
+                    x1, x2 = moved[first], moved[~first]
+                    if len(x2) < x2.shape[1] or condition(x2) > 85:
+                        continue
+                    guess = seen @ (decoder @ (x1 - x1.mean(axis=0)))
+                    h, *_ = np.linalg.lstsq(x2 - x2.mean(axis=0), guess - guess.mean(axis=0), rcond=None)
+                    at = 0
+                    for name, size in zip(names, sizes, strict=True):
+                        out.append((participant, int(split), int(direction), time, rep, name, float(np.diag(h)[at : at + size].mean())))
+                        at += size
+        return pd.DataFrame(out, columns=["participant", "split", "direction", "time", "rep", "family", "score"])
+
+    by = ["participant", "time", "split"]
+    alphas = observed.groupBy(*by).agg(*[F.max(F.when(F.col("direction") == d, F.col("alpha"))).alias(f"alpha_{d}") for d in (1, 2)])
+    schema = "participant long, split int, direction int, time int, rep int, family string, score double"
+    return trials.join(alphas, ["participant", "time"]).groupBy(*by).applyInPandas(solve, schema)
+
+
 def drift_basis(n: int, bumps: int = 40) -> np.ndarray:
     """A constant and Gaussian bumps along n positions."""
     at, centers = np.linspace(0, 1, n)[:, None], np.linspace(0, 1, bumps)[None]

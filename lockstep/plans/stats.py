@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import dense, resampling
+from ..operators import dense, models, resampling, sequences
 from ..operators import summaries as agg
 from ..sources.tables import finite, table, upsert
-from .registry import SCORES, query, rounded, scores
+from .registry import SCORES, events, query, rounded, scores
 
 
 @query(f"""WITH {SCORES} SELECT family, time, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS sd, count(score) AS n FROM scores WHERE valid GROUP BY family, time""")
@@ -287,21 +287,65 @@ def ridge_two_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(g.select("label", w1.alias("w1"), w2.alias("w2")), "w1", "w2")
 
 
-@query()
-def back_to_back_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Back-to-back regression on the embeddings: 8 places as channels, 4 as features in two families, by label, over splits of 8 blocks."""
+def _halved_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """The embeddings as trials of their label: 8 places as channels, 4 as features, in 8 blocks."""
     e = table(spark, folder, "embeddings").where("size(embedding) >= 12")
     w = Window.partitionBy("label").orderBy("vec_id")
-    trials = e.select(
+    return e.select(
         F.col("label").cast("long").alias("participant"), F.lit(0).alias("time"), F.col("vec_id").alias("trial"),
         F.pmod(F.row_number().over(w), F.lit(8)).alias("block"), F.slice("embedding", 1, 4).alias("x"),
         F.zip_with(F.slice("embedding", 1, 8), F.slice("embedding", 5, 8), lambda a, b: a + b).alias("y"),
     )
-    found = dense.b2b_scores(trials, {"first": 2, "second": 2}, sc.log_grid(-4, 4, 1), splits=4)
+
+
+FAMILIES = {"first": 2, "second": 2}
+
+
+@query()
+def back_to_back_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Back-to-back regression on the embeddings, two families of features, over splits of their blocks."""
+    found = dense.b2b_scores(_halved_embeddings(spark, folder), FAMILIES, sc.log_grid(-4, 4, 1), splits=4)
     valid = found.where("valid").groupBy("participant", "time", "family")
     return rounded(valid.agg(F.avg("trace").alias("mean_trace"), F.avg("score").alias("mean_score"), F.count("*").alias("n")), "mean_trace", "mean_score")
 
 
+@query()
+def back_to_back_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and spread of the back-to-back scores over 20 circular shifts of the features, with the observed penalties."""
+    trials = _halved_embeddings(spark, folder)
+    observed = dense.b2b_scores(trials, FAMILIES, sc.log_grid(-4, 4, 1), splits=4)
+    reps = dense.b2b_nulls(trials, observed, FAMILIES, 20, 4).groupBy("participant", "family", "rep").agg(F.avg("score").alias("score"))
+    return rounded(reps.groupBy("participant", "family").agg(F.median("score").alias("floor"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n")), "floor", "sd")
+
+
+OOF_SQL = """WITH r AS (SELECT CAST(floor(CAST('0x' || substr(md5('fold|' || l_orderkey), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 5) AS INTEGER) AS fold,
+    l_quantity AS a, l_discount AS b, l_extendedprice / 10000 AS y FROM lineitem),
+t AS (SELECT f.fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) * corr(a, b) AS ab,
+    count(*) * covar_pop(a, y) / stddev_pop(a) AS ay, count(*) * covar_pop(b, y) / stddev_pop(b) AS by_ FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY f.fold),
+w AS (SELECT *, ((n + 1) * ay - ab * by_) / ((n + 1) * (n + 1) - ab * ab) AS wa, ((n + 1) * by_ - ab * ay) / ((n + 1) * (n + 1) - ab * ab) AS wb FROM t),
+p AS (SELECT r.fold, y, my + wa * (a - ma) / sa + wb * (b - mb) / sb AS guess FROM r JOIN w USING (fold))
+SELECT fold, count(*) AS n, round(avg((y - guess) * (y - guess)), 6) AS error, round(corr(y, guess), 6) AS r FROM p GROUP BY fold"""
+
+
+@query(OOF_SQL)
+def grouped_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices predicted by ridge regression from the folds that hold no row of the same order: error and correlation by fold."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_discount", (F.col("l_extendedprice") / 10000).alias("y"))
+    found = models.grouped_ridge(rows, "l_orderkey", ["l_quantity", "l_discount"], "y")
+    gap = F.col("y") - F.col("predicted")
+    return rounded(found.groupBy("fold").agg(F.count("*").alias("n"), F.avg(gap * gap).alias("error"), F.corr("y", "predicted").alias("r")), "error", "r")
+
+
+@query()
+def lagged_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """Values less what the gaps and hours of the last 4 events of the user explain: alpha and the part of the variance explained, by user."""
+    ev = sequences.gap_before(events(spark, folder), ["user_id"], ["pos"], "us")
+    ev = ev.select("user_id", "pos", "value", F.log1p(F.col("gap") / 1e6).alias("gap"), F.pmod(F.floor(F.col("us") / 3.6e9), F.lit(24)).alias("hour"))
+    found = models.lagged_residual(ev, ["user_id"], ["pos"], ["gap", "hour"], "value", 4, sc.log_grid(-2, 4, 1))
+    part = F.when(F.var_pop("value") > 0, 1 - F.var_pop("residual") / F.var_pop("value")).alias("explained")
+    return rounded(found.groupBy("user_id").agg(F.count("*").alias("n"), F.first("alpha").alias("alpha"), part), "explained")
+
+
 @query("""SELECT CAST(epoch(time_bucket(INTERVAL 6 HOURS, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def tumbling_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The batch form of the tumbling stream."""

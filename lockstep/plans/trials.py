@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import joins, sequences
+from ..operators import joins, sequences, speech
 from ..operators import summaries as agg
 from ..sources.tables import missing_keys, table
 from .registry import EV, events, query, rounded
@@ -214,3 +214,24 @@ def turns_edge_filled(spark: SparkSession, folder: str) -> DataFrame:
     n = F.regexp_count("text", F.lit("[^ \n]+"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, folder, "conversations").select("conv_id", "turn", "role", n.alias("n"), F.coalesce(F.lag(n).over(w), n).alias("n_before"))
+
+
+@query(f"""WITH {EV}, m AS (SELECT *, event_type = 'purchase' AS on_, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY pos) AS c,
+    count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS total, lag(event_type) OVER (PARTITION BY user_id ORDER BY pos) AS before FROM ev)
+SELECT event_id, CAST(CASE WHEN total = 0 OR c = 0 THEN 0 WHEN on_ THEN c - 1 WHEN c = total THEN total - 1 WHEN before = 'purchase' AND event_type = 'error' THEN c - 1 ELSE c END AS INTEGER) AS syllable FROM m""")
+def syllables(spark: SparkSession, folder: str) -> DataFrame:
+    """Events grouped as phones are: purchases as nuclei, errors as codas."""
+    kind = F.col("event_type")
+    return speech.syllables(events(spark, folder), ["user_id"], ["pos"], kind == "purchase", kind == "error").select("event_id", "syllable")
+
+
+@query(f"""WITH {EV}, w AS (SELECT user_id, pos, event_id, CASE event_type WHEN 'error' THEN '不' WHEN 'click' THEN '一' ELSE '' END AS word, nullif(CAST(floor(value) AS INTEGER) % 5, 0) AS tone FROM ev),
+a AS (SELECT *, lead(tone) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM w),
+b AS (SELECT *, CASE WHEN word = '不' AND nxt = 4 THEN 2 WHEN word = '一' AND nxt = 4 THEN 2 WHEN word = '一' AND nxt IS NOT NULL THEN 4 ELSE tone END AS one FROM a),
+c AS (SELECT *, CASE WHEN one = 3 AND lead(one) OVER (PARTITION BY user_id ORDER BY pos) = 3 THEN 2 ELSE one END AS surface FROM b)
+SELECT event_id, surface, CASE WHEN tone IS NULL OR tone = surface THEN 'none' WHEN word = '不' AND nxt = 4 THEN 'not' WHEN word = '一' AND nxt IS NOT NULL THEN 'one' WHEN tone = 3 AND surface = 2 THEN 'third' ELSE 'other' END AS change FROM c""")
+def surface_tones(spark: SparkSession, folder: str) -> DataFrame:
+    """Tones (whole part of the value modulo 5, 0 neutral) after the rules that neighbours set off."""
+    kind, tone = F.col("event_type"), F.floor("value").cast("int") % 5
+    rows = events(spark, folder).select("user_id", "pos", "event_id", F.when(kind == "error", speech.NOT).when(kind == "click", speech.ONE).otherwise("").alias("word"), F.when(tone != 0, tone).alias("tone"))
+    return speech.surface_tones(rows, ["user_id"], ["pos"], "word", "tone").select("event_id", "surface", "change")
