@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +24,9 @@ def moments(frame: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return frame.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products"))
 
 
-def unfold(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n, sums and product matrices of ``moments``, one for each row."""
-    n, sums, flat = rows["n"].to_numpy(float), np.array(rows["sums"].tolist(), float), np.array(rows["products"].tolist(), float)
+def unfold(n: Iterable, sums: Iterable, products: Iterable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, sums and product matrices of the rows of ``moments``."""
+    n, sums, flat = np.array(n, float), np.stack(list(sums)), np.stack(list(products))
     p = sums.shape[1]
     full = np.zeros((len(n), p, p))
     full[:, *np.triu_indices(p)] = flat
@@ -44,7 +46,7 @@ def grouped_ridge(frame: DataFrame, group: str, features: list[str], target: str
     p = len(features)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        n, sums, products = unfold(rows)
+        n, sums, products = unfold(rows["n"], rows["sums"], rows["products"])
         out = []
         for k, fold in enumerate(rows["fold"]):
             m = n.sum() - n[k]
@@ -75,21 +77,23 @@ def smoothness(features: int, lags: int) -> np.ndarray:
 def lagged_coefficients(n: np.ndarray, sums: np.ndarray, products: np.ndarray, penalty: np.ndarray, alphas: list[float]) -> tuple[float, np.ndarray]:
     """The alpha whose fits on the other folds correlate best with a fold's target, on average, and its fit on all folds; the target is the last column."""
     p = sums.shape[1] - 1
-    fit = lambda s, a: np.linalg.lstsq(s[:p, :p] + a * penalty, s[:p, p], rcond=None)[0]
+
+    def fits(s: np.ndarray, chosen: list[float]) -> np.ndarray:
+        return np.linalg.pinv(s[:p, :p] + np.array(chosen)[:, None, None] * penalty, rcond=1e-12, hermitian=True) @ s[:p, p]
+
     score = np.full((len(alphas), len(n)), np.nan)
     for k in range(len(n)):
         if n.sum() - n[k] < 2 or n[k] < 2:
             continue
-        train = centred(n.sum() - n[k], sums.sum(axis=0) - sums[k], products.sum(axis=0) - products[k])
         test = centred(n[k], sums[k], products[k])
-        for i, a in enumerate(alphas):
-            w = fit(train, a)
-            size = (w @ test[:p, :p] @ w) * test[p, p]
-            score[i, k] = w @ test[:p, p] / np.sqrt(size) if size > 1e-18 else np.nan
+        w = fits(centred(n.sum() - n[k], sums.sum(axis=0) - sums[k], products.sum(axis=0) - products[k]), alphas)
+        size = np.einsum("ai,ij,aj->a", w, test[:p, :p], w) * test[p, p]
+        some = size > 1e-18
+        score[some, k] = (w @ test[:p, p])[some] / np.sqrt(size[some])
     held = ~np.isnan(score)
     mean = np.where(held.any(axis=1), np.where(held, score, 0).sum(axis=1) / np.maximum(held.sum(axis=1), 1), -np.inf)
     best = int(mean.argmax()) if np.isfinite(mean).any() else len(alphas) // 2
-    return alphas[best], fit(centred(n.sum(), sums.sum(axis=0), products.sum(axis=0)), alphas[best])
+    return alphas[best], fits(centred(n.sum(), sums.sum(axis=0), products.sum(axis=0)), [alphas[best]])[0]
 
 
 def lagged_residual(frame: DataFrame, key: list[str], by: list[str], features: list[str], target: str, lags: int, alphas: list[float], folds: int = 3) -> DataFrame:
@@ -114,12 +118,16 @@ def lagged_residual(frame: DataFrame, key: list[str], by: list[str], features: l
     xs, y = [f"_x{i}_{lag}" for i, lag in places], f"_z{len(features)}"
     penalty = smoothness(len(features), lags + 1)
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        alpha, found = lagged_coefficients(*unfold(rows), penalty, alphas)
-        return rows.iloc[:1][key].assign(alpha=alpha, _w=[found.tolist()])
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [lagged_coefficients(*unfold(*parts), penalty, alphas) for parts in zip(rows["_n"], rows["_sums"], rows["_products"], strict=True)]
+            yield rows[key].assign(alpha=[a for a, _ in found], _w=[w.tolist() for _, w in found])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*key).schema) + ", alpha double, _w array<double>"
-    fits = moments(z.withColumns(lagged([*key, "_fold"])), [*key, "_fold"], [*xs, y]).groupBy(*key).applyInPandas(solve, schema)
+    sums = moments(z.withColumns(lagged([*key, "_fold"])), [*key, "_fold"], [*xs, y])
+    # A key's parts are as many as the folds.
+    parts = sums.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_fold", "n", "sums", "products"))).alias("_p"))
+    fits = parts.select(*key, *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("n", "sums", "products")]).mapInPandas(solve, schema)
     fits = fits.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "alpha", "_w")
     guess = F.when(F.col("_at") >= lags, sum(F.col("_w")[j] * F.col(x) for j, x in enumerate(xs))).otherwise(0.0)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
