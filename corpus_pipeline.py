@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.llm import linededup, mixing, packing, quality, simhash
-from lockstep.llm.common import stored
+from lockstep.llm.common import freed, stored
 from lockstep.llm.queries import tokenizer_path
 
 
@@ -17,10 +17,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the chunks of lines that stand in an earlier one; those go of which nothing is left. n_chars follows the text."""
-    out = linededup.dedup_lines(docs).where("removed is null or trim(text) <> ''")
+    """Documents less the passages of over 50 words and the chunks of lines that stand in an earlier one; those go of which nothing is left.
+
+    n_chars follows the text.
+    """
+    passages = stored(linededup.dedup_passages(docs.withColumn("_size", F.octet_length("text"))))
+    freed(spark)
+    out = linededup.dedup_lines(passages).withColumn("_cut", F.octet_length("text") < F.col("_size")).where("_cut is null or not _cut or trim(text) <> ''")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,6 +32,12 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of work that is done: it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one batch into lists of columns, in ``schema`` order."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, text_slices, utf8
+from .common import freed, map_batches, stored, text_slices, utf8
 
 #: A byte that no UTF-8 text holds.
 CUT = b"\xff"
@@ -132,3 +133,167 @@ def dedup_lines(docs: DataFrame, least_bytes: int = 40) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, joined.schema)
+
+
+#: Words of the shortest passage that goes, of the grams that are counted first, and grams in a window of which the least is taken.
+PASSAGE, GRAM = 51, 16
+WINDOW = PASSAGE - GRAM + 1
+#: Stands for all of a text among the starts of passages.
+WHOLE = -1
+#: Characters of scripts without spaces (Kana, Han, Thai, Lao, Burmese, Khmer): each is a word of its own.
+_SOLO = rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]"
+_HAS_SOLO, _WORD = re.compile(_SOLO), re.compile(rb"\S+")
+_WORD_OR_SOLO = re.compile(_SOLO + rb"|(?:(?!" + _SOLO + rb")\S)+")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs without ASCII white space; a character of a script without spaces is a word of its own."""
+    return _WORD_OR_SOLO.findall(text) if _HAS_SOLO.search(text) else text.split()
+
+
+def run_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """A 64-bit hash of each ``width`` words in a row, from running sums of the words' hashes times powers of an odd ``base``."""
+    n = len(words)
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(up))])
+    out = (sums[width:] - sums[:-width]) * np.cumprod(down)[: n - width + 1]
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def _sliding(values: np.ndarray, width: int, take: np.ufunc) -> np.ndarray:
+    """Least or greatest of each ``width`` values in a row, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        values, span = take(values[:-span], values[span:]), 2 * span
+    return take(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
+
+
+def seed_places(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the grams that are least in some window of grams. ``ends``: where the text of each word ends.
+
+    A run of ``PASSAGE`` words holds one whole window, and so one of these at the same place in any text that has the run.
+    """
+    if len(hashes) < PASSAGE:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    grams = run_hashes(hashes, GRAM, 0x9E3779B97F4A7C15)
+    whole = np.arange(len(grams)) + GRAM <= ends[: len(grams)]
+    grams[~whole] = np.iinfo(np.uint64).max
+    least = _sliding(grams, WINDOW, np.minimum)
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    at = np.flatnonzero(whole & (grams == _sliding(np.concatenate([edge, least, edge]), WINDOW, np.maximum)))
+    return grams[at], at
+
+
+def passage_seeds(docs: DataFrame) -> DataFrame:
+    """key, doc_id, version, at (number of its first word) of the grams taken from each text of ``PASSAGE`` words or more."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[list]:
+        h64 = xxhash.xxh64_intdigest
+        for part in text_slices(batch, "text", 2 << 20):
+            ids, versions, sizes, hashes = [], [], [], []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True):
+                words = words_of(text)
+                if len(words) >= PASSAGE:
+                    ids.append(doc_id)
+                    versions.append(_signed(h64(text, 42)))
+                    sizes.append(len(words))
+                    hashes.append(np.fromiter(map(h64, words), np.uint64, len(words)))
+            if not sizes:
+                continue
+            ends = np.cumsum(sizes)
+            keys, places = seed_places(np.concatenate(hashes), np.repeat(ends, sizes))
+            of = np.searchsorted(ends, places, "right")
+            at = places - (ends - sizes)[of]
+            yield [pa.array(keys.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(np.array(versions, np.int64)[of]), pa.array(at.astype(np.int32))]
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "key long, doc_id long, version long, at int", run)
+
+
+def passage_windows(texts: DataFrame) -> DataFrame:
+    """a, b (128 bits of hash), doc_id, version, at of every run of ``PASSAGE`` words around the grams ``seeds`` of each text."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[list]:
+        for part in text_slices(batch, "text", 1 << 20):
+            found, sizes = [], []
+            for seeds, text in zip(part.column("seeds").to_pylist(), utf8(part.column("text")), strict=True):
+                words = words_of(text)
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                at = np.unique((np.array(seeds)[:, None] - np.arange(WINDOW)).ravel())
+                at = at[(at >= 0) & (at <= len(words) - PASSAGE)]
+                other = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+                found.append((run_hashes(hashes, PASSAGE, 0x9E3779B97F4A7C15)[at].view(np.int64), run_hashes(other, PASSAGE, 0xD6E8FEB86659FD93)[at].view(np.int64), at.astype(np.int32)))
+                sizes.append(len(at))
+            a, b, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield [pa.array(a), pa.array(b), part.column("doc_id").take(of), part.column("version").take(of), pa.array(at)]
+
+    return map_batches(texts.select("doc_id", "version", "seeds", "text"), "a long, b long, doc_id long, version long, at int", run)
+
+
+def without_passages(text: bytes, starts: list[int]) -> bytes:
+    """``text`` less the ``PASSAGE`` words from each of ``starts`` on; white space after a word goes with it."""
+    spans = [m.start() for m in (_WORD_OR_SOLO if _HAS_SOLO.search(text) else _WORD).finditer(text)] + [len(text)]
+    out, done = [], 0
+    for at in starts:
+        if spans[at] > done:
+            out.append(text[done : spans[at]])
+        done = max(done, spans[at + PASSAGE])
+    return b"".join([*out, text[done:]])
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` less each run of ``PASSAGE`` words or more that stands at an earlier place, whatever surrounds it.
+
+    Words are compared, not the white space between them. Places are ordered by doc_id (null first), hash of
+    the text and word; the first one stays, and so do runs that overlap it. No row goes; a text of which nothing
+    is left is empty, a null text stays null; rows that agree in doc_id and text stay alike.
+
+    Texts that are the same, by their hash, are one text first. Grams of ``GRAM`` words that are least in a window find
+    the others: two places of a run share one of them. Only around those that repeat is every run of ``PASSAGE`` words
+    counted, by 128 bits of hash. Nothing compares texts in pairs; a passage in a third of all texts is a key
+    of joins that adaptive execution splits.
+    """
+    spark = docs.sparkSession
+    seeds = stored(passage_seeds(docs))
+    spread = F.xxhash64("version", "at")
+    repeated = seeds.groupBy("key").agg(F.min(spread).alias("low"), F.max(spread).alias("high")).where("low <> high").select("key")
+    named = seeds.select("doc_id", "version").distinct()
+    owner = stored(named.groupBy("version").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")))
+    several = owner.where(~F.col("first").eqNullSafe(F.col("last"))).select("version", F.col("first.doc_id").alias("first_id"))
+    copies = stored(named.join(several, "version").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "version"))
+    found = seeds.join(repeated, "key").groupBy("version").agg(F.collect_set("at").alias("seeds"))
+    found = stored(found.join(owner.select("version", F.col("first.doc_id").alias("doc_id")), "version"))
+    freed(spark)
+    versioned = docs.withColumn("_version", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+    def beside(left: DataFrame, right: DataFrame, name: str, how: str) -> DataFrame:
+        right = right.select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_at"), F.col(name).alias(f"_{name}"))
+        return left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_version") == F.col("_at")), how).drop("_doc_id", "_at")
+
+    asked = beside(versioned.select("doc_id", "text", "_version"), found, "seeds", "inner")
+    windows = stored(passage_windows(asked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_version").alias("version"), F.col("_seeds").alias("seeds"), "text")), "zstd")
+    freed(spark)
+    place = F.struct("doc_id", "version", "at")
+    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    later = windows.join(first, ["a", "b"]).where(~same | (F.col("at") - F.col("first.at") >= PASSAGE))
+    gone = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    gone = stored(gone.unionByName(copies.withColumn("starts", F.array(F.lit(WHOLE)))))
+    freed(spark)
+    joined = beside(versioned, gone, "starts", "left").drop("_version")
+    names, at = joined.columns, joined.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 8 << 20):
+                texts = part.column("text").to_pylist()
+                for i, starts in enumerate(part.column("_starts").to_pylist()):
+                    if starts:
+                        texts[i] = "" if starts == [WHOLE] else without_passages(texts[i].encode(), starts).decode()
+                columns = [part.column(c) for c in names]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, joined.schema).drop("_starts")
