@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import linededup, mixing, packing, quality, simhash
+from lockstep.llm import linededup, mixing, packing, quality, similar
 from lockstep.llm.common import freed, stored
 from lockstep.llm.queries import tokenizer_path
 
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates on 5-word shingles, the document with the smallest doc_id."""
-    return simhash.keep_first(docs, shingle=5)
+    """Of each group of near-duplicates on 5-word shingles (SimHash within 3 bits, or a Jaccard similarity of 0.8 or more), the document with the smallest doc_id."""
+    return similar.keep_first(docs, shingle=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
