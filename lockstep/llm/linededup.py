@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, map_batches, stored, text_slices, utf8
+from .bits import key_bits, marked, maybe_in
+from .common import freed, map_batches, scratch, stored, text_slices, utf8
 
 #: A byte that no UTF-8 text holds.
 CUT = b"\xff"
@@ -90,19 +91,57 @@ def chunk_keys(docs: DataFrame, least_bytes: int, with_text: bool) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, version long, n int, key long" + ", chunk binary" * with_text, run)
 
 
-def repeated_chunks(docs: DataFrame, least_bytes: int = 40) -> DataFrame:
-    """Chunks that stand elsewhere before: doc_id, version, n, bytes.
+def repeated_chunks(docs: DataFrame, least_bytes: int = 40, keep: Callable[..., DataFrame] = stored) -> DataFrame:
+    """Chunks that stand elsewhere before: doc_id, version, n, bytes. ``keep`` writes the tables on the way.
 
-    First only hashes are counted, with partial sums before the shuffle; then the bytes of chunks whose hash repeats
-    are grouped and joined by hash and bytes, which compares them whole. The first place in order of doc_id
-    (null first), version and number is kept. A chunk that stands in a third of all documents is a hot key:
-    it is pre-aggregated where it is grouped, and split by adaptive execution where it is joined.
+    First only hashes are counted, with partial sums before the shuffle. A filter of bits over those that repeat lets
+    only such chunks go on, as bytes, to be grouped by hash and bytes, which compares them whole; a chunk that stands
+    in a third of all documents is a hot key, and is pre-aggregated there. Then places meet the first
+    place of their chunk by its hash, and by its bytes only where different chunks share a hash; adaptive execution splits
+    a hot key of this join. The first place in order of doc_id (null first), version and number is kept.
     """
     place = F.struct("doc_id", "version", "n")
-    keys = stored(chunk_keys(docs, least_bytes, False).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    candidates = stored(chunk_keys(docs, least_bytes, True).join(keys, "key"), "zstd")
-    first = stored(candidates.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "zstd")
-    return candidates.join(first, ["key", "chunk"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "n", F.octet_length("chunk").alias("bytes"))
+    repeated = chunk_keys(docs, least_bytes, False).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    candidates = keep(maybe_in(chunk_keys(docs, least_bytes, True), key_bits(keep(repeated), "key"), "key"), "zstd")
+    whole = keep(candidates.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("c")), "zstd")
+    shared = keep(whole.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.lit(True).alias("_shared")))
+
+    def told(df: DataFrame) -> DataFrame:
+        """``chunk`` only where its hash does not tell it."""
+        return df.join(shared, "key", "left").withColumn("chunk", F.when(F.col("_shared"), F.col("chunk"))).drop("_shared")
+
+    first = told(whole.where("c > 1").select("key", "chunk", "first", F.octet_length("chunk").alias("bytes")))
+    places = told(maybe_in(candidates, key_bits(whole.where("c > 1"), "key"), "key"))
+    first = keep(first.withColumnsRenamed({"key": "_key", "chunk": "_chunk"}), "zstd")
+    joined = keep(places, "zstd").join(first.hint("merge"), (F.col("key") == F.col("_key")) & F.col("chunk").eqNullSafe(F.col("_chunk")))
+    return joined.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "n", "bytes")
+
+
+def edited(docs: DataFrame, gone: DataFrame, names: list[str], edit: Callable[..., bytes]) -> DataFrame:
+    """``docs`` with ``names``, and ``text`` as ``edit`` makes it from its bytes and their values, where ``gone`` (doc_id, version, ``names``) has a row.
+
+    Texts that surely have none, by a filter of bits, pass without a shuffle.
+    """
+    versioned = docs.withColumn("_at", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))  # XXH64 with seed 42, as where version is made
+    told = marked(versioned, key_bits(gone, "version"), "_maybe", "_at")
+    inner = gone.select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), *names)
+    some = told.where("_maybe").join(inner.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_at") == F.col("_version")), "left")
+    some = some.select(*docs.columns, *names)
+    columns, at = some.columns, some.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 8 << 20):
+                texts = part.column("text").to_pylist()
+                for i, values in enumerate(zip(*(part.column(c).to_pylist() for c in names), strict=True)):
+                    if any(values):
+                        texts[i] = edit(texts[i].encode(), *values).decode()
+                out = [part.column(c) for c in columns]
+                out[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    rest = told.where("not _maybe").select(*docs.columns, *[F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in names])
+    return rest.unionByName(some.mapInArrow(run, some.schema))
 
 
 def dedup_lines(docs: DataFrame, least_bytes: int = 40) -> DataFrame:
@@ -114,25 +153,14 @@ def dedup_lines(docs: DataFrame, least_bytes: int = 40) -> DataFrame:
     empty table gives no rows.
     """
     docs = docs.drop("removed")
-    gone = stored(repeated_chunks(docs, least_bytes).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("n")).alias("removed")))
-    gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), "removed")
-    versioned = docs.withColumn("_at", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))  # XXH64 with seed 42, as in chunk_keys
-    joined = versioned.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_at") == F.col("_version")), "left").drop("_doc_id", "_version", "_at")
-    names, at = joined.columns, joined.columns.index("text")
+    with scratch(docs.sparkSession) as keep:
+        gone = stored(repeated_chunks(docs, least_bytes, keep).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("n")).alias("removed")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", 8 << 20):
-                texts = part.column("text").to_pylist()
-                for i, gone in enumerate(part.column("removed").to_pylist()):
-                    if gone:
-                        lines, out = lines_of(texts[i].encode()), set(gone)
-                        texts[i] = b"".join(x for n, (a, b) in enumerate(chunks_of(lines, least_bytes=least_bytes)) if n not in out for x in lines[a:b]).decode()
-                columns = [part.column(c) for c in names]
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+    def edit(text: bytes, removed: list[int]) -> bytes:
+        lines, out = lines_of(text), set(removed)
+        return b"".join(x for n, (a, b) in enumerate(chunks_of(lines, least_bytes=least_bytes)) if n not in out for x in lines[a:b])
 
-    return joined.mapInArrow(run, joined.schema)
+    return edited(docs, gone, ["removed"], edit)
 
 
 #: Words of the shortest passage that goes, of the grams that are counted first, and grams in a window of which the least is taken.
@@ -186,8 +214,16 @@ def seed_places(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return grams[at], at
 
 
+#: Stands for a word before or after a text.
+_OUTSIDE = np.uint64(0xB5297A4D3F84D5B5)
+
+
 def passage_seeds(docs: DataFrame) -> DataFrame:
-    """key, doc_id, version, at (number of its first word) of the grams taken from each text of ``PASSAGE`` words or more."""
+    """key, around, doc_id, version, at (number of its first word) of the grams taken from each text of ``PASSAGE`` words or more.
+
+    ``around`` is a hash of the gram with ``WINDOW - 1`` words on both sides: all that any passage around it has.
+    """
+    side = WINDOW - 1
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
         h64 = xxhash.xxh64_intdigest
@@ -202,13 +238,14 @@ def passage_seeds(docs: DataFrame) -> DataFrame:
                     hashes.append(np.fromiter(map(h64, words), np.uint64, len(words)))
             if not sizes:
                 continue
-            ends = np.cumsum(sizes)
+            ends, edge = np.cumsum(sizes), np.full(side, _OUTSIDE)
             keys, places = seed_places(np.concatenate(hashes), np.repeat(ends, sizes))
             of = np.searchsorted(ends, places, "right")
             at = places - (ends - sizes)[of]
-            yield [pa.array(keys.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(np.array(versions, np.int64)[of]), pa.array(at.astype(np.int32))]
+            around = run_hashes(np.concatenate([x for h in hashes for x in (edge, h)] + [edge]), GRAM + 2 * side, 0xD6E8FEB86659FD93)[places + side * of]
+            yield [pa.array(keys.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(np.array(versions, np.int64)[of]), pa.array(at.astype(np.int32))]
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "key long, doc_id long, version long, at int", run)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "key long, around long, doc_id long, version long, at int", run)
 
 
 def passage_windows(texts: DataFrame) -> DataFrame:
@@ -232,14 +269,17 @@ def passage_windows(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("doc_id", "version", "seeds", "text"), "a long, b long, doc_id long, version long, at int", run)
 
 
-def without_passages(text: bytes, starts: list[int]) -> bytes:
-    """``text`` less the ``PASSAGE`` words from each of ``starts`` on; white space after a word goes with it."""
+def without_passages(text: bytes, starts: list[int], seeds: list[int]) -> bytes:
+    """``text`` less the ``PASSAGE`` words from each of ``starts`` on, and all runs around the grams at ``seeds``; white space after a word goes with it."""
+    if starts[:1] == [WHOLE]:
+        return b""
     spans = [m.start() for m in (_WORD_OR_SOLO if _HAS_SOLO.search(text) else _WORD).finditer(text)] + [len(text)]
+    last = len(spans) - 1 - PASSAGE
     out, done = [], 0
-    for at in starts:
-        if spans[at] > done:
-            out.append(text[done : spans[at]])
-        done = max(done, spans[at + PASSAGE])
+    for low, high in sorted([*((at, at) for at in starts), *((max(0, at - WINDOW + 1), min(at, last)) for at in seeds)]):
+        if spans[low] > done:
+            out.append(text[done : spans[low]])
+        done = max(done, spans[high + PASSAGE])
     return b"".join([*out, text[done:]])
 
 
@@ -250,50 +290,43 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     the text and word; the first one stays, and so do runs that overlap it. No row goes; a text of which nothing
     is left is empty, a null text stays null; rows that agree in doc_id and text stay alike.
 
-    Texts that are the same, by their hash, are one text first. Grams of ``GRAM`` words that are least in a window find
-    the others: two places of a run share one of them. Only around those that repeat is every run of ``PASSAGE`` words
-    counted, by 128 bits of hash. Nothing compares texts in pairs; a passage in a third of all texts is a key
-    of joins that adaptive execution splits.
+    Grams of ``GRAM`` words that are least in a window find the runs: two places of a run share one of them. Grams that
+    repeat with all words around them settle at once that every run there is later than another; only for the
+    first of such places, and around other grams that repeat, every run of ``PASSAGE`` words is counted, by 128 bits of hash.
+    Nothing compares texts in pairs, and copies of a text cost no more than one; a passage in a third of all texts is a
+    key of joins that adaptive execution splits.
     """
     spark = docs.sparkSession
-    seeds = stored(passage_seeds(docs))
-    spread = F.xxhash64("version", "at")
-    repeated = seeds.groupBy("key").agg(F.min(spread).alias("low"), F.max(spread).alias("high")).where("low <> high").select("key")
-    named = seeds.select("doc_id", "version").distinct()
-    owner = stored(named.groupBy("version").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")))
-    several = owner.where(~F.col("first").eqNullSafe(F.col("last"))).select("version", F.col("first.doc_id").alias("first_id"))
-    copies = stored(named.join(several, "version").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "version"))
-    found = seeds.join(repeated, "key").groupBy("version").agg(F.collect_set("at").alias("seeds"))
-    found = stored(found.join(owner.select("version", F.col("first.doc_id").alias("doc_id")), "version"))
-    freed(spark)
-    versioned = docs.withColumn("_version", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-
-    def beside(left: DataFrame, right: DataFrame, name: str, how: str) -> DataFrame:
-        right = right.select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_at"), F.col(name).alias(f"_{name}"))
-        return left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_version") == F.col("_at")), how).drop("_doc_id", "_at")
-
-    asked = beside(versioned.select("doc_id", "text", "_version"), found, "seeds", "inner")
-    windows = stored(passage_windows(asked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_version").alias("version"), F.col("_seeds").alias("seeds"), "text")), "zstd")
-    freed(spark)
-    place = F.struct("doc_id", "version", "at")
-    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
-    later = windows.join(first, ["a", "b"]).where(~same | (F.col("at") - F.col("first.at") >= PASSAGE))
-    gone = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    gone = stored(gone.unionByName(copies.withColumn("starts", F.array(F.lit(WHOLE)))))
-    freed(spark)
-    joined = beside(versioned, gone, "starts", "left").drop("_version")
-    names, at = joined.columns, joined.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", 8 << 20):
-                texts = part.column("text").to_pylist()
-                for i, starts in enumerate(part.column("_starts").to_pylist()):
-                    if starts:
-                        texts[i] = "" if starts == [WHOLE] else without_passages(texts[i].encode(), starts).decode()
-                columns = [part.column(c) for c in names]
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.mapInArrow(run, joined.schema).drop("_starts")
+    place, here = F.struct("doc_id", "version", "at"), F.struct("doc_id", "version")
+    with scratch(spark) as keep:
+        seeds = keep(passage_seeds(docs))
+        spread = F.xxhash64("version", "at")
+        repeated = seeds.groupBy("key").agg(F.min(spread).alias("low"), F.max(spread).alias("high")).where("low <> high").select("key")
+        named = seeds.select("doc_id", "version").distinct()
+        owner = keep(named.groupBy("version").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")))
+        several = owner.where(~F.col("first").eqNullSafe(F.col("last"))).select("version", F.col("first.doc_id").alias("first_id"))
+        copies = keep(named.join(several, "version").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "version"))
+
+        found = keep(maybe_in(seeds, key_bits(keep(repeated), "key"), "key"))
+        earliest = keep(found.groupBy("key", "around").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+        told = marked(found, key_bits(earliest, "key", "around"), "_maybe", "key", "around")
+        sure = (F.col("first").isNotNull() & ~here.eqNullSafe(F.struct("first.doc_id", "first.version"))).alias("sure")
+        met = told.where("_maybe").join(earliest.hint("merge"), ["key", "around"], "left").select("doc_id", "version", "at", sure)
+        told = keep(met.unionByName(told.where("not _maybe").select("doc_id", "version", "at", F.lit(False).alias("sure"))))
+
+        asked = keep(told.where("not sure").groupBy("doc_id", "version").agg(F.collect_set("at").alias("seeds")))
+        versioned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+        named = asked.withColumnsRenamed({"doc_id": "_id", "version": "_at"}).hint("merge")
+        texts = maybe_in(versioned, key_bits(asked, "version"), "version").join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_at")))
+        windows = keep(passage_windows(texts), "zstd")
+        freed(spark)
+        runs = keep(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("c")).where(~F.col("first").eqNullSafe(F.col("last"))))
+        many = runs.where("c > 2")
+        met = maybe_in(windows, key_bits(many, "a"), "a").join(many.select("a", "b", "first").hint("merge"), ["a", "b"])
+        both = met.select(place.alias("it"), "first").unionByName(runs.where("c = 2").select(F.col("last").alias("it"), "first"))
+        same = F.col("it.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("it.version") == F.col("first.version"))
+        later = both.where(~same | (F.col("it.at") - F.col("first.at") >= PASSAGE)).select("it.doc_id", "it.version", F.col("it.at").alias("start"))
+        rows = later.unionByName(copies.withColumn("start", F.lit(WHOLE))).withColumn("seed", F.lit(None).cast("int"))
+        rows = rows.unionByName(told.where("sure").select("doc_id", "version", F.lit(None).cast("int").alias("start"), F.col("at").alias("seed")))
+        gone = stored(rows.groupBy("doc_id", "version").agg(*[F.sort_array(F.collect_set(c)).alias(n) for c, n in (("start", "_starts"), ("seed", "_seeds"))]))
+    return edited(docs, gone, ["_starts", "_seeds"], without_passages).drop("_starts", "_seeds")

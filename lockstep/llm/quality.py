@@ -159,13 +159,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fold
     """Fit on labelled rows whose fold is not ``held_out``: at most ``max_rows`` of them, those with the smallest hash of doc_id.
 
     The number of labels gives a level of the hash that twice as many pass, so that only those are sorted. The bound makes the label rows safe to broadcast and their statistics safe to gather. Rows with a null
-    doc_id or quality are left out; of several labels of a document each counts.
+    doc_id or quality are left out; of several labels of a document each counts, and of several texts of a doc_id the smallest.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id"), folds) != held_out)
     digest, n = F.md5(F.col("doc_id").cast("string").cast("binary")), usable.count()
     few = usable.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32 * n <= 2 * max_rows)
     some = few.select("doc_id", F.col("quality").cast("double").alias("_label")).orderBy(digest, "doc_id", "_label").limit(max_rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    once = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    joined = once.join(F.broadcast(some), "doc_id")
     rows = sorted(tuple(r) for r in with_statistics(joined, "doc_id", "_label").collect())
     data = np.array(rows, float).reshape(-1, 2 + len(STATISTICS))
     return fit_rules(data[:, 2:], (data[:, 1] > 0).astype(int))
@@ -175,6 +176,10 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, *keep: str) -> DataFrame
     """``keep`` columns and ``score`` (0 to 1) of each whole text.
 
     Null and empty texts get the score of their statistics, all 0; repeated rows come out as often; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. A kept column may have the name of a statistic, but not ``score``.
     """
-    return with_statistics(docs, *keep).select(*keep, model.score().alias("score"))
+    if "score" in keep:
+        raise ValueError("a column named score can't be kept beside the new one")
+    held = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"))
+    scored = with_statistics(held, "_kept").withColumn("_score", model.score())
+    return scored.select(*[F.col("_kept").getField(c).alias(c) for c in keep], F.col("_score").alias("score"))

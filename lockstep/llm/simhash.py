@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, text_slices, utf8
+from .common import map_batches, scratch, stored, text_slices, utf8
 from .components import connected_components
 
 SEGMENT_BITS, SEGMENTS = 2, 32
@@ -154,11 +154,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, seed: int
     Repeated rows come out as often; other columns are ignored; an empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle, seed))
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    roots = connected_components(fingerprint_links(nodes, most))
-    label = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = stored(label.join(smallest, "root").select("fp", "component_id"))
+    with scratch(docs.sparkSession) as keep:
+        nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+        roots = connected_components(fingerprint_links(nodes, most), keep=keep)
+        label = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        smallest = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        labels = stored(label.join(smallest, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(labels, "fp", "left").select("doc_id", hexed.alias("fingerprint"), "component_id")
 

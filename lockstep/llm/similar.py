@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, text_slices, utf8
+from .bits import key_bits, marked, maybe_in
+from .common import map_batches, scratch, stored, text_slices, utf8
 from .components import connected_components
 from .simhash import fingerprint, fingerprint_links
 
@@ -85,18 +86,19 @@ def spanning_pairs(sets: list[np.ndarray], least: float = 0.8) -> list[tuple[int
     return out
 
 
-def similar_links(docs: DataFrame, sketched: DataFrame, shingle: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def similar_links(docs: DataFrame, sketched: DataFrame, shingle: int = 5, least: float = 0.8, seed: int = 42, keep: Callable[..., DataFrame] = stored) -> DataFrame:
     """Links (src, dst) between fingerprints of texts with a Jaccard similarity of ``least`` or more that share a band.
 
     Texts with the same words are one node. Only texts in a band with other fingerprints are read again, for their
     sets. One band is read by one task, as different texts; it is searched without forming all pairs.
-    Rows without a doc_id are left out.
+    Rows without a doc_id are left out. ``keep`` writes the tables on the way.
     """
-    nodes = stored(sketched.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = keep(sketched.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     spread = nodes.select("node", "fp", F.posexplode("bands").alias("k", "band"))
     shared = spread.groupBy("k", "band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("k", "band")
-    asked = stored(spread.join(shared, ["k", "band"]))
-    places = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), "node")
+    shared = keep(shared)
+    asked = keep(maybe_in(spread, key_bits(shared, "k", "band", a_key=64), "k", "band").join(shared.hint("merge"), ["k", "band"]))
+    places = keep(nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), "node"))
 
     def read(batch: pa.RecordBatch) -> Iterator[list]:
         for part in text_slices(batch, "text", 2 << 20):
@@ -107,8 +109,8 @@ def similar_links(docs: DataFrame, sketched: DataFrame, shingle: int = 5, least:
                     rows.append((node, shingle_set(words, shingle, seed).tobytes()))
             yield [pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(places, "_id")
-    sets = stored(map_batches(texts.select("node", "text"), "node long, shingles binary", read).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), key_bits(places, "_id"), "_id").join(places.hint("merge"), "_id")
+    sets = keep(map_batches(texts.select("node", "text"), "node long, shingles binary", read).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fps, group, out = None, [], [], []
@@ -140,12 +142,18 @@ def keep_first(docs: DataFrame, shingle: int = 5, most: int = 3, least: float =
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, and one of its repeated rows.
 
     Linked are texts with fingerprints within ``most`` bits and those with a Jaccard similarity of ``least`` or more;
-    groups are what links connect. Rows without a doc_id all stay, since they can't be told apart.
+    groups are what links connect. Texts without a word, null or empty, are one group. Rows without a doc_id all stay, since
+    they can't be told apart. Other columns stay as they are; an empty table gives no rows. Only rows whose doc_id goes or repeats
+    are shuffled at the end; the others pass by a filter of bits.
     """
-    sketched = stored(sketches(docs, shingle, seed))
-    nodes = stored(sketched.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    links = fingerprint_links(nodes, most).unionByName(similar_links(docs, sketched, shingle, least, seed))
-    roots = connected_components(links).withColumnRenamed("node", "fp")
-    first = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stored(first.where("doc_id is not null")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    with scratch(docs.sparkSession) as keep:
+        sketched = keep(sketches(docs, shingle, seed))
+        nodes = keep(sketched.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+        links = fingerprint_links(nodes, most).unionByName(similar_links(docs, sketched, shingle, least, seed, keep))
+        roots = connected_components(links, keep=keep).withColumnRenamed("node", "fp")
+        first = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("doc_id").alias("_first")).select("_first").distinct()
+        ids = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).join(first, F.col("doc_id") == F.col("_first"), "left")
+        told = stored(ids.select(F.col("doc_id").alias("_id"), F.col("_first").isNotNull().alias("_stays"), "_n").where("not _stays or _n > 1"))
+    keyed = marked(docs.withColumn("_key", F.col("doc_id").cast("long")), key_bits(told, "_id"), "_maybe", "_key")
+    some = keyed.where("_maybe and doc_id is not null").join(told.hint("merge"), F.col("_key") == F.col("_id"), "left").where("_id is null or _stays").dropDuplicates(["doc_id"])
+    return keyed.where("not _maybe or doc_id is null").select(*docs.columns).unionByName(some.select(*docs.columns))
