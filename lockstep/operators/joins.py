@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], at: str, value: str, most: float) -> DataFrame:
     """Each row of ``left`` with the ``value`` of ``right`` nearest in time, the earlier one on ties, null if farther than ``most``.
 
-    Both sides are laid along one window per key; no pair is formed. Of several ``right`` rows at one time the smallest counts.
+    Both sides are laid along one window per key, once in each direction; no pair is formed. Of several ``right`` rows at one time the smallest counts.
     """
     right = right.groupBy(*key, at).agg(F.min(value).alias(value))
     marks = right.select(*key, F.col(at).alias("_at"), F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("_hit"), F.lit(0).alias("_left"), F.lit(None).cast(left.schema).alias("_row"))
     rows = left.select(*key, F.col(at).alias("_at"), F.lit(None).cast(marks.schema["_hit"].dataType).alias("_hit"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"))
-    w = Window.partitionBy(*key).orderBy("_at", "_left")
+    w, back = Window.partitionBy(*key).orderBy("_at", "_left"), Window.partitionBy(*key).orderBy(F.desc("_at"), F.desc("_left"))
+    run = (Window.unboundedPreceding, Window.currentRow)
     both = marks.unionByName(rows)
-    both = both.withColumn("_b", F.last("_hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first("_hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_b", F.last("_hit", True).over(w.rowsBetween(*run))).withColumn("_a", F.last("_hit", True).over(back.rowsBetween(*run)))
     before, after = F.col("_at") - F.col("_b.t"), F.col("_a.t") - F.col("_at")
     use_before = before.isNotNull() & (after.isNull() | (before <= after))
     chosen = both.where("_left = 1").withColumn("_c", F.when(use_before, F.col("_b")).otherwise(F.col("_a"))).withColumn("_d", F.when(use_before, before).otherwise(after))

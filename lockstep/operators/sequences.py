@@ -101,7 +101,8 @@ def pause_bounds(frame: DataFrame, key: list[str], by: list[str], at: str, least
     after = F.lead(at).over(w) - F.col(at)
     marked = frame.withColumn("_start", F.when(before.isNull() | (before >= least), F.col(at))).withColumn("_end", F.when(after.isNull() | (after >= least), F.col(at)))
     start = F.last("_start", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    end = F.first("_end", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in by])
+    end = F.last("_end", True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("phrase_start", start).withColumn("phrase_end", end).drop("_start", "_end")
 
 

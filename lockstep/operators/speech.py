@@ -20,7 +20,7 @@ def syllables(frame: DataFrame, key: list[str], by: list[str], nucleus: Column,
     w = ordered(key, by)
     marked = frame.withColumn("_on", F.coalesce(nucleus, F.lit(False)))
     so_far = F.count_if("_on").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    left = F.count_if("_on").over(w.rowsBetween(1, Window.unboundedFollowing))
+    left = F.count_if("_on").over(Window.partitionBy(*key)) - so_far
     stays = F.col("_on") | (left == 0) | (F.coalesce(F.lag("_on").over(w), F.lit(False)) & F.coalesce(coda, F.lit(False)))
     return marked.withColumn(out, F.greatest(F.when(stays, so_far - 1).otherwise(so_far), F.lit(0)).cast("int")).drop("_on")
 

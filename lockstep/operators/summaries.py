@@ -11,15 +11,49 @@ def mean_over_valid(scores: DataFrame, key: list[str], value: str, valid: Column
     return scores.where(valid).groupBy(*key).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(value).alias("n"))
 
 
+def quantiles(frame: DataFrame, key: list[str], value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+    """Exact quantiles, interpolated between neighbours, by key: a column for each name in ``shares``. Null values are left out.
+
+    No task holds the values of a key: they are counted by value first, ranged over ``parts`` slices of each key at approximate
+    quantiles, and only the slices' totals and each slice are put in order. Keys match null-safe.
+    """
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    edges = counts.groupBy(*key).agg(F.approx_percentile("_v", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
+    cut = _beside(counts, edges, key).withColumn("_part", F.aggregate("_edges", F.lit(0), lambda n, e: n + (e < F.col("_v")).cast("int"))).drop("_edges")
+    slices = cut.groupBy(*key, "_part").agg(F.sum("_c").alias("_m"))
+    w = Window.partitionBy(*key)
+    slices = slices.withColumn("_below", F.sum("_m").over(w.orderBy("_part")) - F.col("_m")).withColumn("_n", F.sum("_m").over(w)).drop("_m")
+    inside = Window.partitionBy(*key, "_part").orderBy("_v")
+    upto = _beside(cut, slices, [*key, "_part"]).withColumn("_upto", F.col("_below") + F.sum("_c").over(inside))
+    n = F.col("_n") - 1
+    found = upto.groupBy(*key).agg(
+        *[F.min(F.when(F.col("_upto") > f(F.lit(share) * n), F.col("_v"))).alias(f"_{side}_{name}") for name, share in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))], F.max("_n").alias("_n")
+    )
+    step = lambda name, share: F.col(f"_low_{name}") + (F.lit(share) * n - F.floor(F.lit(share) * n)) * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))
+    return found.select(*key, *[step(name, share).alias(name) for name, share in shares.items()])
+
+
+def _beside(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` of the same key, null matching null."""
+    if not key:
+        return left.join(right)
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in key})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key]
+    return left.join(named, on).drop(*[f"_r_{k}" for k in key])
+
+
 def null_floor(nulls: DataFrame, key: list[str], value: str) -> DataFrame:
     """median, mean, sample deviation and 95th percentile of null scores."""
-    return nulls.groupBy(*key).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    spread = nulls.groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    found = _beside(spread, quantiles(nulls, key, value, {"median": 0.5, "p95": 0.95}), key)
+    return found.select(*key, "median", "mean", "sd", "p95")
 
 
 def mad_threshold(frame: DataFrame, key: list[str], value: str, times: float = 5.0) -> DataFrame:
     """median, MAD and median + ``times`` MAD per key; the threshold is null (no bound) where the MAD is 0."""
-    mid = frame.groupBy(*key).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    mad = frame.join(mid, key).groupBy(*key, "median").agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    mid = quantiles(frame, key, value, {"median": 0.5})
+    gaps = _beside(frame.select(*key, value), mid, key).withColumn("_gap", F.abs(F.col(value) - F.col("median")))
+    mad = quantiles(gaps, [*key, "median"], "_gap", {"mad": 0.5})
     return mad.withColumn("threshold", F.when(F.col("mad") > 0, F.col("median") + times * F.col("mad")))
 
 
@@ -69,11 +103,21 @@ def holm(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
     return tests.withColumn("_raw", (m - F.row_number().over(w) + 1) * F.col(p)).withColumn("p_holm", F.least(F.lit(1.0), F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
 
 
-def average_ranks(frame: DataFrame, key: list[str], column: str, out: str) -> DataFrame:
-    """Ranks within a key, ties sharing their mean."""
-    w = Window.partitionBy(*key)
-    ties = F.count("*").over(Window.partitionBy(*key, column))
-    return frame.withColumn(out, F.rank().over(w.orderBy(column)) + (ties - 1) / 2)
+def average_ranks(frame: DataFrame, key: list[str], column: str, out: str, parts: int = 64) -> DataFrame:
+    """Ranks within a key, ties sharing their mean; a null value has a null rank.
+
+    Ranks are found on distinct values, sliced as in ``quantiles``, and joined back: a key with a third of all rows is no one's task.
+    """
+    counts = frame.where(F.col(column).isNotNull()).groupBy(*key, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    edges = counts.groupBy(*key).agg(F.approx_percentile("_v", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
+    cut = _beside(counts, edges, key).withColumn("_part", F.aggregate("_edges", F.lit(0), lambda n, e: n + (e < F.col("_v")).cast("int"))).drop("_edges")
+    slices = cut.groupBy(*key, "_part").agg(F.sum("_c").alias("_m"))
+    slices = slices.withColumn("_below", F.sum("_m").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_m")).drop("_m")
+    inside = Window.partitionBy(*key, "_part").orderBy("_v")
+    ranks = _beside(cut, slices, [*key, "_part"]).withColumn(out, F.col("_below") + F.sum("_c").over(inside) - (F.col("_c") - 1) / 2).select(*key, "_v", out)
+    named = ranks.withColumnsRenamed({k: f"_r_{k}" for k in key})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key] + [F.col(column) == F.col("_v")]
+    return frame.join(named, on, "left").drop("_v", *[f"_r_{k}" for k in key])
 
 
 def merge_rare(frame: DataFrame, level: str, least: int, other: str = "other") -> DataFrame:
@@ -84,4 +128,4 @@ def merge_rare(frame: DataFrame, level: str, least: int, other: str = "other") -
 
 def tertile_edges(items: DataFrame, value: str) -> DataFrame:
     """The 1/3 and 2/3 quantiles of a value: one row."""
-    return items.agg(F.percentile(value, F.lit(1 / 3)).alias("q1"), F.percentile(value, F.lit(2 / 3)).alias("q2"))
+    return quantiles(items, [], value, {"q1": 1 / 3, "q2": 2 / 3})

@@ -73,9 +73,11 @@ def cohort_flow(spark: SparkSession, folder: str) -> DataFrame:
     return c.agg(F.count("*").alias("all_"), F.count_if(F.col("c_acctbal") > 0).alias("solvent"), F.count_if(inside).alias("cohort")).join(active)
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')""")
 def missing_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select("c_custkey").join(table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order."""
+    urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, folder, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
@@ -121,8 +123,9 @@ SELECT event_type, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x
 @query(RULER)
 def percentile_ruler(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.avg((F.col("value") < 50).cast("int")).alias("inside"))
-    return rounded(q.select("event_type", *[F.col("q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))], "inside"), "p10", "p50", "p90", "inside")
+    q = agg.quantiles(e, ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    inside = e.groupBy("event_type").agg(F.avg((F.col("value") < 50).cast("int")).alias("inside"))
+    return rounded(q.join(inside, "event_type"), "p10", "p50", "p90", "inside")
 
 
 @query("""SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag""")
@@ -364,8 +367,10 @@ def top_values(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumn("_k", F.row_number().over(w)).where("_k <= 3").drop("_k")
 
 
-@query("""SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders""")
+@query("""SELECT c_custkey AS key FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000""")
 def common_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select(F.col("c_custkey").alias("key")).intersect(table(spark, folder, "orders").select("o_custkey"))
+    """Solvent customers with a large order."""
+    large = table(spark, folder, "orders").where("o_totalprice > 300000").select("o_custkey")
+    return table(spark, folder, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key")).intersect(large)
 
 
