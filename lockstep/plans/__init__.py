@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import stats, trials
+from . import assembly, inference, signals, stats, trials
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "stats", "trials"]
+__all__ = ["QUERIES", "SQL", "assembly", "inference", "signals", "stats", "trials"]
