@@ -17,7 +17,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases and labels of the base scan.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates of the notices. [[...]] is optional; {{n}} stands for up to n words of any wording.
+#: Templates of notices and of whole license texts. [[...]] is optional; {{n}} stands for up to n words of any wording.
 TEMPLATES = {
     "notice:mit": "[[this work is]] released under the mit license",
     "notice:apache": "licensed under the apache license [[version 2 0]]",
@@ -26,9 +26,43 @@ TEMPLATES = {
     "notice:bsd": "[[this work is]] [[released]] [[licensed]] under the bsd [[{{2}} clause]] license",
     "notice:reserved": "[[copyright {{6}}]] all rights reserved",
     "grant:mit": "permission is hereby granted free of charge to any person obtaining a copy of {{4}} software and associated documentation files",
+    "license:mit": """[[The MIT License [[(MIT)]]]] [[Copyright {{12}}]] Permission is hereby granted, free of charge, to any person obtaining a copy
+        of {{4}} software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+        furnished to do so, subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]] shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        {{8}} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "license:isc": """[[ISC License]] [[Copyright {{12}}]] Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without
+        fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        {{6}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+        {{6}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "license:bsd": """[[Copyright {{12}}]] [[All rights reserved.]] Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: [[1.]] Redistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. [[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. [[[[3.]] Neither the name of {{10}} nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission.]]
+        THIS SOFTWARE IS PROVIDED BY {{8}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{8}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "header:apache": """[[Copyright {{12}}]] Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "notice:cc-work": """This work is licensed under [[a]] [[the]] Creative Commons Attribution [[NonCommercial]] [[NoDerivatives]] [[NoDerivs]] [[ShareAlike]]
+        {{2}} [[International]] [[Unported]] License""",
 }
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, or of a template's wording: A-Z in lower case."""
+    return WORD.findall(text.lower())
+
+
 @dataclass
 class Automaton:
     """States over words: ``moves`` by word, ``wild`` by any word, ``free`` without one; ``end`` accepts."""
@@ -37,7 +71,7 @@ class Automaton:
     moves: list[dict[bytes, int]] = field(default_factory=list)
     wild: list[int | None] = field(default_factory=list)
     free: list[list[int]] = field(default_factory=list)
-    mandatory: int = 0
+    needed: set[bytes] = field(default_factory=set)
     end: int = 0
 
     def state(self) -> int:
@@ -66,10 +100,13 @@ class Automaton:
 
 
 def compile_template(label: str, template: str) -> Automaton:
-    """The automaton of a template. It has to begin with a fixed word, optional or not, and to need one."""
+    """The automaton of a template. It has to begin with a fixed word, optional or not, and to need one.
+
+    Its wording is cut into words as texts are; optional regions may lie in one another.
+    """
     out = Automaton(label)
     at, opened = out.state(), []
-    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|(?:(?!\[\[|\]\]|\{\{\d+\}\})\S)+", template):
         if token == "[[":
             opened.append(at)
             fresh = out.state()
@@ -90,12 +127,14 @@ def compile_template(label: str, template: str) -> Automaton:
             out.free[at].append(end)
             at = end
         else:
-            fresh = out.state()
-            out.moves[at][token.encode()] = fresh
-            out.mandatory += not opened
-            at = fresh
+            for word in words_of(token.encode()):
+                fresh = out.state()
+                out.moves[at][word] = fresh
+                if not opened:
+                    out.needed.add(word)
+                at = fresh
     out.end = at
-    if opened or not out.mandatory or any(out.wild[s] is not None for s in out.closure({0})):
+    if opened or not out.needed or any(out.wild[s] is not None for s in out.closure({0})):
         raise ValueError(f"{label}: unclosed, without mandatory words, or begins with any words")
     return out
 
@@ -110,8 +149,6 @@ class Scanner:
         for a in self.automata:
             for w in a.first_words:
                 self.by_first.setdefault(w, []).append(a)
-        #: Words without which a template can't match.
-        self.needed = [frozenset(re.sub(r"\[\[.*?\]\]|\{\{.*?\}\}", "", t).encode().split()) for t in templates.values()]
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
         found = []
@@ -127,14 +164,14 @@ class Scanner:
         return found
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, str]]:
-        """(start, end, label) of the longest match of each template from each place where it can begin."""
+        """(start, end, label) of each template's matches: the leftmost, as long as it can be, then the next one behind it."""
         held, found = set(words), []
-        wanted = {id(a) for a, need in zip(self.automata, self.needed, strict=True) if need <= held}
+        wanted = {id(a): 0 for a in self.automata if a.needed <= held}
         if not wanted:
             return found
         for at, word in enumerate(words):
             for a in self.by_first.get(word, ()):
-                if id(a) not in wanted:
+                if wanted.get(id(a), len(words)) > at:
                     continue
                 states, last, i = a.closure({0}), 0, at
                 while states and i < len(words):
@@ -144,6 +181,7 @@ class Scanner:
                         last = i
                 if last:
                     found.append((at, last, a.label))
+                    wanted[id(a)] = last
         return found
 
 
@@ -152,7 +190,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
 
     A-Z count as lower case; a word is a run of ASCII letters, digits and characters beyond ASCII. ``base`` holds
     every place where the words of a phrase stand consecutively; ``matches`` the spans of templates whose mandatory
-    wording stands exactly, with optional regions or not, and replaceable ones by other words. The score is 0 without
+    wording stands exactly, with optional regions or not, and replaceable ones by other words; the spans of one template don't overlap. The score is 0 without
     any place, else 1 - 2^-(places of the base + 2 x templates found), at most 1.
 
     A null text counts as empty; it and a text without words have no place, null first_word and last_word, empty
@@ -167,7 +205,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
         for part in text_slices(batch, "text"):
             rows = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True):
-                words = WORD.findall(text.lower())
+                words = words_of(text)
                 rows.append((doc_id, len(words), [{"word": w, "label": x} for w, x in sorted(scanner.base(words))], [{"start": s, "end": e, "label": x} for s, e, x in scanner.matches(words)]))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), place, span), strict=True)]

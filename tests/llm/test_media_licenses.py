@@ -93,3 +93,53 @@ def test_templates_need_fixed_words():
     for bad in ("[[a]]", "{{3}} a", "[[a b"):
         with pytest.raises(ValueError):
             licenses.compile_template("x", bad)
+
+
+def expansions(template, fill):
+    """All word lists that a template stands for, replaceable regions empty or full, and for each word whether it is mandatory."""
+    tokens = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|(?:(?!\[\[|\]\]|\{\{\d+\}\})\S)+", template)
+
+    def parse(at, depth):
+        out = [[]]
+        while at < len(tokens) and tokens[at] != "]]":
+            token = tokens[at]
+            if token == "[[":
+                at, inner = parse(at + 1, depth + 1)
+                inner = [[], *inner]
+            elif token.startswith("{{"):
+                inner = [[], [(fill, False)] * int(token[2:-2])]
+            else:
+                inner = [[(w.decode(), not depth) for w in licenses.words_of(token.encode())]]
+            out = [a + b for a in out for b in inner][:256]
+            at += 1
+        return at, out
+
+    return parse(0, 0)[1]
+
+
+@pytest.mark.parametrize("template", ["red [[quick [[brown]] old]] fox", "Red-Fox [[, {{2}} ]] (runs) [[a [[b [[c]]]]]]", *licenses.TEMPLATES.values()])
+def test_templates_accept_their_expansions_and_no_changed_wording(template):
+    scanner = licenses.Scanner({}, {"t": template})
+    for words in expansions(template, "zzz"):
+        texts = [w.encode() for w, _ in words]
+        assert scanner.matches(texts)[:1] == [(0, len(texts), "t")]
+        places = [k for k, (_, needed) in enumerate(words) if needed]
+        for k in places[:: max(1, len(places) // 8)]:
+            changed = [*texts[:k], b"qqq", *texts[k + 1 :]]
+            assert all(e - s < len(texts) or s > 0 for s, e, _ in scanner.matches(changed)) and scanner.matches(changed) == []
+
+
+def test_one_notice_counts_once():
+    scanner = licenses.Scanner({}, licenses.TEMPLATES)
+    words = b"this work is licensed under the gnu general public license version 2".split()
+    assert [x for x in scanner.matches(words) if x[2] == "notice:gpl"] == [(0, 12, "notice:gpl")]
+    twice = [*words, b"and", *words]
+    spans = [x[:2] for x in scanner.matches(twice) if x[2] == "notice:gpl"]
+    assert len(spans) == 2 and spans[0][0] == 0 and spans[0][1] <= spans[1][0] and spans[1][1] == 25
+
+
+def test_labels_and_score_of_whole_texts(spark):
+    rows = [(k, " ".join(w for w, _ in expansions(t, "Someone")[-1]) + " and more.") for k, t in enumerate(licenses.TEMPLATES.values())]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in enumerate(licenses.TEMPLATES):
+        assert label in got[k].labels.split(",") and got[k].score == 1 - 2.0 ** -(got[k].n_base + 2 * len(got[k].matches))
