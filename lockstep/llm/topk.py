@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 
 def sign_code(embedding: Column) -> Column:
@@ -40,8 +41,9 @@ class MultiIndex:
     def _value(bits: np.ndarray) -> np.ndarray:
         return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1] - 1, -1, -1, dtype=np.int64))
 
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes and distances of all codes within the kth smallest distance (all codes if fewer than k)."""
+    def search(self, query: np.ndarray, k: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes and distances of all codes within the kth smallest distance (all codes if fewer than k), and within ``most`` if given."""
+        most = query.size if most is None else most
         packed = np.packbits(query)
         seen = np.zeros(len(self.bits), bool)
         found, distances = [], []
@@ -59,54 +61,91 @@ class MultiIndex:
             found.append(new)
             distances.append(np.bitwise_count(self.packed[new] ^ packed).sum(axis=1, dtype=np.int64))
             so_far = np.concatenate(distances)
-            if len(so_far) >= k and np.partition(so_far, k - 1)[k - 1] <= len(self.cuts) * (radius + 1) - 1:
+            kth = np.partition(so_far, k - 1)[k - 1] if len(so_far) >= k else query.size
+            if min(kth, most) <= len(self.cuts) * (radius + 1) - 1:
                 break
         at, far = np.concatenate(found), np.concatenate(distances)
+        at, far = at[far <= most], far[far <= most]
         if len(far) > k:
             keep = far <= np.partition(far, k - 1)[k - 1]
             at, far = at[keep], far[keep]
         return at, far
 
 
+def _bits(texts: list[str]) -> np.ndarray:
+    return (np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), -1) == 49).astype(np.uint8)
+
+
+def _searched(items: DataFrame, queries: DataFrame, k: int, query_block: int) -> DataFrame:
+    """The k best of each query (b, code, most) among the items (b, code, ids) of its block: code, ids, distances.
+
+    A block's items come first and make its index, once; its queries stream past, however many they are, and their results
+    are handed on ``query_block`` at a time.
+    """
+    none = F.lit(None)
+    left = items.select("b", F.lit(0).alias("kind"), "code", "ids", none.cast("int").alias("most"))
+    both = left.unionByName(queries.select("b", F.lit(1).alias("kind"), "code", none.cast("array<long>").alias("ids"), "most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index, out = None, {}, {}, []
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["code", "ids", "distances"])
+
+        for batch in batches:
+            for b, kind, code, ids, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block:
+                    block, held, index = b, {}, {}
+                width = len(code)
+                if not kind:
+                    held.setdefault(width, []).append((code, ids))
+                    continue
+                if width not in held:
+                    continue
+                if width not in index:
+                    index[width] = MultiIndex(_bits([c for c, _ in held[width]]))
+                at, far = index[width].search(_bits([code])[0], k, most)
+                best = sorted((d, i) for a, d in zip(at.tolist(), far.tolist(), strict=True) for i in held[width][a][1])[:k]
+                out.append((code, [i for _, i in best], [d for d, _ in best]))
+                if len(out) >= query_block:
+                    yield flush()
+        yield flush()
+
+    return both.repartition("b").sortWithinPartitions("b", "kind").mapInArrow(run, "code string, ids array<long>, distances array<int>")
+
+
 def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = 10, block: int = 32768, query_block: int = 4096) -> DataFrame:
     """The k nearest items of each query by Hamming distance of codes: query_id, rank, id, distance.
 
     ``items`` and ``queries`` have id (long) and code (text of 0 and 1). A query is no neighbour of itself;
-    ties go to the smaller id. Equal codes meet first: a code keeps only its k + 1 smallest ids, since no more
+    ties go to the smaller id. Equal codes meet first: a code keeps only its k + 1 smallest ids, ranked in salted groups, since no more
     can be among the results, so that a vector that repeats often costs one entry. Distinct codes are dealt into
-    blocks by hash, distinct query codes too; each pair of blocks is one bounded task that builds the
-    indexes of its block and gives the k best of each query there, which then merge.
+    blocks of about ``block`` by hash. Each distinct query code first searches the block of its own hash; the distance
+    of its kth there bounds the radius of the search in all other blocks, which most end soon. Items are moved once,
+    queries once for each block, and a block's index is made once for all of them.
 
     A null code is neither found nor searched; codes of another length than the query's are not
     compared; repeated rows count once; other columns are ignored; empty tables give no rows.
     """
-    base = items.where("code is not null and id is not null").select(F.col("id").cast("long").alias("id"), "code")
-    per_code = base.groupBy("code", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    per_code = per_code.select("code", F.slice("ids", 1, k + 1).alias("ids"))
-    codes = stored(per_code.groupBy("code").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")))
-    asked = stored(queries.where("code is not null and id is not null").select(F.col("id").cast("long").alias("query_id"), "code").distinct())
-    asked_codes = stored(asked.select("code").distinct())
-    n_blocks, n_asked = -(-max(1, codes.count()) // block), -(-max(1, asked_codes.count()) // query_block)
-
-    db = codes.withColumn("b", F.pmod(F.xxhash64("code"), F.lit(n_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    qs = asked_codes.withColumn("q", F.pmod(F.xxhash64("code"), F.lit(n_asked)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for width, mine in left.groupby(left["code"].str.len()):
-            wanted = right.loc[right["code"].str.len() == width, "code"].tolist()
-            if not wanted:
-                continue
-            as_bits = lambda texts: (np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), width) == 49).astype(np.uint8)
-            index, ids = MultiIndex(as_bits(mine["code"].tolist())), mine["ids"].tolist()
-            for text, bits in zip(wanted, as_bits(wanted), strict=True):
-                at, far = index.search(bits, k + 1)
-                best = sorted((d, int(i)) for a, d in zip(at.tolist(), far.tolist(), strict=True) for i in ids[a])[: k + 1]
-                rows.append((text, [i for _, i in best], [d for d, _ in best]))
-        return pd.DataFrame(rows, columns=["code", "ids", "distances"])
-
-    found = db.groupBy("b", "q").cogroup(qs.groupBy("b", "q")).applyInPandas(search, "code string, ids array<long>, distances array<long>")
-    pairs = F.arrays_zip(F.col("distances").alias("distance"), F.col("ids").alias("id"))
-    best = found.groupBy("code").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("best"))
+    with scratch(items.sparkSession) as keep:
+        base = items.where("code is not null and id is not null").select(F.col("id").cast("long").alias("id"), "code").distinct()
+        salted = Window.partitionBy("code", "salt").orderBy("id")
+        few = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_k", F.row_number().over(salted)).where(F.col("_k") <= k + 1)
+        codes = keep(few.groupBy("code").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")))
+        asked = stored(queries.where("code is not null and id is not null").select(F.col("id").cast("long").alias("query_id"), "code").distinct())
+        wanted = keep(asked.select("code").distinct())
+        n = -(-max(1, codes.count()) // block)
+        dealt = codes.withColumn("b", F.pmod(F.xxhash64("code"), F.lit(n)).cast("int"))
+        own = wanted.withColumn("b", F.pmod(F.xxhash64("code"), F.lit(n)).cast("int"))
+        best = keep(_searched(dealt, own.withColumn("most", F.lit(None).cast("int")), k + 1, query_block))
+        if n > 1:
+            bound = best.where(F.size("distances") > k).select("code", F.element_at("distances", -1).alias("most"))
+            others = own.join(bound, "code", "left").select("code", "most", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: b != F.col("b"))).alias("b"))
+            best = best.unionByName(_searched(dealt, others, k + 1, query_block))
+        pairs = F.arrays_zip(F.col("distances").alias("distance"), F.col("ids").alias("id"))
+        best = stored(best.groupBy("code").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("best")))
     mine = asked.join(best, "code").withColumn("best", F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k))
     return mine.select("query_id", F.posexplode("best").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.id").alias("id"), F.col("hit.distance").cast("int").alias("distance"))

@@ -85,3 +85,10 @@ def test_top_k_odd_rows_in_many_blocks(spark):
     assert sorted(map(tuple, got.collect())) == plain_top_k(items, queries, 7)
     assert topk.hamming_top_k(frame.limit(0), frame.limit(0), 3).count() == 0
     assert spark.createDataFrame([([],), (None,), ([0.5, -1.0, 0.0],)], "e array<double>").select(topk.sign_code(F.col("e")).alias("c")).collect()[2].c == "100"
+
+
+def test_top_k_over_twenty_blocks(spark):
+    items = [(i, format(i * 2654435761 % (1 << 20), "020b")) for i in range(800)] + [(800 + i, "0" * 20) for i in range(30)]
+    frame = spark.createDataFrame(items, "id long, code string")
+    queries = [x for x in items if x[0] % 25 == 0]
+    assert sorted(map(tuple, topk.hamming_top_k(frame, frame.where("id % 25 = 0"), 5, block=40).collect())) == plain_top_k(items, queries, 5)
