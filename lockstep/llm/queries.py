@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licenses, linededup, media, mixing, packing, quality, records, simhash, topk
-from .common import stored, work_dir
+from .common import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -25,38 +25,44 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids; a null or empty text is one piece with the end id alone, repeated rows are packed as often."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest codes of every vector with an id divisible by 100; ties go to the smaller id, null and empty vectors are neither found nor searched."""
     codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
     return topk.hamming_top_k(codes, codes.where("id % 100 = 0"), 10)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of sources and what the mix takes of each document; a null source is one of its own, a null text has size 0, repeated rows are decided alike."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored picture, read back; a null text counts as empty, equal texts have equal values, repeated rows come as often."""
     found = media.document_media(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and templates in every whole text; null and empty texts have none, repeated rows come as often."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of ids with their index written beside them, read back; a null text is empty, rows of one doc_id are ordered by a hash of the text."""
     path = work_dir(spark)
     records.write_records(_table(spark, sf_dir, "documents"), path, tokenizer_path())
-    index = stored(records.scan_index(spark, path))
-    return records.global_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return records.global_starts(records.write_index(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; null and empty texts are scored by their statistics, a null doc_id isn't held out, repeated rows come as often."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
     held_out = F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
@@ -64,6 +70,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; one that is null or without a letter is und, a null doc_id isn't held out, repeated rows come as often."""
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit_languages(docs))
     held_out = F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
@@ -71,15 +78,18 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text less the chunks of lines that stand in an earlier one; a null text stays null, rows that agree in doc_id and text stay alike."""
     found = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of fingerprints within 3 bits; null and empty texts have fingerprint 0, a null doc_id is larger than any other, repeated rows come as often."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py; what each does with odd rows stands there."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -62,9 +62,9 @@ def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
 def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Tokenise ``docs``, append ``end_id`` to each and write the shards below ``path``.
 
-    One shuffle ranges the texts by doc_id; adaptive execution sets the size of a shard. A null text is
-    empty, a null doc_id comes first, repeated rows are repeated records, other columns are ignored,
-    an empty table gives no record.
+    One shuffle ranges the texts by doc_id and, within one doc_id, by a hash of the text, so that a doc_id of many rows is
+    split too and any run gives the same order. A null text is empty, a null doc_id comes first, repeated rows are repeated
+    records, other columns are ignored, an empty table gives no record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     out.append(unframed(frame(head + ids + end)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
@@ -112,16 +113,28 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
     return shards(spark, path).mapInArrow(run, INDEX_SCHEMA)
 
 
+def write_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of the shards at ``path``, written beside them (``<path>.index``) for reads in any order, and read back."""
+    scan_index(spark, path).write.parquet(f"{path}.index")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{path}.index")
+
+
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard files: shard (the number in its name), content."""
+    """The shard files: shard (from the numbers of the task and of its file, of which a task may write several), content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    number = lambda pattern: F.coalesce(F.regexp_extract("path", pattern, 1).try_cast("int"), F.lit(0))
+    return files.select((number(r"part-(\d+)[^/]*$") * 1000 + number(r"-c(\d+)[^/]*$")).alias("shard"), "content")
 
 
 def global_starts(index: DataFrame) -> DataFrame:
     """``index`` with ``start``: the ids of all records before one, over all shards.
 
-    The window holds one row for each shard file.
+    The window holds one row for each shard file. Repeated rows and null doc_ids have records and starts of their own; an
+    empty index gives no rows.
     """
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("_n")).select("shard", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"))
@@ -131,7 +144,8 @@ def global_starts(index: DataFrame) -> DataFrame:
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Records that rows of the index name (shard, at), in any order: doc_id, ids.
 
-    The wanted offsets of a shard meet its file once.
+    The wanted offsets of a shard meet its file once. A record asked for twice comes twice, a null doc_id stays null; nothing
+    wanted gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

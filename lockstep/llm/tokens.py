@@ -26,7 +26,7 @@ class MemoTokenizer:
     token, and all texts of other files are encoded as they are.
     """
 
-    def __init__(self, path: str, max_held: int = 380_000):
+    def __init__(self, path: str, max_held: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

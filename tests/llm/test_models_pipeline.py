@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lockstep.llm import langid, quality
+from lockstep.llm.common import stored
 from lockstep.llm.queries import op7_quality_rules, op8_language_centroids
 
 SF = "/root/testdata/sf0.01"
@@ -87,3 +88,52 @@ def test_pipeline_odd_rows(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, SF)
     assert docs.count() > 0
+
+
+CLASH = ("size", "rate", "target", "score", "n_words", "removed", "_source", "_rest", "_kept", "copies", "key", "_size", "_at", "_version")
+
+
+def test_every_stage_on_odd_rows_empty_tables_and_clashing_names(spark, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        for c in CLASH:
+            docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+        columns, empty = docs.columns, docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, SF))
+            if name == "packing":
+                break
+            assert docs.columns == columns and docs.isEmpty() == empty
+            wrong = " or ".join(f"`{c}` is null or `{c}` <> concat('{c} of ', coalesce(string(doc_id), 'null'))" for c in CLASH)
+            assert docs.where(wrong).count() == 0
+        assert docs.isEmpty() == empty
+
+
+def plain_statistics(text):
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    n, w, m = max(1, len(text)), max(1, len(words)), max(1, len(lines))
+    share = lambda chars: sum(c in chars for c in text) / n
+    symbols = b"!#$%&*+/<=>@[\\]^_`{|}~"
+    return (
+        len(text), len(words), sum(map(len, words)) / w, max(map(len, words), default=0),
+        share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b".,;:?'\"-()"), share(symbols), share(b" \t"), share(b"\n"), sum(c > 127 for c in text) / n,
+        len(set(words)) / w, max(map(words.count, words), default=0) / w, len(set(lines)) / m if lines else 0, len(words) / m,
+        sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / m, sum(x.isupper() and len(x) > 1 for x in words) / w, sum(x[-1] in symbols for x in words) / w,
+    )
+
+
+def test_statistics_against_a_loop():
+    for text in ("", " \n", "One TWO two! #x\nÉté 12, (a) b? \n\nEND.", "a" * 50 + "\t{} ~"):
+        assert np.allclose(quality.text_statistics(text.encode()), plain_statistics(text.encode()))
+
+
+def test_lasso_meets_its_conditions():
+    rng = np.random.default_rng(3)
+    z = (rng.random((500, 8)) < 0.4).astype(float)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1])))).astype(float)
+    bias, w = quality.lasso_logistic(z, y, 0.02, steps=4000)
+    scale = z.std(axis=0)
+    error = 1 / (1 + np.exp(-(z @ w + bias))) - y
+    gradient = ((z - z.mean(axis=0)) / scale).T @ error / len(y)
+    on = np.abs(w) > 1e-9
+    assert abs(error.mean()) < 1e-6 and on[:2].all() and not on.all()
+    assert np.allclose(gradient[on], -0.02 * np.sign(w[on]), atol=1e-5) and (np.abs(gradient[~on]) <= 0.02 + 1e-5).all()
