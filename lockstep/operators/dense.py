@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .permutation import balanced_halves
+
 
 def ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     """Coefficients of y on x with a squared penalty."""
@@ -19,8 +22,13 @@ def condition(x: np.ndarray) -> float:
     return float(s[0] / s[-1]) if s[-1] > 0 else float("inf")
 
 
-def tuned_alpha(y: np.ndarray, x: np.ndarray, folds: np.ndarray, alphas: list[float]) -> tuple[float, float]:
-    """The smallest alpha with the least mean squared error of x from y over the folds, and that error.
+def least_on_plateau(errors: np.ndarray) -> int:
+    """The first place whose error is within 1e-8, or a millionth, of the least."""
+    return int(np.flatnonzero(errors <= errors.min() + max(1e-8, 1e-6 * abs(float(errors.min()))))[0])
+
+
+def alpha_errors(y: np.ndarray, x: np.ndarray, folds: np.ndarray, alphas: list[float]) -> np.ndarray | None:
+    """The mean squared error of x from y for each alpha, over the folds; None if no fold can be used.
 
     The penalty of a fold is alpha times the mean sum of squares of its training channels. Folds with fewer training rows than channels are left out.
     """
@@ -37,10 +45,15 @@ def tuned_alpha(y: np.ndarray, x: np.ndarray, folds: np.ndarray, alphas: list[fl
             guess = (seen * (s / (s**2 + a * scale))) @ target
             errors[k] += float(((x[test] - center_x - guess) ** 2).mean())
         used += 1
-    if not used:
+    return errors / used if used else None
+
+
+def tuned_alpha(y: np.ndarray, x: np.ndarray, folds: np.ndarray, alphas: list[float]) -> tuple[float, float]:
+    """The smallest alpha on the plateau of the least error, and its error; NaN if no fold can be used."""
+    errors = alpha_errors(y, x, folds, alphas)
+    if errors is None:
         return float("nan"), float("nan")
-    errors /= used
-    best = int(np.flatnonzero(errors <= errors.min() * (1 + 1e-9))[0])
+    best = least_on_plateau(errors)
     return alphas[best], float(errors[best])
 
 
@@ -61,51 +74,97 @@ def back_to_back(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray,
     return np.diag(h), bool(valid)
 
 
+_eight = cache(balanced_halves)
+
+
 def first_half(blocks: np.ndarray, split: int) -> np.ndarray:
-    """Rows of the half that a split trains on first: half of the blocks, in an order drawn for each pair of splits; an odd split swaps the halves."""
-    order = np.random.default_rng(split // 2 + 1).permutation(np.unique(blocks))
+    """Rows of the half that a split trains on first.
+
+    8 blocks are halved by the balanced assignments, of which there are 20; other numbers in an order drawn for each pair of
+    splits, of which the odd one swaps the halves.
+    """
+    every = np.unique(blocks)
+    if len(every) == 8:
+        halves = _eight()
+        return np.isin(blocks, every[np.array(halves[split % len(halves)][1]) - 1])
+    order = np.random.default_rng(split // 2 + 1).permutation(every)
     half = np.isin(blocks, order[: len(order) // 2])
     return half if split % 2 == 0 else ~half
 
 
-def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float], splits: int = 20, folds: int = 4) -> DataFrame:
-    """Back-to-back scores: participant, split, direction, time, family, trace, score, alpha, valid.
+def _sorted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    rows = rows.sort_values("trial")
+    return rows, np.array(rows["x"].tolist(), float), np.array(rows["y"].tolist(), float)
 
-    ``trials`` has participant, time, trial, block, x (features) and y (channels), one row for each trial and time.
-    A group is one participant, time and split: blocks choose its half by a balanced hash, so that a group holds
-    trials x (features + channels) numbers, whatever the cohort's size. ``families`` gives the number of
-    consecutive features of each.
+
+def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds: int = 4) -> DataFrame:
+    """participant, split, direction, alpha: one penalty for all times, from the mean of the times' errors.
+
+    A group is a participant and time; its splits are gone through inside, so that no trial is copied.
     """
     from pyspark.sql import functions as F
 
+    def tune(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, x, y = _sorted(rows)
+        blocks, out = rows["block"].to_numpy(), []
+        for split in range(splits):
+            half = first_half(blocks, split)
+            for direction, first in ((1, half), (2, ~half)):
+                if first.sum() < 4 or (~first).sum() < 4:
+                    continue
+                fold = np.searchsorted(np.unique(blocks[first]), blocks[first]) % folds
+                errors = alpha_errors(y[first], x[first], fold, alphas)
+                if errors is not None:
+                    out += [(key[0], split, direction, k, float(e)) for k, e in enumerate(errors)]
+        return pd.DataFrame(out, columns=["participant", "split", "direction", "k", "error"])
+
+    found = trials.groupBy("participant", "time").applyInPandas(tune, "participant long, split int, direction int, k int, error double")
+    mean = found.groupBy("participant", "split", "direction", "k").agg(F.avg("error").alias("e"))
+    ranked = mean.groupBy("participant", "split", "direction").agg(F.min("e").alias("least"), F.collect_list(F.struct("k", "e")).alias("all"))
+    plateau = F.filter("all", lambda p: p["e"] <= F.col("least") + F.greatest(F.lit(1e-8), 1e-6 * F.abs("least")))
+    chosen = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.array_min(F.transform(plateau, lambda p: p["k"])) + 1)
+    return ranked.select("participant", "split", "direction", chosen.alias("alpha"))
+
+
+def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float], splits: int = 20, folds: int = 4, most_condition: float = 85.0) -> DataFrame:
+    """Back-to-back scores: participant, split, direction, time, family, trace, score, alpha, valid.
+
+    ``trials`` has participant, time, trial, block, x (features) and y (channels), one row for each trial and time.
+    A first pass gives each participant, split and direction one penalty for all times (``b2b_alphas``); the second one solves.
+    A group of both is one participant and time, trials x (features + channels) numbers, whatever the cohort's size and the
+    number of splits. A split is valid if both directions are. ``families`` gives the number of consecutive features of each.
+    """
     names, sizes = list(families), list(families.values())
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        participant, time, split = key
-        rows = rows.sort_values("trial")
-        x, y = np.array(rows["x"].tolist(), float), np.array(rows["y"].tolist(), float)
-        blocks = rows["block"].to_numpy()
-        half = first_half(blocks, int(split))
+    def solve(key: tuple, rows: pd.DataFrame, tuned: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for direction, first in ((1, half), (2, ~half)):
-            second = ~first
-            if first.sum() < 4 or second.sum() < 4:
-                continue
-            fold = np.searchsorted(np.unique(blocks[first]), blocks[first]) % folds
-            alpha, _ = tuned_alpha(y[first], x[first], fold, alphas)
-            if not np.isfinite(alpha):
-                continue
-            diagonal, valid = back_to_back(y[first], x[first], y[second], x[second], alpha)
-            at = 0
-            for name, n in zip(names, sizes, strict=True):
-                trace = float(diagonal[at : at + n].sum())
-                out.append((participant, int(split), direction, time, name, trace, trace / n, alpha, valid))
-                at += n
+        if len(rows) and len(tuned):
+            rows, x, y = _sorted(rows)
+            blocks = rows["block"].to_numpy()
+            for split, both in tuned.sort_values(["split", "direction"]).groupby("split"):
+                half, found = first_half(blocks, int(split)), []
+                for direction, alpha in zip(both["direction"], both["alpha"], strict=True):
+                    first = half if direction == 1 else ~half
+                    if first.sum() >= 4 and (~first).sum() >= 4:
+                        found.append((int(direction), alpha, *back_to_back(y[first], x[first], y[~first], x[~first], alpha, most_condition)))
+                valid = len(found) == 2 and all(ok for *_, ok in found)
+                for direction, alpha, diagonal, _ in found:
+                    at = 0
+                    for name, n in zip(names, sizes, strict=True):
+                        trace = float(diagonal[at : at + n].sum())
+                        out.append((key[0], int(split), direction, key[1], name, trace, trace / n, alpha, valid))
+                        at += n
         return pd.DataFrame(out, columns=["participant", "split", "direction", "time", "family", "trace", "score", "alpha", "valid"])
 
-    work = trials.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     schema = "participant long, split int, direction int, time int, family string, trace double, score double, alpha double, valid boolean"
-    return work.groupBy("participant", "time", "split").applyInPandas(solve, schema)
+    return _with_alphas(trials, b2b_alphas(trials, alphas, splits, folds)).applyInPandas(solve, schema)
+
+
+def _with_alphas(trials: DataFrame, alphas: DataFrame):
+    """Trials and penalties side by side, by participant and time."""
+    groups = trials.groupBy("participant", "time").count().toDF("_p", "_t", "_n")
+    tuned = groups.join(alphas.withColumnRenamed("participant", "_p"), "_p")
+    return trials.groupBy("participant", "time").cogroup(tuned.groupBy("_p", "_t"))
 
 
 def null_shift(participant: object, rep: int, n: int, least: int) -> int:
@@ -114,49 +173,53 @@ def null_shift(participant: object, rep: int, n: int, least: int) -> int:
     return least + int.from_bytes(digest[:8], "big") % (n - 2 * least + 1)
 
 
-def b2b_nulls(trials: DataFrame, observed: DataFrame, families: dict[str, int], reps: int, least: int = 20) -> DataFrame:
+def b2b_nulls(trials: DataFrame, observed: DataFrame, families: dict[str, int], reps: int, least: int = 20, most_condition: float = 85.0) -> DataFrame:
     """Back-to-back scores with the features shifted around against the channels: participant, split, direction, time, rep, family, score.
 
-    ``observed`` (participant, time, split, direction, alpha) gives the penalties, which are not tuned again. The channels'
-    decoder of a group is made once and serves all its shifts, so that channels are shuffled once, however many
-    repetitions there are. Groups with fewer than twice ``least`` trials, and ill-conditioned designs, give no rows.
+    ``observed`` (participant, split, direction, alpha) gives the penalties, which are not tuned again. Trials are shuffled
+    once; a half's decoder is made once and serves all its shifts. With a column ``section``, features are shifted
+    within each section. Groups with fewer than twice ``least`` trials (in a section), and ill-conditioned designs, give no rows.
     """
     from pyspark.sql import functions as F
 
     names, sizes = list(families), list(families.values())
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        participant, time, split = key
-        rows = rows.sort_values("trial")
-        out, n = [], len(rows)
-        if n >= 2 * least:
-            x, y = np.array(rows["x"].tolist(), float), np.array(rows["y"].tolist(), float)
-            half = first_half(rows["block"].to_numpy(), int(split))
-            for direction, alpha in ((1, rows["alpha_1"].iloc[0]), (2, rows["alpha_2"].iloc[0])):
-                if not np.isfinite(alpha):
+    def solve(key: tuple, rows: pd.DataFrame, tuned: pd.DataFrame) -> pd.DataFrame:
+        columns = ["participant", "split", "direction", "time", "rep", "family", "score"]
+        if not len(rows) or not len(tuned):
+            return pd.DataFrame([], columns=columns)
+        rows, x, y = _sorted(rows)
+        section = rows["section"].to_numpy() if "section" in rows else np.zeros(len(rows), int)
+        members, out = [np.flatnonzero(section == s) for s in np.unique(section)], []
+        if min(map(len, members)) < 2 * least:
+            return pd.DataFrame([], columns=columns)
+        moved = []
+        for rep in range(reps):
+            z = x.copy()
+            for m in members:
+                z[m] = np.roll(x[m], null_shift(key[0], rep, len(m), least), axis=0)
+            moved.append(z)
+        blocks = rows["block"].to_numpy()
+        for split, direction, alpha in zip(tuned["split"], tuned["direction"], tuned["alpha"], strict=True):
+            half = first_half(blocks, int(split))
+            first = half if direction == 1 else ~half
+            center = y[first].mean(axis=0)
+            u, s, vt = np.linalg.svd(y[first] - center, full_matrices=False)
+            seen = (y[~first] - center) @ ((vt.T * (s / (s**2 + alpha * float((s**2).sum()) / y.shape[1]))) @ u.T)
+            for rep, z in enumerate(moved):
+                x1, x2 = z[first], z[~first]
+                if len(x2) < x2.shape[1] or condition(x2) > most_condition:
                     continue
-                first = half if direction == 1 else ~half
-                center = y[first].mean(axis=0)
-                u, s, vt = np.linalg.svd(y[first] - center, full_matrices=False)
-                decoder = (vt.T * (s / (s**2 + alpha * float((s**2).sum()) / y.shape[1]))) @ u.T
-                seen = y[~first] - center
-                for rep in range(reps):
-                    moved = np.roll(x, null_shift(participant, rep, n, least), axis=0)
-                    x1, x2 = moved[first], moved[~first]
-                    if len(x2) < x2.shape[1] or condition(x2) > 85:
-                        continue
-                    guess = seen @ (decoder @ (x1 - x1.mean(axis=0)))
-                    h, *_ = np.linalg.lstsq(x2 - x2.mean(axis=0), guess - guess.mean(axis=0), rcond=None)
-                    at = 0
-                    for name, size in zip(names, sizes, strict=True):
-                        out.append((participant, int(split), int(direction), time, rep, name, float(np.diag(h)[at : at + size].mean())))
-                        at += size
-        return pd.DataFrame(out, columns=["participant", "split", "direction", "time", "rep", "family", "score"])
-
-    by = ["participant", "time", "split"]
-    alphas = observed.groupBy(*by).agg(*[F.max(F.when(F.col("direction") == d, F.col("alpha"))).alias(f"alpha_{d}") for d in (1, 2)])
-    schema = "participant long, split int, direction int, time int, rep int, family string, score double"
-    return trials.join(alphas, ["participant", "time"]).groupBy(*by).applyInPandas(solve, schema)
+                guess = seen @ (x1 - x1.mean(axis=0))
+                h, *_ = np.linalg.lstsq(x2 - x2.mean(axis=0), guess - guess.mean(axis=0), rcond=None)
+                at = 0
+                for name, size in zip(names, sizes, strict=True):
+                    out.append((key[0], int(split), int(direction), key[1], rep, name, float(np.diag(h)[at : at + size].mean())))
+                    at += size
+        return pd.DataFrame(out, columns=columns)
+
+    alphas = observed.groupBy("participant", "split", "direction").agg(F.max("alpha").alias("alpha"))
+    return _with_alphas(trials, alphas).applyInPandas(solve, "participant long, split int, direction int, time int, rep int, family string, score double")
 
 
 def drift_basis(n: int, bumps: int = 40) -> np.ndarray:

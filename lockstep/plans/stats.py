@@ -291,14 +291,16 @@ def ridge_two_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _halved_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """The embeddings as trials of their label: 8 places as channels, 4 as features, in 8 blocks."""
-    e = table(spark, folder, "embeddings").where("size(embedding) >= 12")
+    """The embeddings as trials of their label in 8 blocks: 4 places as features, the others in 6 parts of 10 as the channels of 6 times, with the features mixed in."""
+    e = table(spark, folder, "embeddings").where("size(embedding) >= 64")
     w = Window.partitionBy("label").orderBy("vec_id")
-    return e.select(
-        F.col("label").cast("long").alias("participant"), F.lit(0).alias("time"), F.col("vec_id").alias("trial"),
-        F.pmod(F.row_number().over(w), F.lit(8)).alias("block"), F.slice("embedding", 1, 4).alias("x"),
-        F.zip_with(F.slice("embedding", 1, 8), F.slice("embedding", 5, 8), lambda a, b: a + b).alias("y"),
+    part = F.slice("embedding", F.col("time") * 10 + 5, F.lit(10))
+    mixed = F.transform(part, lambda v, k: v + F.get("x", F.pmod(k, F.lit(4)).cast("int")))
+    trials = e.select(
+        F.col("label").cast("long").alias("participant"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("time"), F.col("vec_id").alias("trial"),
+        F.pmod(F.row_number().over(w), F.lit(8)).alias("block"), F.slice("embedding", 1, 4).alias("x"), "embedding",
     )
+    return trials.withColumn("y", mixed).drop("embedding")
 
 
 FAMILIES = {"first": 2, "second": 2}

@@ -123,3 +123,41 @@ def test_nulls_reuse_the_decoder(spark):
 def test_queries_without_sql_give_rows_again(spark, sf, name):
     once = sorted(map(str, QUERIES[name](spark, sf).collect()))
     assert once and once == sorted(map(str, QUERIES[name](spark, sf).collect()))
+
+
+def test_back_to_back_against_a_loop(spark):
+    """Several times, one penalty for all of them, valid only if both directions are."""
+    rng, alphas = np.random.default_rng(8), sc.log_grid(-3, 3, 1)
+    x = rng.normal(size=(96, 3))
+    y = np.stack([x @ rng.normal(size=(3, 5)) * t + rng.normal(size=(96, 5)) for t in range(3)])
+    blocks = np.arange(96) // 12
+    rows = [(7, t, i, int(blocks[i]), x[i].tolist(), y[t, i].tolist()) for t in range(3) for i in range(96)]
+    frame = spark.createDataFrame(rows, "participant long, time int, trial int, block int, x array<double>, y array<double>").repartition(4)
+    got = {(r.split, r.direction, r.time, r.family): r for r in dense.b2b_scores(frame, {"a": 2, "b": 1}, alphas, splits=6).collect()}
+    assert len(got) == 6 * 2 * 3 * 2
+    for split in range(6):
+        half = dense.first_half(blocks, split)
+        assert half.sum() == 48
+        for direction, first in ((1, half), (2, ~half)):
+            fold = np.searchsorted(np.unique(blocks[first]), blocks[first]) % 4
+            errors = np.mean([dense.alpha_errors(y[t][first], x[first], fold, alphas) for t in range(3)], axis=0)
+            alpha = alphas[dense.least_on_plateau(errors)]
+            for t in range(3):
+                diagonal, _ = dense.back_to_back(y[t][first], x[first], y[t][~first], x[~first], alpha)
+                a, b = got[split, direction, t, "a"], got[split, direction, t, "b"]
+                assert a.alpha == alpha and a.valid and a.trace == pytest.approx(diagonal[:2].sum()) and b.score == pytest.approx(diagonal[2])
+    strict = dense.b2b_scores(frame, {"a": 3}, alphas, splits=2, most_condition=1.0)
+    assert strict.where("valid").count() == 0 and strict.count() == 2 * 2 * 3
+
+
+def test_nulls_shift_within_sections(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(96, 2)), rng.normal(size=(96, 4))
+    rows = [(1, 0, i, i // 12, i // 48, x[i].tolist(), y[i].tolist()) for i in range(96)]
+    frame = spark.createDataFrame(rows, "participant long, time int, trial int, block int, section int, x array<double>, y array<double>")
+    observed = dense.b2b_alphas(frame, [1.0], splits=1)
+    for r in dense.b2b_nulls(frame, observed, {"a": 2}, 3, 10).collect():
+        shift, half = dense.null_shift(1, r.rep, 48, 10), dense.first_half(np.arange(96) // 12, 0)
+        moved = np.concatenate([np.roll(x[:48], shift, axis=0), np.roll(x[48:], shift, axis=0)])
+        first = half if r.direction == 1 else ~half
+        assert r.score == pytest.approx(dense.back_to_back(y[first], moved[first], y[~first], moved[~first], 1.0)[0].mean())
