@@ -1,15 +1,18 @@
-"""Dense solvers on bounded groups: ridge, back-to-back regression, filters, spatial components."""
+"""Dense solvers on sums of products and other bounded groups: ridge, back-to-back regression, filters, spatial components."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 
 from .permutation import balanced_halves
+from .sequences import placed
 
 
 def ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
@@ -92,33 +95,153 @@ def first_half(blocks: np.ndarray, split: int) -> np.ndarray:
     return half if split % 2 == 0 else ~half
 
 
-def _sorted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    rows = rows.sort_values("trial")
-    return rows, np.array(rows["x"].tolist(), float), np.array(rows["y"].tolist(), float)
+class Sums:
+    """Numbers, sums and products of rows [x, y], for a set of blocks; ``p`` of the columns are features."""
 
+    def __init__(self, n: float, sums: np.ndarray, products: np.ndarray, p: int):
+        self.n, self.sums, self.products, self.p = n, sums, products, p
+        self.mean = sums / n if n else sums
 
-def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds: int = 4) -> DataFrame:
+    @property
+    def centred(self) -> np.ndarray:
+        return self.about(self.mean)
+
+    def about(self, center: np.ndarray) -> np.ndarray:
+        """Products of the rows less ``center``."""
+        across = np.outer(self.sums, center)
+        return self.products - across - across.T + self.n * np.outer(center, center)
+
+    def decoders(self, alphas: list[float]) -> list[np.ndarray]:
+        """Ridge weights of x on y for each alpha; the penalty is alpha times the mean sum of squares of the channels."""
+        c, p = self.centred, self.p
+        values, turn = np.linalg.eigh(c[p:, p:])
+        seen, scale = turn.T @ c[p:, :p], float(np.trace(c[p:, p:])) / (len(c) - p)
+        return [turn @ (seen / np.maximum(values + a * scale, np.finfo(float).tiny)[:, None]) for a in alphas]
+
+    @property
+    def condition(self) -> float:
+        values = np.linalg.eigvalsh(self.centred[: self.p, : self.p])
+        return float(np.sqrt(values[-1] / values[0])) if values[0] > 1e-14 * values[-1] else float("inf")
+
+    def explained(self, decoder: np.ndarray, most_condition: float) -> tuple[np.ndarray, bool]:
+        """The diagonal of the regression of decoded features on the features, and whether rows are enough and well conditioned."""
+        c, p = self.centred, self.p
+        h = np.linalg.pinv(c[:p, :p], rcond=1e-12, hermitian=True) @ c[:p, p:] @ decoder
+        return np.diag(h), bool(self.n >= p and self.condition <= most_condition)
+
+
+def sums_errors(parts: list[Sums], folds: np.ndarray, alphas: list[float]) -> np.ndarray | None:
+    """``alpha_errors`` from the sums of blocks, of which ``folds`` tells the fold."""
+    errors, used = np.zeros(len(alphas)), 0
+    for f in np.unique(folds):
+        train, test = (_total([s for s, k in zip(parts, folds, strict=True) if (k == f) == held]) for held in (False, True))
+        p = test.p
+        if train is None or train.n < len(train.sums) - p:
+            continue
+        c = test.about(train.mean)
+        for k, w in enumerate(train.decoders(alphas)):
+            errors[k] += float(np.trace(c[:p, :p]) - 2 * (w * c[p:, :p]).sum() + (w * (c[p:, p:] @ w)).sum()) / (test.n * p)
+        used += 1
+    return errors / used if used else None
+
+
+def _total(parts: list[Sums]) -> Sums | None:
+    return Sums(sum(s.n for s in parts), sum(s.sums for s in parts), sum(s.products for s in parts), parts[0].p) if parts else None
+
+
+#: Numbers that a task holds before it hands its sums on.
+HELD = 8 << 20
+
+
+def block_sums(trials: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, p (features) and sums: n, the sums and the products of [x, y], one after the other, of the trials of each key.
+
+    Each task sums its own rows, and Spark adds these sums element by element, so that a key with most of the trials
+    is never in one task. Trials without x or y take no part; the widths of x and y are alike within a key.
+    """
+    from pyspark.sql import functions as F
+
+    rows = trials.where("x is not null and y is not null").select(*key, F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+    types: list[pa.DataType] = []
+
+    def flushed(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        sizes = [len(v) for v in held.values()]
+        of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        columns = [pa.array(c, t).take(of) for c, t in zip(zip(*held, strict=True), [*types, pa.int32()], strict=True)]
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(np.concatenate(list(held.values())))], names=[*key, "p", "i", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            types[:] = [batch.schema.field(k).type for k in key]
+            members: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in key), strict=True)):
+                members.setdefault(k, []).append(i)
+            x, y = batch.column("x"), batch.column("y")
+            for k, at in members.items():
+                both = np.hstack([np.array(c.take(pa.array(at)).to_pylist(), float) for c in (x, y)])
+                flat = np.concatenate([[len(at)], both.sum(axis=0), (both.T @ both).ravel()])
+                named = (*k, len(x[at[0]]))
+                held[named] = held[named] + flat if named in held else flat
+            if sum(map(len, held.values())) > HELD:
+                yield flushed(held)
+                held.clear()
+        if held:
+            yield flushed(held)
+
+    parts = rows.mapInArrow(run, f"{fields}, p int, i int, v double")
+    return _flat(parts, [*key, "p"])
+
+
+def _flat(parts: DataFrame, key: list[str]) -> DataFrame:
+    """Elements (i, v) added up and put in order, as one array ``sums`` for each key: as long as one row's products."""
+    from pyspark.sql import functions as F
+
+    summed = parts.groupBy(*key, "i").agg(F.sum("v").alias("v"))
+    return summed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s")).select(*key, F.col("_s.v").alias("sums"))
+
+
+def _parts(rows: pd.DataFrame) -> tuple[np.ndarray, list[Sums]]:
+    """Blocks in order, and their sums."""
+    rows = rows.sort_values("block")
+    out = []
+    for p, flat in zip(rows["p"], rows["sums"], strict=True):
+        flat = np.asarray(flat, float)
+        width = round((-1 + (1 + 4 * (len(flat) - 1)) ** 0.5) / 2)
+        out.append(Sums(flat[0], flat[1 : 1 + width], flat[1 + width :].reshape(width, width), int(p)))
+    return rows["block"].to_numpy(), out
+
+
+def _halves(blocks: np.ndarray, parts: list[Sums], split: int) -> tuple[np.ndarray, list[list[Sums]]] | None:
+    """The blocks of the first half, and the sums of both; None if a half has under 4 trials."""
+    half = first_half(blocks, split)
+    both = [[s for s, h in zip(parts, half, strict=True) if h == side] for side in (True, False)]
+    return (half, both) if all(sum(s.n for s in side) >= 4 for side in both) else None
+
+
+def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds: int = 4, sums: DataFrame | None = None) -> DataFrame:
     """participant, split, direction, alpha: one penalty for all times, from the mean of the times' errors.
 
-    A group is a participant and time; its splits are gone through inside, so that no trial is copied.
+    Everything comes from ``block_sums``: a group is the blocks of a participant and time, however many their trials.
     """
     from pyspark.sql import functions as F
 
     def tune(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, x, y = _sorted(rows)
-        blocks, out = rows["block"].to_numpy(), []
+        blocks, parts = _parts(rows)
+        out = []
         for split in range(splits):
-            half = first_half(blocks, split)
-            for direction, first in ((1, half), (2, ~half)):
-                if first.sum() < 4 or (~first).sum() < 4:
-                    continue
-                fold = np.searchsorted(np.unique(blocks[first]), blocks[first]) % folds
-                errors = alpha_errors(y[first], x[first], fold, alphas)
+            if (halved := _halves(blocks, parts, split)) is None:
+                continue
+            for direction, first in ((1, halved[1][0]), (2, halved[1][1])):
+                errors = sums_errors(first, np.arange(len(first)) % folds, alphas)
                 if errors is not None:
                     out += [(key[0], split, direction, k, float(e)) for k, e in enumerate(errors)]
         return pd.DataFrame(out, columns=["participant", "split", "direction", "k", "error"])
 
-    found = trials.groupBy("participant", "time").applyInPandas(tune, "participant long, split int, direction int, k int, error double")
+    sums = block_sums(trials, ["participant", "time", "block"]) if sums is None else sums
+    found = sums.groupBy("participant", "time").applyInPandas(tune, "participant long, split int, direction int, k int, error double")
     mean = found.groupBy("participant", "split", "direction", "k").agg(F.avg("error").alias("e"))
     ranked = mean.groupBy("participant", "split", "direction").agg(F.min("e").alias("least"), F.collect_list(F.struct("k", "e")).alias("all"))
     plateau = F.filter("all", lambda p: p["e"] <= F.col("least") + F.greatest(F.lit(1e-8), 1e-6 * F.abs("least")))
@@ -130,41 +253,42 @@ def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float],
     """Back-to-back scores: participant, split, direction, time, family, trace, score, alpha, valid.
 
     ``trials`` has participant, time, trial, block, x (features) and y (channels), one row for each trial and time.
-    A first pass gives each participant, split and direction one penalty for all times (``b2b_alphas``); the second one solves.
-    A group of both is one participant and time, trials x (features + channels) numbers, whatever the cohort's size and the
-    number of splits. A split is valid if both directions are. ``families`` gives the number of consecutive features of each.
+    Spark sums the products by participant, time and block (``block_sums``); a first pass gives each participant, split and
+    direction one penalty for all times (``b2b_alphas``), the second one solves. What a task solves is the blocks' sums, which
+    don't grow with the trials. A split is valid if both directions are. ``families`` gives the number of consecutive features of each.
     """
     names, sizes = list(families), list(families.values())
 
-    def solve(key: tuple, rows: pd.DataFrame, tuned: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(tuned):
-            rows, x, y = _sorted(rows)
-            blocks = rows["block"].to_numpy()
-            for split, both in tuned.sort_values(["split", "direction"]).groupby("split"):
-                half, found = first_half(blocks, int(split)), []
-                for direction, alpha in zip(both["direction"], both["alpha"], strict=True):
-                    first = half if direction == 1 else ~half
-                    if first.sum() >= 4 and (~first).sum() >= 4:
-                        found.append((int(direction), alpha, *back_to_back(y[first], x[first], y[~first], x[~first], alpha, most_condition)))
-                valid = len(found) == 2 and all(ok for *_, ok in found)
-                for direction, alpha, diagonal, _ in found:
-                    at = 0
-                    for name, n in zip(names, sizes, strict=True):
-                        trace = float(diagonal[at : at + n].sum())
-                        out.append((key[0], int(split), direction, key[1], name, trace, trace / n, alpha, valid))
-                        at += n
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        blocks, parts = _parts(rows)
+        alphas, out = {(t["split"], t["direction"]): t["alpha"] for t in rows["tuned"].iloc[0]}, []
+        for split in sorted({s for s, _ in alphas}):
+            if (halved := _halves(blocks, parts, split)) is None:
+                continue
+            totals, found = [_total(side) for side in halved[1]], []
+            for direction, (first, second) in ((1, totals), (2, totals[::-1])):
+                if (alpha := alphas.get((split, direction))) is not None:
+                    found.append((direction, alpha, *second.explained(first.decoders([alpha])[0], most_condition)))
+            valid = len(found) == 2 and all(ok for *_, ok in found)
+            for direction, alpha, diagonal, _ in found:
+                at = 0
+                for name, n in zip(names, sizes, strict=True):
+                    trace = float(diagonal[at : at + n].sum())
+                    out.append((key[0], split, direction, key[1], name, trace, trace / n, alpha, valid))
+                    at += n
         return pd.DataFrame(out, columns=["participant", "split", "direction", "time", "family", "trace", "score", "alpha", "valid"])
 
     schema = "participant long, split int, direction int, time int, family string, trace double, score double, alpha double, valid boolean"
-    return _with_alphas(trials, b2b_alphas(trials, alphas, splits, folds)).applyInPandas(solve, schema)
+    sums = block_sums(trials, ["participant", "time", "block"])
+    tuned = _tuned(b2b_alphas(trials, alphas, splits, folds, sums))
+    return sums.join(tuned, "participant").groupBy("participant", "time").applyInPandas(solve, schema)
+
 
+def _tuned(alphas: DataFrame) -> DataFrame:
+    """participant, tuned: an entry for each split and direction."""
+    from pyspark.sql import functions as F
 
-def _with_alphas(trials: DataFrame, alphas: DataFrame):
-    """Trials and penalties side by side, by participant and time."""
-    groups = trials.groupBy("participant", "time").count().toDF("_p", "_t", "_n")
-    tuned = groups.join(alphas.withColumnRenamed("participant", "_p"), "_p")
-    return trials.groupBy("participant", "time").cogroup(tuned.groupBy("_p", "_t"))
+    return alphas.groupBy("participant").agg(F.array_sort(F.collect_list(F.struct("split", "direction", "alpha"))).alias("tuned"))
 
 
 def null_shift(participant: object, rep: int, n: int, least: int) -> int:
@@ -173,53 +297,92 @@ def null_shift(participant: object, rep: int, n: int, least: int) -> int:
     return least + int.from_bytes(digest[:8], "big") % (n - 2 * least + 1)
 
 
+def _shift_column(rep: Column, least: int) -> Column:
+    """``null_shift`` of the participant and its ``_n`` rows, as a column."""
+    from pyspark.sql import functions as F
+
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shift"), F.col("participant").cast("string"), rep.cast("string"))), 1, 16), 16, 10).cast("decimal(20,0)")
+    return least + F.pmod(drawn, (F.col("_n") - 2 * least + 1).cast("decimal(20,0)")).cast("long")
+
+
+def shifted_sums(trials: DataFrame, reps: int, least: int, slice_rows: int = 256) -> DataFrame:
+    """participant, time, rep, block, sums: of each block, the sums of the features shifted around within each section, and
+    their products with themselves and with the channels, one after the other.
+
+    Features go to the places they are shifted to, in slices of ``slice_rows`` places, where they meet the channels: a
+    task holds one slice of the channels and of all its shifts. Participants with a section of fewer than twice ``least`` trials give no rows.
+    """
+    from pyspark.sql import functions as F
+
+    if "section" not in trials.columns:
+        trials = trials.withColumn("section", F.lit(0))
+    key = ["participant", "time", "section"]
+    whole = trials.where("x is not null and y is not null").select(*key, "trial", "block", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+    sizes = whole.groupBy(*key).agg(F.count("*").alias("_m")).groupBy("participant", "time").agg(F.min("_m").alias("_m"))
+    whole = whole.join(sizes.where(F.col("_m") >= 2 * least).select("participant", "time"), ["participant", "time"], "left_semi")
+    at = placed(whole, key, "trial", F.xxhash64("x", "y"))
+    moved = at.select(*key, "_n", "_at", "x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("to", F.pmod(F.col("_at") + _shift_column(F.col("rep"), least), F.col("_n")))
+    moved = moved.select(*key, F.floor(F.col("to") / slice_rows).alias("slice"), "to", "rep", "x").withColumnsRenamed({k: f"_{k}" for k in [*key, "slice"]})
+    fixed = at.select(*key, F.floor(F.col("_at") / slice_rows).alias("slice"), F.col("_at").alias("to"), "block", "y")
+
+    def run(key: tuple, fixed: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+        fixed, moved = fixed.sort_values("to"), moved.sort_values(["rep", "to"])
+        y, x = np.array(fixed["y"].tolist(), float), np.array(moved["x"].tolist(), float).reshape(reps, len(fixed), -1)
+        blocks, out = fixed["block"].to_numpy(), []
+        for block in np.unique(blocks):
+            here = blocks == block
+            z, other = x[:, here], y[here]
+            flat = np.concatenate([z.sum(axis=1), (z.transpose(0, 2, 1) @ z).reshape(reps, -1), (z.transpose(0, 2, 1) @ other).reshape(reps, -1)], axis=1)
+            n = flat.shape[1]
+            out.append(pd.DataFrame({"participant": key[0], "time": key[1], "rep": np.repeat(np.arange(reps), n), "block": block, "i": np.tile(np.arange(n), reps), "v": flat.ravel()}))
+        return pd.concat(out)
+
+    by = [*key, "slice"]
+    block = trials.schema["block"].dataType.simpleString()
+    parts = fixed.groupBy(*by).cogroup(moved.groupBy(*[f"_{k}" for k in by])).applyInPandas(run, f"participant long, time int, rep int, block {block}, i int, v double")
+    return _flat(parts, ["participant", "time", "rep", "block"])
+
+
 def b2b_nulls(trials: DataFrame, observed: DataFrame, families: dict[str, int], reps: int, least: int = 20, most_condition: float = 85.0) -> DataFrame:
     """Back-to-back scores with the features shifted around against the channels: participant, split, direction, time, rep, family, score.
 
-    ``observed`` (participant, split, direction, alpha) gives the penalties, which are not tuned again. Trials are shuffled
-    once; a half's decoder is made once and serves all its shifts. With a column ``section``, features are shifted
-    within each section. Groups with fewer than twice ``least`` trials (in a section), and ill-conditioned designs, give no rows.
+    ``observed`` (participant, split, direction, alpha) gives the penalties, which are not tuned again. With a column
+    ``section``, features are shifted within each section. All comes from the sums of blocks, those of the channels and those
+    with the shifted features (``shifted_sums``); a group that is solved is one repetition of a participant and time.
+    Those with fewer than twice ``least`` trials (in a section), and ill-conditioned designs, give no rows.
     """
     from pyspark.sql import functions as F
 
     names, sizes = list(families), list(families.values())
-
-    def solve(key: tuple, rows: pd.DataFrame, tuned: pd.DataFrame) -> pd.DataFrame:
-        columns = ["participant", "split", "direction", "time", "rep", "family", "score"]
-        if not len(rows) or not len(tuned):
-            return pd.DataFrame([], columns=columns)
-        rows, x, y = _sorted(rows)
-        section = rows["section"].to_numpy() if "section" in rows else np.zeros(len(rows), int)
-        members, out = [np.flatnonzero(section == s) for s in np.unique(section)], []
-        if min(map(len, members)) < 2 * least:
-            return pd.DataFrame([], columns=columns)
-        moved = []
-        for rep in range(reps):
-            z = x.copy()
-            for m in members:
-                z[m] = np.roll(x[m], null_shift(key[0], rep, len(m), least), axis=0)
-            moved.append(z)
-        blocks = rows["block"].to_numpy()
-        for split, direction, alpha in zip(tuned["split"], tuned["direction"], tuned["alpha"], strict=True):
-            half = first_half(blocks, int(split))
-            first = half if direction == 1 else ~half
-            center = y[first].mean(axis=0)
-            u, s, vt = np.linalg.svd(y[first] - center, full_matrices=False)
-            seen = (y[~first] - center) @ ((vt.T * (s / (s**2 + alpha * float((s**2).sum()) / y.shape[1]))) @ u.T)
-            for rep, z in enumerate(moved):
-                x1, x2 = z[first], z[~first]
-                if len(x2) < x2.shape[1] or condition(x2) > most_condition:
-                    continue
-                guess = seen @ (x1 - x1.mean(axis=0))
-                h, *_ = np.linalg.lstsq(x2 - x2.mean(axis=0), guess - guess.mean(axis=0), rcond=None)
-                at = 0
-                for name, size in zip(names, sizes, strict=True):
-                    out.append((key[0], int(split), int(direction), key[1], rep, name, float(np.diag(h)[at : at + size].mean())))
-                    at += size
+    columns = ["participant", "split", "direction", "time", "rep", "family", "score"]
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        blocks, parts = _parts(rows)
+        for s, flat in zip(parts, rows.sort_values("block")["shifted"], strict=True):
+            p, flat = s.p, np.asarray(flat, float)
+            s.sums, s.products = s.sums.copy(), s.products.copy()
+            s.sums[:p], s.products[:p, :p] = flat[:p], flat[p : p + p * p].reshape(p, p)
+            s.products[:p, p:] = flat[p + p * p :].reshape(p, -1)
+            s.products[p:, :p] = s.products[:p, p:].T
+        out = []
+        for tuned in rows["tuned"].iloc[0]:
+            split, direction, alpha = tuned["split"], tuned["direction"], tuned["alpha"]
+            if (halved := _halves(blocks, parts, split)) is None:
+                continue
+            first, second = [_total(side) for side in (halved[1] if direction == 1 else halved[1][::-1])]
+            diagonal, valid = second.explained(first.decoders([alpha])[0], most_condition)
+            at = 0
+            for name, size in zip(names, sizes, strict=True):
+                if valid:
+                    out.append((key[0], split, direction, key[1], key[2], name, float(diagonal[at : at + size].mean())))
+                at += size
         return pd.DataFrame(out, columns=columns)
 
     alphas = observed.groupBy("participant", "split", "direction").agg(F.max("alpha").alias("alpha"))
-    return _with_alphas(trials, alphas).applyInPandas(solve, "participant long, split int, direction int, time int, rep int, family string, score double")
+    sums = block_sums(trials, ["participant", "time", "block"])
+    moved = shifted_sums(trials, reps, least).withColumnRenamed("sums", "shifted")
+    rows = moved.join(sums, ["participant", "time", "block"]).join(_tuned(alphas), "participant")
+    return rows.groupBy("participant", "time", "rep").applyInPandas(solve, "participant long, split int, direction int, time int, rep int, family string, score double")
 
 
 def drift_basis(n: int, bumps: int = 40) -> np.ndarray:

@@ -61,6 +61,20 @@ def near_edge(position: Column, n: Column, blocks: int, guard: int) -> Column:
     return F.exists(inner, lambda b: (F.abs(position - edge(b)) <= guard) | (F.abs(position - edge(b) - 1) <= guard))
 
 
+def placed(frame: DataFrame, key: list[str], by: str, tie: Column, parts: int = 64) -> DataFrame:
+    """``_at`` (place from 0 in order of ``by``, then of ``tie``) and ``_n`` (rows) of each row in its key, none of which may be null.
+
+    A key is cut at approximate quantiles into ``parts`` slices; only a slice is put in order, and places start at the sizes of those before.
+    """
+    edges = frame.groupBy(*key).agg(F.approx_percentile(by, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
+    cut = frame.join(edges, key).withColumn("_part", F.aggregate("_edges", F.lit(0), lambda n, e: n + (e < F.col(by)).cast("int"))).drop("_edges")
+    w = Window.partitionBy(*key)
+    sizes = cut.groupBy(*key, "_part").agg(F.count("*").alias("_m"))
+    sizes = sizes.withColumn("_below", F.sum("_m").over(w.orderBy("_part")) - F.col("_m")).withColumn("_n", F.sum("_m").over(w)).drop("_m")
+    inside = Window.partitionBy(*key, "_part").orderBy(F.col(by), tie)
+    return cut.join(sizes, [*key, "_part"]).withColumn("_at", F.col("_below") + F.row_number().over(inside) - 1).drop("_part", "_below")
+
+
 def circular_shift(frame: DataFrame, key: list[str], by: list[str], columns: list[str], shift: int | Column) -> DataFrame:
     """``columns`` of each row from the row ``shift`` places before it in its key, wrapping around.
 

@@ -318,7 +318,7 @@ def back_to_back_scores(spark: SparkSession, folder: str) -> DataFrame:
 def back_to_back_nulls(spark: SparkSession, folder: str) -> DataFrame:
     """Median and spread of the back-to-back scores over 20 circular shifts of the features, with the observed penalties."""
     trials = _halved_embeddings(spark, folder)
-    observed = dense.b2b_scores(trials, FAMILIES, sc.log_grid(-4, 4, 1), splits=4)
+    observed = dense.b2b_alphas(trials, sc.log_grid(-4, 4, 1), splits=4)
     reps = dense.b2b_nulls(trials, observed, FAMILIES, 20, 4).groupBy("participant", "family", "rep").agg(F.avg("score").alias("score"))
     return rounded(reps.groupBy("participant", "family").agg(F.median("score").alias("floor"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n")), "floor", "sd")
 
