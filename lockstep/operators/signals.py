@@ -178,3 +178,36 @@ def sustained(matrix: DataFrame, key: list[str], threshold: float) -> DataFrame:
     """Mean number of test times above a threshold, over training times whose own is above; over all if none is."""
     rows = matrix.groupBy(*key, "t_train").agg(F.count_if(F.col("score") > threshold).alias("width"), F.max(F.when(F.col("t_train") == F.col("t_test"), F.col("score"))).alias("own"))
     return rows.groupBy(*key).agg(F.coalesce(F.avg(F.when(F.col("own") > threshold, F.col("width"))), F.avg("width")).alias("width"), F.count_if(F.col("own") > threshold).alias("rows_above"))
+
+
+def legendre_contours(frame: DataFrame, key: list[str], at: str, value: str, least: int = 4) -> DataFrame:
+    """level, slope and bend of each key's finite values: least-squares Legendre coefficients of degree 0 to 2 over the key's span as [-1, 1].
+
+    ``least`` values at three places or more are needed; else the coefficients are null. Two passes
+    of sums: the span, then the moments of the place, from which the three equations are solved in closed form.
+    """
+    span = frame.groupBy(*key).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    named = span.withColumnsRenamed({k: f"_k_{k}" for k in key})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    y = F.when(finite(F.col(value)), F.col(value))
+    u = F.when(y.isNotNull() & (F.col("_hi") > F.col("_lo")), 2.0 * (F.col(at) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) - 1.0)
+    sums = frame.join(named, on).withColumns({"_u": u, "_y": F.when(u.isNotNull(), y)}).groupBy(*key).agg(
+        F.count("_u").alias("n"), F.count_distinct("_u").alias("_places"), *[F.avg(F.pow("_u", F.lit(float(k)))).alias(f"_m{k}") for k in (1, 2, 3, 4)],
+        F.avg("_y").alias("_y0"), F.avg(F.col("_u") * F.col("_y")).alias("_y1"), F.avg(F.col("_u") * F.col("_u") * F.col("_y")).alias("_y2"),
+    )
+    m1, m2, m3, m4, y0, y1, y2 = (F.col(c) for c in ("_m1", "_m2", "_m3", "_m4", "_y0", "_y1", "_y2"))
+    c11, c12, c22, d1, d2 = m2 - m1 * m1, m3 - m1 * m2, m4 - m2 * m2, y1 - m1 * y0, y2 - m2 * y0
+    known = (F.col("n") >= least) & (F.col("_places") >= 3)
+    b2 = (c11 * d2 - c12 * d1) / (c11 * c22 - c12 * c12)
+    b1 = (d1 - c12 * b2) / c11
+    level = y0 - b1 * m1 - b2 * m2 + b2 / 3
+    return sums.select(*key, "n", *[F.when(known, c).alias(n) for n, c in (("level", level), ("slope", b1), ("bend", 2 * b2 / 3))])
+
+
+def helmert_codes(frame: DataFrame, column: str, levels: list[str]) -> DataFrame:
+    """code_1 to code_k-1: orthonormal contrasts of a column's ``k`` levels, each against those before it; null for any other value."""
+    codes = {}
+    for j in range(1, len(levels)):
+        size = (j * (j + 1)) ** 0.5
+        codes[f"code_{j}"] = F.when(F.col(column).isin(*levels[:j]), 1 / size).when(F.col(column) == levels[j], -j / size).when(F.col(column).isin(*levels), 0.0)
+    return frame.withColumns(codes)

@@ -192,3 +192,25 @@ def local_residual(spark: SparkSession, folder: str) -> DataFrame:
     back = F.coalesce(F.col("us") < F.lag("us").over(Window.partitionBy("user_id").orderBy("pos")), F.lit(False))
     story = (F.col("pos") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
     return rounded(ev.select("user_id", "event_id", (F.col("value") - F.col("median")).alias("residual"), story.alias("story_pos"), back.alias("back")), "residual", "story_pos")
+
+
+LEVELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""WITH {EV}, u AS (SELECT user_id, 2.0 * (pos - 1) / nullif(n - 1, 0) - 1 AS u, value AS y FROM ev),
+c AS (SELECT user_id, count(u) AS n, avg(u) AS m, avg(u * u) AS q, avg(y) AS y0, covar_pop(u, u) AS a, covar_pop(u, u * u) AS b, covar_pop(u * u, u * u) AS c, covar_pop(u, y) AS d, covar_pop(u * u, y) AS e
+    FROM u WHERE y IS NOT NULL AND u IS NOT NULL GROUP BY user_id),
+f AS (SELECT *, (a * e - b * d) / nullif(a * c - b * b, 0) AS b2 FROM c), g AS (SELECT *, (d - b * b2) / nullif(a, 0) AS b1 FROM f)
+SELECT user_id, n, CASE WHEN n >= 4 THEN round(y0 - b1 * m - b2 * (q - 1.0 / 3), 6) END AS level, CASE WHEN n >= 4 THEN round(b1, 6) END AS slope, CASE WHEN n >= 4 THEN round(2 * b2 / 3, 6) END AS bend FROM g""")
+def legendre_contours(spark: SparkSession, folder: str) -> DataFrame:
+    """Level, slope and bend of each user's values over the order of the events."""
+    return rounded(signals.legendre_contours(events(spark, folder), ["user_id"], "pos", "value"), "level", "slope", "bend")
+
+
+@query(f"""WITH h AS (SELECT user_id, value, CASE event_type {" ".join(f"WHEN '{level}' THEN {k}" for k, level in enumerate(LEVELS))} END AS k FROM events)
+SELECT user_id, {", ".join(f"round(avg(value * CASE WHEN k < {j} THEN 1 WHEN k = {j} THEN -{j} ELSE 0 END / sqrt({j} * ({j} + 1.0))), 6) AS contrast_{j}" for j in range(1, len(LEVELS)))} FROM h GROUP BY user_id""")
+def helmert_contrasts(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of each user's values times the contrasts of the event types."""
+    coded = signals.helmert_codes(table(spark, folder, "events"), "event_type", LEVELS)
+    names = {f"contrast_{j}": F.avg(F.col("value") * F.col(f"code_{j}")) for j in range(1, len(LEVELS))}
+    return rounded(coded.groupBy("user_id").agg(*[c.alias(n) for n, c in names.items()]), *names)

@@ -156,3 +156,25 @@ def test_sinks(spark, tmp_path):
     assert sinks.export_array(arrays, "k", "v").tolist() == [[4.0], [3.0]]
     with pytest.raises(ContractError):
         sinks.export_array(arrays, "k", "v", 1)
+
+
+def test_legendre_contours_and_helmert_codes(spark):
+    """Against a least-squares fit and the codes' definition; short keys, flat spans, nulls and an empty table."""
+    rng = np.random.default_rng(12)
+    rows = [("a", float(i), float(v)) for i, v in enumerate(rng.normal(size=11))] + [("b", float(i), None if i == 2 else float(i * i)) for i in range(6)]
+    rows += [("c", 0.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 5.0)] + [("d", 3.0, 1.0)] * 5 + [(None, float(i), 2.0) for i in range(4)]
+    frame = spark.createDataFrame(rows, "k string, t double, v double")
+    got = {r.k: r for r in signals.legendre_contours(frame, ["k"], "t", "v").collect()}
+    assert len(got) == 5
+    for k in ("a", "b", None):
+        t, v = (np.array([r[j] for r in rows if r[0] == k and r[2] is not None], float) for j in (1, 2))
+        every = [r[1] for r in rows if r[0] == k]
+        want = np.polynomial.legendre.legfit(2 * (t - min(every)) / (max(every) - min(every)) - 1, v, 2)
+        assert np.allclose([got[k].level, got[k].slope, got[k].bend], want) and got[k].n == len(v)
+    assert [got[k].level for k in ("c", "d")] == [None, None] and (got["c"].n, got["d"].n) == (3, 0)
+    assert signals.legendre_contours(frame.limit(0), ["k"], "t", "v").count() == 0
+
+    coded = signals.helmert_codes(spark.createDataFrame([("x",), ("y",), ("z",), ("?",), (None,)], "s string"), "s", ["x", "y", "z"]).collect()
+    h = np.array([[r.code_1, r.code_2] for r in coded[:3]])
+    assert np.allclose(h.T @ h, np.eye(2)) and np.allclose(h.sum(axis=0), 0) and h[2, 0] == 0
+    assert all(r.code_1 is None and r.code_2 is None for r in coded[3:])
