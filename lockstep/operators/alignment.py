@@ -158,3 +158,41 @@ def textgrid_intervals(files: DataFrame, content: str, tier: str) -> DataFrame:
     cells = F.arrays_zip(*[F.regexp_extract_all(head, F.lit(row), F.lit(k)).alias(n) for k, n in ((1, "on"), (2, "off"), (3, "label"))])
     rows = files.select(*[c for c in files.columns if c != content], F.posexplode(cells).alias("n", "c"))
     return rows.select("*", F.col("c.on").cast("double").alias("on"), F.col("c.off").cast("double").alias("off"), F.replace(F.col("c.label"), F.lit('""'), F.lit('"')).alias("label")).drop("c").withColumn("n", F.col("n") + 1)
+
+
+def bracket_terminals(frame: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Terminals of bracketed trees, one tree a row: ``key``, place (from 0), word, n_opening, n_closing, depth, n_open_nodes, linear_order, is_end.
+
+    Tokens are brackets and runs of other characters than white space; the one after an opening bracket is a label. n_opening
+    counts the opening brackets since the terminal before, n_closing the closing ones right after; depth is before these, n_open_nodes after.
+    A closing bracket at depth 0 counts as none. Trees are told apart by ``key``, which is unique; null or empty texts give no rows.
+    """
+    tokens = frame.select(*key, F.posexplode(F.regexp_extract_all(text, F.lit(r"([()]|[^ \t\r\n()]+)"), F.lit(1))).alias("_i", "_t"))
+    w = Window.partitionBy(*key).orderBy("_i")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    opens, closes = F.col("_t") == "(", F.col("_t") == ")"
+    word = ~opens & ~closes & (F.coalesce(F.lag("_t").over(w), F.lit("")) != "(")
+    level = tokens.withColumn("_word", word).withColumn("_s", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
+    # A running sum that stops at 0: less its least value so far, if that is below 0.
+    level = level.withColumn("_d", F.col("_s") - F.least(F.lit(0), F.min("_s").over(so_far))).withColumn("_o", F.sum(opens.cast("int")).over(so_far))
+    # Closing brackets since the last other token: a run's number is the count of other tokens up to it.
+    level = level.withColumn("_run", F.sum((~closes).cast("int")).over(so_far))
+    run = Window.partitionBy(*key, "_run")
+    level = level.withColumn("_closing", F.count_if(closes).over(run)).withColumn("_after", F.greatest(F.lit(0), F.col("_d") - F.col("_closing")))
+    kept = level.where("_word").withColumns({"place": F.row_number().over(w) - 1, "_m": F.count("*").over(Window.partitionBy(*key)), "n_opening": F.col("_o") - F.coalesce(F.lag("_o").over(w), F.lit(0))})
+    return kept.select(
+        *key, "place", F.col("_t").alias("word"), F.col("n_opening").cast("long"), F.col("_closing").cast("long").alias("n_closing"), (F.col("_after") + F.col("_closing")).cast("long").alias("depth"),
+        F.col("_after").cast("long").alias("n_open_nodes"), (F.col("place") / F.greatest(F.col("_m") - 1, F.lit(1))).alias("linear_order"), (F.col("place") == F.col("_m") - 1).alias("is_end"),
+    )
+
+
+def word_vectors(lines: DataFrame, line: str, order: str, vocabulary: DataFrame, word: str, width: int) -> DataFrame:
+    """``word`` and ``vector`` from lines of a word and its numbers: the words of ``vocabulary``, each by its first line in ``order`` that has ``width`` finite numbers.
+
+    The semi-join with the vocabulary comes before the numbers are read. Numbers beyond ``width`` are left; null lines, and lines with too few or other than numbers, give no rows.
+    """
+    parts = lines.where(F.trim(line) != "").select(F.col(order).alias("_o"), F.split(F.trim(line), " ").alias("_p"))
+    wanted = parts.withColumn(word, F.col("_p")[0]).join(vocabulary.select(word).distinct(), word, "left_semi")
+    numbers = F.transform(F.slice("_p", 2, width), lambda v: v.try_cast("float"))
+    whole = wanted.withColumn("vector", numbers).where((F.size("vector") == width) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    return whole.groupBy(word).agg(F.min_by("vector", "_o").alias("vector"))

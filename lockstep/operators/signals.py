@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import finite
-from .sequences import circular_shift, ordered
+from .sequences import circular_shift, ordered, placed
 
 
 def by_channel(frame: DataFrame, keep: list[str], values: str) -> DataFrame:
@@ -211,3 +212,82 @@ def helmert_codes(frame: DataFrame, column: str, levels: list[str]) -> DataFrame
         size = (j * (j + 1)) ** 0.5
         codes[f"code_{j}"] = F.when(F.col(column).isin(*levels[:j]), 1 / size).when(F.col(column) == levels[j], -j / size).when(F.col(column).isin(*levels), 0.0)
     return frame.withColumns(codes)
+
+
+def standardised_components(frame: DataFrame, values: str, n: int, out: str = "components") -> DataFrame:
+    """``out``: scores of the first ``n`` principal components of an array column, its places standardised, each score with deviation 1.
+
+    From the sums of products (``gram``). The largest loading of a component is positive; a place without spread counts as
+    deviation 1, and a component without variance as 0. Null values give null; without rows nothing is fit.
+    """
+    size, mean, cov = gram(frame, values)
+    if size < 2:
+        return frame.withColumn(out, F.lit(None).cast("array<double>"))
+    cov = cov * size / (size - 1)
+    sd = np.sqrt(np.where(np.diag(cov) > 1e-24, np.diag(cov), 1.0))
+    power, load = np.linalg.eigh(cov / np.outer(sd, sd))
+    power, load = power[::-1][:n], load[:, ::-1][:, :n]
+    load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
+    scale = np.where(power > 1e-12, 1 / np.sqrt(np.maximum(power, 1e-12)), 0.0)
+    return frame.withColumn(out, F.when(F.col(values).isNotNull(), apply_filter(F.col(values), mean, load / sd[:, None] * scale)))
+
+
+def bandpass_taps(rate: float, low: float, high: float, half: int, order: int = 4) -> np.ndarray:
+    """Taps -half..half of the zero-phase filter with the squared gain of a Butterworth band-pass."""
+    n = 64 * (half + 1)
+    f = np.fft.rfftfreq(n, 1 / rate)[1:]
+    gain = np.concatenate([[0.0], 1 / (1 + ((f**2 - low * high) / (f * (high - low))) ** (2 * order))])
+    return np.roll(np.fft.irfft(gain, n), half)[: 2 * half + 1]
+
+
+def bandpass(frame: DataFrame, key: list[str], by: str, value: str, taps: np.ndarray, slice_rows: int = 4096, out: str = "filtered") -> DataFrame:
+    """``key``, ``by`` and ``out``: each key's values in order of ``by``, an even raster, under a symmetric filter of an odd number of taps.
+
+    A key is mirrored at both ends, its first and last value repeated; beyond the mirror image, which is as long as the key, there
+    is 0. Values that are null or not finite count as 0; rows with a null in key or ``by`` take no part. Rows are dealt to slices
+    of ``slice_rows`` places with the ``half`` places at their edges, so that a task never holds a whole key.
+    """
+    half = len(taps) // 2
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    whole = frame.where(" and ".join(f"`{k}` is not null" for k in [*key, by])).select(*key, by, F.when(finite(F.col(value)), F.col(value)).otherwise(0.0).cast("double").alias("_v"))
+    at = placed(whole, key, by, F.col("_v"))
+    places = F.array(F.col("_at"), -1 - F.col("_at"), 2 * F.col("_n") - 1 - F.col("_at"))
+    copies = at.withColumn("_to", F.explode(F.filter(places, lambda p: (p >= -half) & (p < F.col("_n") + half))))
+    first = F.greatest(F.lit(0), F.floor((F.col("_to") - half) / slice_rows)).cast("long")
+    last = F.least(F.floor((F.col("_n") - 1) / slice_rows), F.floor((F.col("_to") + half) / slice_rows)).cast("long")
+    sliced = copies.withColumn("_slice", F.explode(F.sequence(first, last)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        start = int(rows["_slice"].iloc[0]) * slice_rows
+        end = min(start + slice_rows, int(rows["_n"].iloc[0]))
+        line = np.zeros(end - start + 2 * half)
+        line[rows["_to"].to_numpy() - start + half] = rows["_v"]
+        own = rows[(rows["_to"] == rows["_at"]) & (rows["_at"] >= start) & (rows["_at"] < end)]
+        return own[[*key, by]].assign(**{out: np.convolve(line, taps, "valid")[own["_at"].to_numpy() - start]})
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*key, by]) + f", `{out}` double"
+    return sliced.where((F.col("_to") >= F.col("_slice") * slice_rows - half) & (F.col("_to") < (F.col("_slice") + 1) * slice_rows + half)).groupBy(*key, "_slice").applyInPandas(run, schema)
+
+
+def window_components(frame: DataFrame, values: str, windows: int, out: str = "component") -> DataFrame:
+    """``out``: an array of ``windows`` equal stretches, one after the other, as the scores of its places on the first component over the stretches.
+
+    Scores have deviation 1 over the places; the largest loading is positive. A row is solved by itself, in Arrow batches. Null
+    values, another length than a multiple of ``windows``, and stretches without spread give null.
+    """
+
+    def component(rows: pd.Series) -> pd.Series:
+        found = []
+        for v in rows:
+            x = np.asarray(v if v is not None else [], float)
+            if not len(x) or len(x) % windows or not np.isfinite(x).all():
+                found.append(None)
+                continue
+            x = x.reshape(windows, -1).T
+            x = x - x.mean(axis=0)
+            _, power, turn = np.linalg.svd(x, full_matrices=False)
+            score = x @ (turn[0] * np.sign(turn[0][np.abs(turn[0]).argmax()]))
+            found.append((score * np.sqrt(len(x) - 1) / power[0]).tolist() if len(x) > 1 and power[0] > 1e-12 else None)
+        return pd.Series(found)
+
+    return frame.withColumn(out, F.pandas_udf(component, "array<double>")(F.col(values).cast("array<double>")))
