@@ -26,13 +26,13 @@ def _places(hashed: Column, rows: int) -> tuple[Column, Column]:
     return F.floor(at / ROW).cast("int"), F.pmod(at, F.lit(ROW))
 
 
-def key_bits(keys: DataFrame, *columns: str, a_key: int = 16, most_rows: int = 1 << 14) -> Bits:
-    """The filter of the values of ``columns``: ``a_key`` bits for each row, at most ``most_rows`` rows of 4 KB (64 MB), whatever the table's size.
+def key_bits(keys: DataFrame, *columns: str, a_key: int = 16, most_rows: int = 1 << 14, hashed: Column | None = None) -> Bits:
+    """The filter of the values of ``columns``, or of the hash ``hashed``: ``a_key`` bits for each row, at most ``most_rows`` rows of 4 KB (64 MB), whatever the table's size.
 
     The bound makes it safe to broadcast. Beyond 33 million keys it lets through more and more, so that joins behind it
     move more, and give the same rows.
     """
-    keys = keys.select(F.xxhash64(*columns).alias("_h"))
+    keys = keys.select((F.xxhash64(*columns) if hashed is None else hashed).alias("_h"))
     rows = min(most_rows, 1 << max(0, (-(-keys.count() * a_key // ROW) - 1)).bit_length())
     row, bit = _places(F.col("_h"), rows)
     placed = keys.select(row.alias("_row"), bit.alias("_bit")).repartition("_row")

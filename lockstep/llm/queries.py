@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, media, mixing, packing, quality, records, simhash, topk
+from . import collocations, langid, licenses, linededup, media, mixing, packing, quality, records, simhash, topk
 from .common import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language; a null lang is und, null and empty texts have no words, repeated rows count as often."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py; what each does with odd rows stands there."""
     import corpus_pipeline
@@ -98,7 +103,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     ops = (
         op1_best_fit_packing, op2_hamming_top_k, op3_source_mixing, op4_media_columns, op5_license_scan,
-        op6_token_records, op7_quality_rules, op8_language_centroids, op9_line_dedup, op10_simhash_near_dedup, pipeline,
+        op6_token_records, op7_quality_rules, op8_language_centroids, op9_line_dedup, op10_simhash_near_dedup,
+        op11_phrase_collocations, pipeline,
     )
     return {f.__name__: f for f in ops}
 
@@ -143,6 +149,44 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), one AS (
+    SELECT lang, p, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(w) AS p FROM words) GROUP BY lang, p
+), two AS (
+    SELECT lang, a, b, count(*)::HUGEINT AS f FROM (
+        SELECT lang, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM words WHERE len(w) >= 2) GROUP BY lang, a, b HAVING count(*) >= 10
+), three AS (
+    SELECT lang, a, b, c, count(*)::HUGEINT AS f FROM (
+        SELECT lang, unnest(w[:-3]) AS a, unnest(w[2:-2]) AS b, unnest(w[3:]) AS c FROM words WHERE len(w) >= 3) GROUP BY lang, a, b, c HAVING count(*) >= 10
+), cuts AS (
+    SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+    FROM three t JOIN one x ON x.lang = t.lang AND x.p = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+    UNION ALL
+    SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, 2, x.f, y.f
+    FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.p = t.c
+    UNION ALL
+    SELECT t.lang, t.a || ' ' || t.b, t.f, 1, x.f, y.f
+    FROM two t JOIN one x ON x.lang = t.lang AND x.p = t.a JOIN one y ON y.lang = t.lang AND y.p = t.b
+    WHERE NOT EXISTS (SELECT 1 FROM three u WHERE u.lang = t.lang AND 100 * u.f >= 50 * t.f AND (u.a = t.a AND u.b = t.b OR u.b = t.a AND u.c = t.b))
+), scored AS (
+    SELECT *, (1000000::HUGEINT * a * a) // (l * r) AS score FROM cuts
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM scored
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE cut = 1
+), sizes AS (
+    SELECT lang, sum(f) AS n FROM one GROUP BY lang
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hamming_top_k": OP2_SQL, "op3_source_mixing": OP3_SQL}
+    return {"op2_hamming_top_k": OP2_SQL, "op3_source_mixing": OP3_SQL, "op11_phrase_collocations": OP11_SQL}
