@@ -39,16 +39,14 @@ class Shard:
         self.words = pa.concat_arrays([names.slice(0, end), names.slice(end + 1)])
         self.text = rank[coded.indices.to_numpy()]
 
-    def index(self, depth: int) -> ShardIndex:
-        return ShardIndex(self.text, depth)
-
     def phrases(self, found: Intervals) -> pa.Array:
         parts = [self.words.take(pa.array(found.words[:, k] - 1)) for k in range(found.words.shape[1])]
         return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary()).cast(pa.string())
 
     def hashes(self) -> np.ndarray:
         """Of each id, the hash of its word as Spark has it; 0 for the end of a piece."""
-        return np.fromiter((0, *(xxhash.xxh64_intdigest(w, 42) for w in self.words.to_pylist())), np.uint64, len(self.words) + 1)
+        digests = b"".join([xxhash.xxh64_digest(w, 42) for w in self.words.to_numpy(zero_copy_only=False)])
+        return np.r_[np.zeros(1, np.uint64), np.frombuffer(digests, ">u8").astype(np.uint64)]
 
 
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -88,9 +86,9 @@ def count_short(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches):
-            index = shard.index(2)
+            index = ShardIndex(shard.text)
             yield from _rows(lang, shard, index.one)
-            yield from _rows(lang, shard, index.left(index.one, last=True))
+            yield from _rows(lang, shard, index.left(index.one))
 
     return texts.mapInArrow(run, NGRAMS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
@@ -117,10 +115,10 @@ def count_longer(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches):
-            index, hashes = shard.index(3), shard.hashes()
+            index, hashes = ShardIndex(shard.text, left=1, right=2), shard.hashes()
             two = index.left(index.one)
             two = two.where(may_be(_pair_key(hashes[two.words[:, 0]], hashes[two.words[:, 1]])))
-            three = index.right(two, last=True)
+            three = index.right(two)
             yield from _rows(lang, shard, three.where(may_be(_pair_key(hashes[three.words[:, 1]], hashes[three.words[:, 2]]))))
 
     return texts.mapInArrow(run, NGRAMS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
