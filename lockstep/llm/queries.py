@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, langid, licenses, linededup, media, mixing, packing, quality, records, simhash, topk
+from . import collocations, gridjoin, langid, licenses, linededup, media, mixing, packing, quality, records, simhash, topk
 from .common import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label within a cosine of 0.98; those that are null, zero or not finite, and null labels, link with nothing, repeated rows are copies."""
+    return gridjoin.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py; what each does with odd rows stands there."""
     import corpus_pipeline
@@ -104,7 +109,7 @@ def queries() -> dict[str, Query]:
     ops = (
         op1_best_fit_packing, op2_hamming_top_k, op3_source_mixing, op4_media_columns, op5_license_scan,
         op6_token_records, op7_quality_rules, op8_language_centroids, op9_line_dedup, op10_simhash_near_dedup,
-        op11_phrase_collocations, pipeline,
+        op11_phrase_collocations, op12_embedding_near_dedup, pipeline,
     )
     return {f.__name__: f for f in ops}
 
@@ -187,6 +192,26 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
 """
 
+OP12_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT row_number() OVER () AS nr, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), sound AS (
+    SELECT nr, vec_id, label, v FROM vectors
+    WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.nr AS src, b.nr AS dst FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.nr <> b.nr
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+    SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reached r JOIN links l ON r.dst = l.src
+), smallest AS (
+    SELECT r.src, min(v.vec_id) AS low FROM reached r JOIN vectors v ON v.nr = r.dst GROUP BY r.src
+), counts AS (
+    SELECT src, count(*) AS n FROM links GROUP BY src
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(low, vec_id), vec_id) AS component_id, coalesce(least(low, vec_id), vec_id) = vec_id AS kept
+FROM vectors LEFT JOIN smallest ON smallest.src = nr LEFT JOIN counts ON counts.src = nr
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hamming_top_k": OP2_SQL, "op3_source_mixing": OP3_SQL, "op11_phrase_collocations": OP11_SQL}
+    return {"op2_hamming_top_k": OP2_SQL, "op3_source_mixing": OP3_SQL, "op11_phrase_collocations": OP11_SQL, "op12_embedding_near_dedup": OP12_SQL}
