@@ -18,8 +18,7 @@ from .fmindex import Intervals, ShardIndex
 #: A-Z as lower case, the ends of pieces as one of them, a tab as a space: what is left to split are spaces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 10)
 #: Bytes of text of one shard; a single longer text is a shard of its own.
-SHARD_BYTES = 24 << 20
-NGRAMS = "lang string, words int, phrase string, f long"
+SHARD_BYTES = 12 << 20
 
 
 class Shard:
@@ -35,13 +34,13 @@ class Shard:
         rank = np.empty(len(names), np.int64)
         rank[order.to_numpy()] = np.arange(1, len(names) + 1)
         end = pc.index(names, b".").as_py()  # no word holds this byte
-        rank = np.where(rank == end + 1, 0, rank - (rank > end + 1))
+        rank = np.where(rank == end + 1, 0, rank - (rank > end + 1)).astype(np.int32)
         self.words = pa.concat_arrays([names.slice(0, end), names.slice(end + 1)])
         self.text = rank[coded.indices.to_numpy()]
 
-    def phrases(self, found: Intervals) -> pa.Array:
+    def phrases(self, found: Intervals) -> pa.BinaryArray:
         parts = [self.words.take(pa.array(found.words[:, k] - 1)) for k in range(found.words.shape[1])]
-        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary()).cast(pa.string())
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
 
     def hashes(self) -> np.ndarray:
         """Of each id, the hash of its word as Spark has it; 0 for the end of a piece."""
@@ -62,27 +61,35 @@ def _pair_column(phrase: Column) -> Column:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
     """The texts of a task by language, cut into shards."""
     held: dict[str, list[bytes]] = {}
-    sizes: dict[str, int] = {}
+    size = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
-            if held and sum(sizes.values()) + len(text) > SHARD_BYTES:
-                yield from ((k, Shard(v)) for k, v in held.items())
-                held, sizes = {}, {}
+            if held and size + len(text) > SHARD_BYTES:
+                yield from ((k, Shard(held.pop(k))) for k in list(held))
+                pa.default_memory_pool().release_unused()
+                size = 0
             held.setdefault(lang, []).append(text)
-            sizes[lang] = sizes.get(lang, 0) + len(text)
-    yield from ((k, Shard(v)) for k, v in held.items())
+            size += len(text)
+    yield from ((k, Shard(held.pop(k))) for k in list(held))
 
 
-def _rows(lang: str, shard: Shard, found: Intervals, step: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _rows(lang: str, shard: Shard, found: Intervals, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """key, f: the language, an end of line, which no phrase holds, and the phrase. One column is less to hash and to compare."""
     for at in range(0, len(found.counts), step):
         part = found.where(slice(at, at + step))
-        n = len(part.counts)
-        columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(part.words.shape[1], pa.int32()), n), shard.phrases(part), pa.array(part.counts.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "f"])
+        key = pc.binary_join_element_wise(pa.scalar(lang.encode() + b"\n", pa.binary()), shard.phrases(part), pa.scalar(b"", pa.binary()))
+        yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(part.counts.astype(np.int64))], names=["key", "f"])
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    """lang, phrase, f: counts added up over shards."""
+    found = counts.groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    return found.select(F.substr("key", F.lit(1), F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
 
 
 def count_short(texts: DataFrame) -> DataFrame:
-    """lang, words, phrase, f of all single words and pairs of ``texts`` (lang, text): counted by shard, summed over shards."""
+    """lang, phrase, f of all single words and pairs of ``texts`` (lang, text): counted by shard, summed over shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches):
@@ -90,11 +97,11 @@ def count_short(texts: DataFrame) -> DataFrame:
             yield from _rows(lang, shard, index.one)
             yield from _rows(lang, shard, index.left(index.one))
 
-    return texts.mapInArrow(run, NGRAMS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return _summed(texts.mapInArrow(run, "key string, f long"))
 
 
 def count_longer(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """lang, words, phrase, f of all triples whose two pairs are among ``pairs`` (lang, phrase), and of a few others.
+    """lang, phrase, f of all triples whose two pairs are among ``pairs`` (lang, phrase), and of a few others.
 
     A triple is at most as frequent as its pairs. A filter of bits over the pairs, 64 MB at most, tells each shard which intervals to extend: it
     lets through all of ``pairs``, so that the counts of their triples are whole; a count of another triple may be too small, and never too large.
@@ -121,7 +128,7 @@ def count_longer(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             three = index.right(two)
             yield from _rows(lang, shard, three.where(may_be(_pair_key(hashes[three.words[:, 1]], hashes[three.words[:, 2]]))))
 
-    return texts.mapInArrow(run, NGRAMS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return _summed(texts.mapInArrow(run, "key string, f long"))
 
 
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int = 2000) -> DataFrame:
@@ -140,11 +147,12 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int =
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     with scratch(docs.sparkSession) as keep:
-        short = keep(count_short(texts).where((F.col("words") == 1) | (F.col("f") >= least)), "zstd")
-        pairs = short.where("words = 2").select("lang", "phrase", "f")
+        single = ~F.contains("phrase", F.lit(" "))
+        short = keep(count_short(texts).where(single | (F.col("f") >= least)), "zstd")
+        pairs = short.where(~single)
         triples = keep(count_longer(texts, pairs).where(F.col("f") >= least).select("lang", "phrase", "f"), "zstd")
-        sizes = short.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-        words = short.where((F.col("words") == 1) & (F.col("f") >= least)).select("lang", F.col("phrase").alias("side"), "f")
+        sizes = short.where(single).groupBy("lang").agg(F.sum("f").alias("n"))
+        words = short.where(single & (F.col("f") >= least)).select("lang", F.col("phrase").alias("side"), "f")
         exact = lambda c: F.col(c).cast("decimal(19,0)")
 
         def sided(found: DataFrame, sides: DataFrame, at: Column, name: str) -> DataFrame:
