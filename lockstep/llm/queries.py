@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, gridjoin, langid, licenses, linededup, media, mixing, packing, quality, records, simhash, topk
+from . import collocations, gridjoin, langid, licenses, linededup, media, mixing, packing, quality, records, simhash, spelling, topk
 from .common import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,11 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridjoin.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents one edit apart; null and empty texts have no words, a null doc_id reads null, repeated rows count as often."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py; what each does with odd rows stands there."""
     import corpus_pipeline
@@ -109,7 +114,7 @@ def queries() -> dict[str, Query]:
     ops = (
         op1_best_fit_packing, op2_hamming_top_k, op3_source_mixing, op4_media_columns, op5_license_scan,
         op6_token_records, op7_quality_rules, op8_language_centroids, op9_line_dedup, op10_simhash_near_dedup,
-        op11_phrase_collocations, op12_embedding_near_dedup, pipeline,
+        op11_phrase_collocations, op12_embedding_near_dedup, op13_spelling_variants, pipeline,
     )
     return {f.__name__: f for f in ops}
 
