@@ -1,8 +1,7 @@
-"""Dense solvers on sums of products and other bounded groups: ridge, back-to-back regression, filters, spatial components."""
+"""Dense solvers on sums of products: back-to-back regression, its spatial filters, its generalisation over time and its nulls."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -10,19 +9,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .permutation import balanced_halves
-from .sequences import placed
-
-
-def ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Coefficients of y on x with a squared penalty."""
-    return np.linalg.solve(x.T @ x + penalty * np.eye(x.shape[1]), x.T @ y)
-
-
-def condition(x: np.ndarray) -> float:
-    s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
-    return float(s[0] / s[-1]) if s[-1] > 0 else float("inf")
 
 
 def least_on_plateau(errors: np.ndarray) -> int:
@@ -30,53 +19,6 @@ def least_on_plateau(errors: np.ndarray) -> int:
     return int(np.flatnonzero(errors <= errors.min() + max(1e-8, 1e-6 * abs(float(errors.min()))))[0])
 
 
-def alpha_errors(y: np.ndarray, x: np.ndarray, folds: np.ndarray, alphas: list[float]) -> np.ndarray | None:
-    """The mean squared error of x from y for each alpha, over the folds; None if no fold can be used.
-
-    The penalty of a fold is alpha times the mean sum of squares of its training channels. Folds with fewer training rows than channels are left out.
-    """
-    errors = np.zeros(len(alphas))
-    used = 0
-    for f in np.unique(folds):
-        train, test = folds != f, folds == f
-        if train.sum() < y.shape[1]:
-            continue
-        center_y, center_x = y[train].mean(axis=0), x[train].mean(axis=0)
-        u, s, vt = np.linalg.svd(y[train] - center_y, full_matrices=False)
-        scale, seen, target = float((s**2).sum()) / y.shape[1], (y[test] - center_y) @ vt.T, u.T @ (x[train] - center_x)
-        for k, a in enumerate(alphas):
-            guess = (seen * (s / (s**2 + a * scale))) @ target
-            errors[k] += float(((x[test] - center_x - guess) ** 2).mean())
-        used += 1
-    return errors / used if used else None
-
-
-def tuned_alpha(y: np.ndarray, x: np.ndarray, folds: np.ndarray, alphas: list[float]) -> tuple[float, float]:
-    """The smallest alpha on the plateau of the least error, and its error; NaN if no fold can be used."""
-    errors = alpha_errors(y, x, folds, alphas)
-    if errors is None:
-        return float("nan"), float("nan")
-    best = least_on_plateau(errors)
-    return alphas[best], float(errors[best])
-
-
-def back_to_back(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray, alpha: float, most_condition: float = 85.0) -> tuple[np.ndarray, bool]:
-    """One direction: features decoded from channels on one half, then explained by themselves on the other.
-
-    Returns the diagonal of the second regression and whether it is valid: rows enough and well conditioned.
-    """
-    cy, cx = y1.mean(axis=0), x1.mean(axis=0)
-    u, s, vt = np.linalg.svd(y1 - cy, full_matrices=False)
-    penalty = alpha * float((s**2).sum()) / y1.shape[1]
-    decoder = (vt.T * (s / (s**2 + penalty))) @ (u.T @ (x1 - cx))
-    guess = (y2 - cy) @ decoder
-    guess -= guess.mean(axis=0)
-    centered = x2 - x2.mean(axis=0)
-    valid = len(x2) >= x2.shape[1] and condition(x2) <= most_condition
-    h, *_ = np.linalg.lstsq(centered, guess, rcond=None)
-    return np.diag(h), bool(valid)
-
-
 _eight = cache(balanced_halves)
 
 
@@ -95,6 +37,31 @@ def first_half(blocks: np.ndarray, split: int) -> np.ndarray:
     return half if split % 2 == 0 else ~half
 
 
+def least_penalty(low: float, high: float, target: float | None) -> tuple[float, float]:
+    """The least penalty that brings the condition of a matrix with squared singular values from ``low`` to ``high`` to ``target``, and the condition after it."""
+    kappa = float(np.sqrt(high / low)) if low > 1e-14 * high else float("inf")
+    if not target or kappa <= target:
+        return 0.0, kappa
+    penalty = max(0.0, float(high - target**2 * max(low, 0.0)) / (target**2 - 1))
+    return penalty, float(np.sqrt((high + penalty) / (max(low, 0.0) + penalty))) if penalty else kappa
+
+
+def two_eigenvalues(aa: Column, bb: Column, ab: Column) -> tuple[Column, Column]:
+    """The smaller and the larger eigenvalue of the matrix of aa, ab, ab and bb."""
+    mid, gap = (aa + bb) / 2, F.sqrt((aa - bb) * (aa - bb) + 4 * ab * ab) / 2
+    return mid - gap, mid + gap
+
+
+def condition_gate(designs: DataFrame, low: str, high: str, n: str, width: int, target: float) -> DataFrame:
+    """``designs`` with condition, penalty (as ``least_penalty``), condition_after, warn (a penalty is needed) and invalid (fewer rows than ``width``, or a condition that no penalty mends)."""
+    kappa = F.when(F.col(low) > 1e-14 * F.col(high), F.sqrt(F.col(high) / F.col(low))).otherwise(float("inf"))
+    floor = F.greatest(F.col(low), F.lit(0.0))
+    gated = designs.withColumn("condition", kappa).withColumn("penalty", F.when(F.col("condition") > target, F.greatest(F.lit(0.0), (F.col(high) - target**2 * floor) / (target**2 - 1))).otherwise(0.0))
+    after = F.when(F.col("penalty") > 0, F.sqrt((F.col(high) + F.col("penalty")) / (floor + F.col("penalty")))).otherwise(F.col("condition"))
+    gated = gated.withColumns({"condition_after": after, "warn": F.col("condition") > target})
+    return gated.withColumn("invalid", (F.col(n) < width) | (F.col("condition_after") == float("inf")))
+
+
 class Sums:
     """Numbers, sums and products of rows [x, y], for a set of blocks; ``p`` of the columns are features."""
 
@@ -118,16 +85,31 @@ class Sums:
         seen, scale = turn.T @ c[p:, :p], float(np.trace(c[p:, p:])) / (len(c) - p)
         return [turn @ (seen / np.maximum(values + a * scale, np.finfo(float).tiny)[:, None]) for a in alphas]
 
-    @property
-    def condition(self) -> float:
-        values = np.linalg.eigvalsh(self.centred[: self.p, : self.p])
-        return float(np.sqrt(values[-1] / values[0])) if values[0] > 1e-14 * values[-1] else float("inf")
+    def turned(self, left: np.ndarray) -> Sums:
+        """The sums of ``left`` times each row; the features stay in front."""
+        return Sums(self.n, left @ self.sums, left @ self.products @ left.T, self.p)
+
+    def filtered(self, weights: np.ndarray) -> Sums:
+        """The sums with the channels seen through a spatial filter, a column for each of its components."""
+        left = np.zeros((self.p + weights.shape[1], len(self.sums)))
+        left[: self.p, : self.p], left[self.p :, self.p :] = np.eye(self.p), weights.T
+        return self.turned(left)
 
-    def explained(self, decoder: np.ndarray, most_condition: float) -> tuple[np.ndarray, bool]:
-        """The diagonal of the regression of decoded features on the features, and whether rows are enough and well conditioned."""
+    def regressed(self, most_condition: float, target: float | None = None) -> tuple[np.ndarray, float, float, bool]:
+        """Features on channels: weights (features x channels), the condition of the features, their penalty, and whether rows are enough and well conditioned.
+
+        With ``target`` the penalty is the least one that brings the condition down to it, and the condition is that after it.
+        """
         c, p = self.centred, self.p
-        h = np.linalg.pinv(c[:p, :p], rcond=1e-12, hermitian=True) @ c[:p, p:] @ decoder
-        return np.diag(h), bool(self.n >= p and self.condition <= most_condition)
+        values = np.linalg.eigvalsh(c[:p, :p])
+        penalty, kappa = least_penalty(values[0], values[-1], target)
+        weights = np.linalg.pinv(c[:p, :p] + penalty * np.eye(p), rcond=1e-12, hermitian=True) @ c[:p, p:]
+        return weights, kappa, penalty, bool(self.n >= p and (np.isfinite(kappa) if target else kappa <= most_condition))
+
+    def explained(self, decoder: np.ndarray, most_condition: float, target: float | None = None) -> tuple[np.ndarray, float, float, bool]:
+        """The diagonal of the regression of decoded features on the features; condition, penalty and validity as ``regressed``."""
+        weights, kappa, penalty, valid = self.regressed(most_condition, target)
+        return (weights * decoder.T).sum(axis=1), kappa, penalty, valid
 
 
 def sums_errors(parts: list[Sums], folds: np.ndarray, alphas: list[float]) -> np.ndarray | None:
@@ -159,8 +141,6 @@ def block_sums(trials: DataFrame, key: list[str]) -> DataFrame:
     Each task sums its own rows, and Spark adds these sums element by element, so that a key with most of the trials
     is never in one task. Trials without x or y take no part; the widths of x and y are alike within a key.
     """
-    from pyspark.sql import functions as F
-
     rows = trials.where("x is not null and y is not null").select(*key, F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
     types: list[pa.DataType] = []
@@ -197,15 +177,13 @@ def block_sums(trials: DataFrame, key: list[str]) -> DataFrame:
 
 def _flat(parts: DataFrame, key: list[str]) -> DataFrame:
     """Elements (i, v) added up and put in order, as one array ``sums`` for each key: as long as one row's products."""
-    from pyspark.sql import functions as F
-
     summed = parts.groupBy(*key, "i").agg(F.sum("v").alias("v"))
     return summed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s")).select(*key, F.col("_s.v").alias("sums"))
 
 
 def _parts(rows: pd.DataFrame) -> tuple[np.ndarray, list[Sums]]:
-    """Blocks in order, and their sums."""
-    rows = rows.sort_values("block")
+    """Blocks in order, and their sums; rows of one block stay in their order."""
+    rows = rows.sort_values("block", kind="stable")
     out = []
     for p, flat in zip(rows["p"], rows["sums"], strict=True):
         flat = np.asarray(flat, float)
@@ -221,13 +199,27 @@ def _halves(blocks: np.ndarray, parts: list[Sums], split: int) -> tuple[np.ndarr
     return (half, both) if all(sum(s.n for s in side) >= 4 for side in both) else None
 
 
-def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds: int = 4, sums: DataFrame | None = None) -> DataFrame:
+def _with_filters(sums: DataFrame, filters: DataFrame | None) -> DataFrame:
+    """``sums`` with the filters of the participant's splits in one column."""
+    if filters is None:
+        return sums
+    return sums.join(filters.groupBy("participant").agg(F.collect_list(F.struct("split", "weights", "width")).alias("filters")), "participant")
+
+
+def _filtered(parts: list[Sums], rows: pd.DataFrame, split: int) -> list[Sums]:
+    if "filters" not in rows:
+        return parts
+    weights = next(np.asarray(f["weights"], float).reshape(-1, f["width"]) for f in rows["filters"].iloc[0] if f["split"] == split)
+    return [s.filtered(weights) for s in parts]
+
+
+def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds: int = 4, sums: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
     """participant, split, direction, alpha: one penalty for all times, from the mean of the times' errors.
 
+    ``filters`` (as ``evoked_filters``) stand before the channels.
+
     Everything comes from ``block_sums``: a group is the blocks of a participant and time, however many their trials.
     """
-    from pyspark.sql import functions as F
-
     def tune(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         blocks, parts = _parts(rows)
         out = []
@@ -235,13 +227,14 @@ def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds:
             if (halved := _halves(blocks, parts, split)) is None:
                 continue
             for direction, first in ((1, halved[1][0]), (2, halved[1][1])):
+                first = _filtered(first, rows, split)
                 errors = sums_errors(first, np.arange(len(first)) % folds, alphas)
                 if errors is not None:
                     out += [(key[0], split, direction, k, float(e)) for k, e in enumerate(errors)]
         return pd.DataFrame(out, columns=["participant", "split", "direction", "k", "error"])
 
     sums = block_sums(trials, ["participant", "time", "block"]) if sums is None else sums
-    found = sums.groupBy("participant", "time").applyInPandas(tune, "participant long, split int, direction int, k int, error double")
+    found = _with_filters(sums, filters).groupBy("participant", "time").applyInPandas(tune, "participant long, split int, direction int, k int, error double")
     mean = found.groupBy("participant", "split", "direction", "k").agg(F.avg("error").alias("e"))
     ranked = mean.groupBy("participant", "split", "direction").agg(F.min("e").alias("least"), F.collect_list(F.struct("k", "e")).alias("all"))
     plateau = F.filter("all", lambda p: p["e"] <= F.col("least") + F.greatest(F.lit(1e-8), 1e-6 * F.abs("least")))
@@ -249,15 +242,8 @@ def b2b_alphas(trials: DataFrame, alphas: list[float], splits: int = 20, folds:
     return ranked.select("participant", "split", "direction", chosen.alias("alpha"))
 
 
-def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float], splits: int = 20, folds: int = 4, most_condition: float = 85.0) -> DataFrame:
-    """Back-to-back scores: participant, split, direction, time, family, trace, score, alpha, valid.
-
-    ``trials`` has participant, time, trial, block, x (features) and y (channels), one row for each trial and time.
-    Spark sums the products by participant, time and block (``block_sums``); a first pass gives each participant, split and
-    direction one penalty for all times (``b2b_alphas``), the second one solves. What a task solves is the blocks' sums, which
-    don't grow with the trials. A split is valid if both directions are. ``families`` gives the number of consecutive features of each.
-    """
-    names, sizes = list(families), list(families.values())
+def _solved(sums: DataFrame, tuned: DataFrame, most_condition: float, target: float | None, filters: DataFrame | None) -> DataFrame:
+    """participant, split, direction, time, alpha, decoder, weights, width, condition, penalty, valid: both regressions, a row of weights for each feature."""
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         blocks, parts = _parts(rows)
@@ -265,187 +251,114 @@ def b2b_scores(trials: DataFrame, families: dict[str, int], alphas: list[float],
         for split in sorted({s for s, _ in alphas}):
             if (halved := _halves(blocks, parts, split)) is None:
                 continue
-            totals, found = [_total(side) for side in halved[1]], []
+            totals, found = [_total(_filtered(side, rows, split)) for side in halved[1]], []
             for direction, (first, second) in ((1, totals), (2, totals[::-1])):
                 if (alpha := alphas.get((split, direction))) is not None:
-                    found.append((direction, alpha, *second.explained(first.decoders([alpha])[0], most_condition)))
+                    found.append((direction, alpha, first.decoders([alpha])[0], *second.regressed(most_condition, target)))
             valid = len(found) == 2 and all(ok for *_, ok in found)
-            for direction, alpha, diagonal, _ in found:
-                at = 0
-                for name, n in zip(names, sizes, strict=True):
-                    trace = float(diagonal[at : at + n].sum())
-                    out.append((key[0], split, direction, key[1], name, trace, trace / n, alpha, valid))
-                    at += n
-        return pd.DataFrame(out, columns=["participant", "split", "direction", "time", "family", "trace", "score", "alpha", "valid"])
-
-    schema = "participant long, split int, direction int, time int, family string, trace double, score double, alpha double, valid boolean"
-    sums = block_sums(trials, ["participant", "time", "block"])
-    tuned = _tuned(b2b_alphas(trials, alphas, splits, folds, sums))
-    return sums.join(tuned, "participant").groupBy("participant", "time").applyInPandas(solve, schema)
+            out += [(key[0], split, d, key[1], alpha, g.T.ravel(), w.ravel(), g.shape[0], kappa, penalty, valid) for d, alpha, g, w, kappa, penalty, _ in found]
+        return pd.DataFrame(out, columns=["participant", "split", "direction", "time", "alpha", "decoder", "weights", "width", "condition", "penalty", "valid"])
 
+    schema = "participant long, split int, direction int, time int, alpha double, decoder array<double>, weights array<double>, width int, condition double, penalty double, valid boolean"
+    return _with_filters(sums, filters).join(_tuned(tuned), "participant").groupBy("participant", "time").applyInPandas(solve, schema)
 
-def _tuned(alphas: DataFrame) -> DataFrame:
-    """participant, tuned: an entry for each split and direction."""
-    from pyspark.sql import functions as F
 
-    return alphas.groupBy("participant").agg(F.array_sort(F.collect_list(F.struct("split", "direction", "alpha"))).alias("tuned"))
+def _by_family(solved: DataFrame, families: dict[str, int], decoder: str, weights: str) -> DataFrame:
+    """A row for each family: the trace of its part of weights times decoder, and its mean."""
+    at, parts = 0, []
+    for name, n in families.items():
+        cut = [F.slice(c, at * F.col("width") + 1, n * F.col("width")) for c in (weights, decoder)]
+        trace = F.aggregate(F.zip_with(*cut, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        parts.append(F.struct(F.lit(name).alias("family"), trace.alias("trace"), (trace / n).alias("score")))
+        at += n
+    return solved.withColumn("_f", F.explode(F.array(*parts))).withColumns({c: F.col(f"_f.{c}") for c in ("family", "trace", "score")}).drop("_f", decoder, weights, "width")
 
 
-def null_shift(participant: object, rep: int, n: int, least: int) -> int:
-    """A circular shift of n rows by ``least`` to n - ``least`` places, by hash: the same for all times and splits of a participant."""
-    digest = hashlib.md5(f"shift|{participant}|{rep}".encode()).digest()
-    return least + int.from_bytes(digest[:8], "big") % (n - 2 * least + 1)
+def b2b_scores(
+    trials: DataFrame, families: dict[str, int], alphas: list[float], splits: int = 20, folds: int = 4, most_condition: float = 85.0, target: float | None = None, filters: DataFrame | None = None
+) -> DataFrame:
+    """Back-to-back scores: participant, split, direction, time, family, trace, score, alpha, condition, penalty, valid.
 
+    ``trials`` has participant, time, trial, block, x (features) and y (channels), one row for each trial and time.
+    Spark sums the products by participant, time and block (``block_sums``); a first pass gives each participant, split and
+    direction one penalty for all times (``b2b_alphas``), the second one solves. What a task solves is the blocks' sums, which
+    don't grow with the trials. A split is valid if both directions are. ``families`` gives the number of consecutive features of each.
+    The features' own regression has no penalty and is valid up to ``most_condition``, or the least one that brings its condition to ``target``.
+    ``filters`` (as ``evoked_filters``) stand before the channels, each split's own.
+    """
+    sums = block_sums(trials, ["participant", "time", "block"])
+    solved = _solved(sums, b2b_alphas(trials, alphas, splits, folds, sums, filters), most_condition, target, filters)
+    return _by_family(solved, families, "decoder", "weights").select("participant", "split", "direction", "time", "family", "trace", "score", "alpha", "condition", "penalty", "valid")
 
-def _shift_column(rep: Column, least: int) -> Column:
-    """``null_shift`` of the participant and its ``_n`` rows, as a column."""
-    from pyspark.sql import functions as F
 
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shift"), F.col("participant").cast("string"), rep.cast("string"))), 1, 16), 16, 10).cast("decimal(20,0)")
-    return least + F.pmod(drawn, (F.col("_n") - 2 * least + 1).cast("decimal(20,0)")).cast("long")
+def b2b_generalised(
+    trials: DataFrame, families: dict[str, int], alphas: list[float], splits: int = 20, folds: int = 4, most_condition: float = 85.0, target: float | None = None, filters: DataFrame | None = None, every: int = 1
+) -> DataFrame:
+    """Decoders trained at one time and tested at another: participant, split, direction, t_train, t_test, family, trace, score, alpha, valid.
 
+    Neither trials nor products of channels at two times are needed: a decoder comes from the training half at its time,
+    and what it is tested with are the features' weights on the channels at the other time, from the test half. Both are made once for each time,
+    as features x channels numbers, and meet by participant, split and direction. At equal times the scores are those of ``b2b_scores``.
+    ``every`` takes each so many times.
+    """
+    sums = block_sums(trials, ["participant", "time", "block"])
+    solved = _solved(sums, b2b_alphas(trials, alphas, splits, folds, sums, filters), most_condition, target, filters).where(F.col("time") % every == 0)
+    key = ["participant", "split", "direction"]
+    trained = solved.select(*key, F.col("time").alias("t_train"), "alpha", "decoder", "width", F.col("valid").alias("_ok"))
+    tested = solved.select(*key, F.col("time").alias("t_test"), "weights", "valid")
+    met = trained.join(tested, key).withColumn("valid", F.col("valid") & F.col("_ok")).drop("_ok")
+    return _by_family(met, families, "decoder", "weights").select(*key, "t_train", "t_test", "family", "trace", "score", "alpha", "valid")
 
-def shifted_sums(trials: DataFrame, reps: int, least: int, slice_rows: int = 256) -> DataFrame:
-    """participant, time, rep, block, sums: of each block, the sums of the features shifted around within each section, and
-    their products with themselves and with the channels, one after the other.
 
-    Features go to the places they are shifted to, in slices of ``slice_rows`` places, where they meet the channels: a
-    task holds one slice of the channels and of all its shifts. Participants with a section of fewer than twice ``least`` trials give no rows.
-    """
-    from pyspark.sql import functions as F
-
-    if "section" not in trials.columns:
-        trials = trials.withColumn("section", F.lit(0))
-    key = ["participant", "time", "section"]
-    whole = trials.where("x is not null and y is not null").select(*key, "trial", "block", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
-    sizes = whole.groupBy(*key).agg(F.count("*").alias("_m")).groupBy("participant", "time").agg(F.min("_m").alias("_m"))
-    whole = whole.join(sizes.where(F.col("_m") >= 2 * least).select("participant", "time"), ["participant", "time"], "left_semi")
-    at = placed(whole, key, "trial", F.xxhash64("x", "y"))
-    moved = at.select(*key, "_n", "_at", "x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("to", F.pmod(F.col("_at") + _shift_column(F.col("rep"), least), F.col("_n")))
-    moved = moved.select(*key, F.floor(F.col("to") / slice_rows).alias("slice"), "to", "rep", "x").withColumnsRenamed({k: f"_{k}" for k in [*key, "slice"]})
-    fixed = at.select(*key, F.floor(F.col("_at") / slice_rows).alias("slice"), F.col("_at").alias("to"), "block", "y")
-
-    def run(key: tuple, fixed: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
-        fixed, moved = fixed.sort_values("to"), moved.sort_values(["rep", "to"])
-        y, x = np.array(fixed["y"].tolist(), float), np.array(moved["x"].tolist(), float).reshape(reps, len(fixed), -1)
-        blocks, out = fixed["block"].to_numpy(), []
-        for block in np.unique(blocks):
-            here = blocks == block
-            z, other = x[:, here], y[here]
-            flat = np.concatenate([z.sum(axis=1), (z.transpose(0, 2, 1) @ z).reshape(reps, -1), (z.transpose(0, 2, 1) @ other).reshape(reps, -1)], axis=1)
-            n = flat.shape[1]
-            out.append(pd.DataFrame({"participant": key[0], "time": key[1], "rep": np.repeat(np.arange(reps), n), "block": block, "i": np.tile(np.arange(n), reps), "v": flat.ravel()}))
-        return pd.concat(out)
-
-    by = [*key, "slice"]
-    block = trials.schema["block"].dataType.simpleString()
-    parts = fixed.groupBy(*by).cogroup(moved.groupBy(*[f"_{k}" for k in by])).applyInPandas(run, f"participant long, time int, rep int, block {block}, i int, v double")
-    return _flat(parts, ["participant", "time", "rep", "block"])
-
-
-def b2b_nulls(trials: DataFrame, observed: DataFrame, families: dict[str, int], reps: int, least: int = 20, most_condition: float = 85.0) -> DataFrame:
-    """Back-to-back scores with the features shifted around against the channels: participant, split, direction, time, rep, family, score.
-
-    ``observed`` (participant, split, direction, alpha) gives the penalties, which are not tuned again. With a column
-    ``section``, features are shifted within each section. All comes from the sums of blocks, those of the channels and those
-    with the shifted features (``shifted_sums``); a group that is solved is one repetition of a participant and time.
-    Those with fewer than twice ``least`` trials (in a section), and ill-conditioned designs, give no rows.
+def evoked_filters(sums: DataFrame, splits: int, n: int, scope: str = "half", floor: float = 1e-6) -> DataFrame:
+    """participant, split, weights, width, powers, explained: spatial filters that favour what repeats over trials.
+
+    From ``block_sums`` by participant, time and block: the channels are whitened over all times and trials, eigenvalues below ``floor`` of
+    the largest raised to it, and the ``n`` leading components of the whitened mean over trials are kept, as columns of length 1.
+    ``scope`` half fits each split on the trials of its first half alone, all on every trial. The time course of a component may
+    have either sign; the largest weight is positive.
     """
-    from pyspark.sql import functions as F
+    if scope not in ("half", "all"):
+        raise ValueError("scope is half or all")
+
+    def collapse(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One block: products over all times, means by time."""
+        _, parts = _parts(rows)
+        channels = slice(parts[0].p, None)
+        return pd.DataFrame({
+            "participant": [key[0]], "block": [key[1]], "products": [sum(s.products[channels, channels] for s in parts).ravel()],
+            "times": [rows.sort_values("block", kind="stable")["time"].to_numpy()], "n": [[s.n for s in parts]], "sums": [np.concatenate([s.sums[channels] for s in parts])],
+        })
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        blocks, out = rows["block"].to_numpy(), []
+        for split in range(splits):
+            used = rows[first_half(blocks, split)] if scope == "half" else rows
+            if not len(used):
+                continue
+            width = len(used["sums"].iloc[0]) // len(used["times"].iloc[0])
+            by_time: dict = {}
+            for r in used.itertuples():
+                for t, n_, v in zip(r.times, r.n, np.reshape(r.sums, (-1, width)), strict=True):
+                    m, total = by_time.get(t, (0, 0.0))
+                    by_time[t] = (m + n_, total + v)
+            count = sum(m for m, _ in by_time.values())
+            mean = sum(v for _, v in by_time.values()) / count
+            values, turn = np.linalg.eigh(sum(np.reshape(v, (width, width)) for v in used["products"]) / count - np.outer(mean, mean))
+            white = turn / np.sqrt(np.maximum(values, floor * max(values[-1], np.finfo(float).tiny)))
+            evoked = white.T @ np.array([v / m - mean for m, v in by_time.values()]).T
+            power, lead = np.linalg.eigh(evoked @ evoked.T / evoked.shape[1])
+            power, found = power[::-1], white @ lead[:, ::-1][:, :n]
+            found = found / np.linalg.norm(found, axis=0)
+            found = found * np.sign(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])])
+            out.append((key[0], split, found.ravel(), found.shape[1], np.maximum(power[:n], 0), float(power[:n].sum() / max(np.maximum(power, 0).sum(), np.finfo(float).tiny))))
+        return pd.DataFrame(out, columns=["participant", "split", "weights", "width", "powers", "explained"])
+
+    block = sums.schema["block"].dataType.simpleString()
+    parts = sums.groupBy("participant", "block").applyInPandas(collapse, f"participant long, block {block}, products array<double>, times array<int>, n array<double>, sums array<double>")
+    return parts.groupBy("participant").applyInPandas(fit, "participant long, split int, weights array<double>, width int, powers array<double>, explained double")
 
-    names, sizes = list(families), list(families.values())
-    columns = ["participant", "split", "direction", "time", "rep", "family", "score"]
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        blocks, parts = _parts(rows)
-        for s, flat in zip(parts, rows.sort_values("block")["shifted"], strict=True):
-            p, flat = s.p, np.asarray(flat, float)
-            s.sums, s.products = s.sums.copy(), s.products.copy()
-            s.sums[:p], s.products[:p, :p] = flat[:p], flat[p : p + p * p].reshape(p, p)
-            s.products[:p, p:] = flat[p + p * p :].reshape(p, -1)
-            s.products[p:, :p] = s.products[:p, p:].T
-        out = []
-        for tuned in rows["tuned"].iloc[0]:
-            split, direction, alpha = tuned["split"], tuned["direction"], tuned["alpha"]
-            if (halved := _halves(blocks, parts, split)) is None:
-                continue
-            first, second = [_total(side) for side in (halved[1] if direction == 1 else halved[1][::-1])]
-            diagonal, valid = second.explained(first.decoders([alpha])[0], most_condition)
-            at = 0
-            for name, size in zip(names, sizes, strict=True):
-                if valid:
-                    out.append((key[0], split, direction, key[1], key[2], name, float(diagonal[at : at + size].mean())))
-                at += size
-        return pd.DataFrame(out, columns=columns)
-
-    alphas = observed.groupBy("participant", "split", "direction").agg(F.max("alpha").alias("alpha"))
-    sums = block_sums(trials, ["participant", "time", "block"])
-    moved = shifted_sums(trials, reps, least).withColumnRenamed("sums", "shifted")
-    rows = moved.join(sums, ["participant", "time", "block"]).join(_tuned(alphas), "participant")
-    return rows.groupBy("participant", "time", "rep").applyInPandas(solve, "participant long, split int, direction int, time int, rep int, family string, score double")
-
-
-def drift_basis(n: int, bumps: int = 40) -> np.ndarray:
-    """A constant and Gaussian bumps along n positions."""
-    at, centers = np.linspace(0, 1, n)[:, None], np.linspace(0, 1, bumps)[None]
-    width = 1 / max(1, bumps - 1)
-    return np.hstack([np.ones((n, 1)), np.exp(-0.5 * ((at - centers) / width) ** 2)])
-
-
-def residual(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """x less what ``basis`` explains of it."""
-    return x - basis @ np.linalg.lstsq(basis, x, rcond=None)[0]
-
-
-def bandpass(x: np.ndarray, rate: float, low: float, high: float, order: int = 4) -> np.ndarray:
-    """Zero-phase filter along the first axis with the squared gain of a Butterworth band-pass, on a mirrored signal."""
-    n = len(x)
-    mirrored = np.concatenate([x[::-1], x, x[::-1]])
-    f = np.fft.rfftfreq(3 * n, 1 / rate)
-    with np.errstate(divide="ignore"):
-        w = np.where(f > 0, (f**2 - low * high) / (f * (high - low) + 1e-300), np.inf)
-    gain = 1 / (1 + w ** (2 * order))
-    gain = gain.reshape(-1, *[1] * (x.ndim - 1))
-    return np.fft.irfft(np.fft.rfft(mirrored, axis=0) * gain, 3 * n, axis=0)[n : 2 * n]
-
-
-def evoked_components(epochs: np.ndarray, n: int, floor: float = 1e-6) -> np.ndarray:
-    """Spatial filters (channels x n) that favour what repeats over epochs (epochs x channels x times): whitening, then the mean's components."""
-    flat = epochs.transpose(1, 0, 2).reshape(epochs.shape[1], -1)
-    flat = flat - flat.mean(axis=1, keepdims=True)
-    values, vectors = np.linalg.eigh(flat @ flat.T / flat.shape[1])
-    whiten = vectors / np.sqrt(np.maximum(values, floor * values.max()))
-    mean = whiten.T @ (epochs.mean(axis=0) - epochs.mean(axis=(0, 2))[:, None])
-    power, turn = np.linalg.eigh(mean @ mean.T)
-    found = whiten @ turn[:, np.argsort(power)[::-1][:n]]
-    return found / np.linalg.norm(found, axis=0)
-
-
-def freedman_lane(x: np.ndarray, nuisance: np.ndarray, shift: int) -> np.ndarray:
-    """x whose part beyond the nuisance is shifted around, while the explained part stays."""
-    rest = residual(x, nuisance)
-    return x - rest + np.roll(rest, shift, axis=0)
-
-
-def standardised_components(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of the first k components of standardised columns, whitened, and the loadings; signs make the largest loading positive."""
-    z = (x - x.mean(axis=0)) / np.where((sd := x.std(axis=0, ddof=1)) > 0, sd, 1)
-    _, _, vt = np.linalg.svd(z, full_matrices=False)
-    load = vt[:k].T * np.sign(vt[:k][np.arange(k), np.abs(vt[:k]).argmax(axis=1)])
-    scores = z @ load
-    return scores / scores.std(axis=0, ddof=1), load
-
-
-def legendre_fit(y: np.ndarray, degree: int = 2) -> np.ndarray:
-    """Least-squares Legendre coefficients of y on [-1, 1], over its finite points; NaN if they are too few."""
-    at = np.linspace(-1, 1, len(y))
-    ok = np.isfinite(y)
-    return np.polynomial.legendre.legfit(at[ok], y[ok], degree) if ok.sum() > degree else np.full(degree + 1, np.nan)
-
-
-def helmert(k: int) -> np.ndarray:
-    """Orthonormal contrasts of k levels (k x k-1)."""
-    h = np.zeros((k, k - 1))
-    for j in range(1, k):
-        h[:j, j - 1], h[j, j - 1] = 1, -j
-    return h / np.linalg.norm(h, axis=0)
+def _tuned(alphas: DataFrame) -> DataFrame:
+    """participant, tuned: an entry for each split and direction."""
+    return alphas.groupBy("participant").agg(F.array_sort(F.collect_list(F.struct("split", "direction", "alpha"))).alias("tuned"))

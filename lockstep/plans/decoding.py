@@ -122,13 +122,13 @@ k AS (SELECT page_id, unnest(regexp_extract_all(t, '[()]|[^ \\t\\r\\n()]+')) AS
 l AS (SELECT *, t NOT IN ('(', ')') AND coalesce(lag(t) OVER w, '') <> '(' AS word, sum(CASE t WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS s, sum((t = '(')::INT) OVER w AS o, sum((t <> ')')::INT) OVER w AS run FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i)),
 d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth, count(*) FILTER (WHERE t = ')') OVER (PARTITION BY page_id, run) AS closing FROM l)
 SELECT page_id, row_number() OVER w - 1 AS place, t AS word, CAST(o - coalesce(lag(o) OVER w, 0) AS BIGINT) AS n_opening, closing AS n_closing, CAST(greatest(0, depth - closing) + closing AS BIGINT) AS depth, CAST(greatest(0, depth - closing) AS BIGINT) AS n_open_nodes,
-round((row_number() OVER w - 1) / greatest(count(*) OVER (PARTITION BY page_id) - 1, 1)::DOUBLE, 6) AS linear_order, row_number() OVER w = count(*) OVER (PARTITION BY page_id) AS is_end FROM d WHERE word WINDOW w AS (PARTITION BY page_id ORDER BY i)""")
+(row_number() OVER w - 1) / greatest(count(*) OVER (PARTITION BY page_id) - 1, 1)::DOUBLE AS linear_order, row_number() OVER w = count(*) OVER (PARTITION BY page_id) AS is_end FROM d WHERE word WINDOW w AS (PARTITION BY page_id ORDER BY i)""")
 def tree_terminals(spark: SparkSession, folder: str) -> DataFrame:
     """The words of pages in the tree of their elements: how deep they are, what opens before and closes after them."""
     plain = F.regexp_replace("html", "[()]", " ")
     trees = F.regexp_replace(F.regexp_replace(plain, "</[a-z0-9]+>", " ) "), "<([a-z0-9]+)[^>]*>", " ($1 ")
     found = al.bracket_terminals(table(spark, folder, "pages").select("page_id", trees.alias("tree")), ["page_id"], "tree")
-    return rounded(found.withColumn("place", F.col("place").cast("long")), "linear_order")
+    return found.withColumn("place", F.col("place").cast("long"))
 
 
 @query("""SELECT CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) AS INTEGER) AS width, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 6) AS size

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import dense, models, resampling, sequences
+from ..operators import dense, models, nulls, resampling, sequences
 from ..operators import summaries as agg
 from ..sources.tables import finite, table, upsert
 from .registry import SCORES, events, query, rounded, scores
@@ -291,15 +291,15 @@ def ridge_two_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _halved_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """The embeddings as trials of their label in 8 blocks: 4 places as features, the others in 6 parts of 10 as the channels of 6 times, with the features mixed in."""
-    e = table(spark, folder, "embeddings").where("size(embedding) >= 64")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    part = F.slice("embedding", F.col("time") * 10 + 5, F.lit(10))
-    mixed = F.transform(part, lambda v, k: v + F.get("x", F.pmod(k, F.lit(4)).cast("int")))
+    """The embeddings as trials of their label in 8 blocks, dealt by hash: 4 places as features, the next 60 in 6 parts of 10 as the channels of 6 times,
+    with the features mixed in. Places that a shorter vector doesn't have are 0; null and empty vectors and labels are no trials."""
+    e = table(spark, folder, "embeddings").where("label is not null and size(embedding) > 0")
+    place = lambda k: F.coalesce(F.get("embedding", k.cast("int")), F.lit(0.0))
     trials = e.select(
         F.col("label").cast("long").alias("participant"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("time"), F.col("vec_id").alias("trial"),
-        F.pmod(F.row_number().over(w), F.lit(8)).alias("block"), F.slice("embedding", 1, 4).alias("x"), "embedding",
+        F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("block"), F.transform(F.sequence(F.lit(0), F.lit(3)), place).alias("x"), "embedding",
     )
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: place(F.col("time") * 10 + 4 + k) + F.get("x", F.pmod(k, F.lit(4)).cast("int")))
     return trials.withColumn("y", mixed).drop("embedding")
 
 
@@ -319,7 +319,7 @@ def back_to_back_nulls(spark: SparkSession, folder: str) -> DataFrame:
     """Median and spread of the back-to-back scores over 20 circular shifts of the features, with the observed penalties."""
     trials = _halved_embeddings(spark, folder)
     observed = dense.b2b_alphas(trials, sc.log_grid(-4, 4, 1), splits=4)
-    reps = dense.b2b_nulls(trials, observed, FAMILIES, 20, 4).groupBy("participant", "family", "rep").agg(F.avg("score").alias("score"))
+    reps = nulls.b2b_nulls(trials, observed, FAMILIES, 20, 4).groupBy("participant", "family", "rep").agg(F.avg("score").alias("score"))
     return rounded(reps.groupBy("participant", "family").agg(F.median("score").alias("floor"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n")), "floor", "sd")
 
 

@@ -5,7 +5,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lockstep.operators import alignment, decoding, dense, models, signals
+from lockstep.operators import alignment, decoding, models, signals
+from tests import plain
 
 
 def softmax(z):
@@ -91,7 +92,7 @@ def test_bandpass_in_slices_equals_the_whole_signal(spark):
     line = [r.filtered for r in sorted((r for r in got if r.k == "a"), key=lambda r: r["at"])]
     mirrored = np.concatenate([signal[::-1], signal, signal[::-1]])
     assert np.allclose(line, np.convolve(mirrored, taps, "same")[900:1800])
-    assert np.abs(np.array(line) - dense.bandpass(signal, 50.0, 1.0, 6.0)).max() < 0.02 * np.abs(line).max()
+    assert np.abs(np.array(line) - plain.bandpass(signal, 50.0, 1.0, 6.0)).max() < 0.02 * np.abs(line).max()
     assert {r.filtered for r in got if r.k == "gap"} == {0.0}
     assert signals.bandpass(frame.limit(0), ["k"], "at", "v", taps).count() == 0
 
@@ -101,7 +102,7 @@ def test_components_against_numpy(spark):
     x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5)) * [1, 10, 1, 0.1, 1] + 4
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "id long, x array<double>").repartition(3)
     got = {r.id: r.components for r in signals.standardised_components(frame, "x", 3).collect()}
-    want, _ = dense.standardised_components(x, 3)
+    want, _ = plain.standardised_components(x, 3)
     assert np.allclose([got[k] for k in range(200)], want, atol=1e-8) and got[999] is None
     assert signals.standardised_components(frame.limit(0), "x", 3).count() == 0
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lockstep.functions import scalars as sc
-from lockstep.operators import dense, models, speech
+from lockstep.operators import dense, models, nulls, speech
 from lockstep.plans import QUERIES
 
 
@@ -44,7 +44,7 @@ def test_grouped_ridge(spark):
     for f in range(4):
         train = fold != f
         m, s, b = x[train].mean(axis=0), x[train].std(axis=0), y[train].mean()
-        w = dense.ridge((x[train] - m) / s, y[train] - b, 2.0)
+        w = plain.ridge((x[train] - m) / s, y[train] - b, 2.0)
         want = {round(float(t), 9): b + ((v - m) / s) @ w for v, t in zip(x[~train], y[~train], strict=True)}
         for r in got:
             if r.fold == f and r.y is not None and r.a is not None:
@@ -105,18 +105,18 @@ def test_nulls_reuse_the_decoder(spark):
     y = x @ rng.normal(size=(2, 6)) + 0.5 * rng.normal(size=(160, 6))
     frame = spark.createDataFrame([(1, 0, i, i // 20, x[i].tolist(), y[i].tolist()) for i in range(160)], "participant long, time int, trial int, block int, x array<double>, y array<double>")
     observed = dense.b2b_scores(frame, {"all": 2}, sc.log_grid(-2, 2, 1), splits=2)
-    got = dense.b2b_nulls(frame, observed, {"all": 2}, 5, 20).collect()
+    got = nulls.b2b_nulls(frame, observed, {"all": 2}, 5, 20).collect()
     assert len(got) == 2 * 2 * 5
     alpha = {(r.split, r.direction): r.alpha for r in observed.collect()}
     for r in got:
-        shift = dense.null_shift(1, r.rep, 160, 20)
+        shift = nulls.null_shift(1, r.rep, 160, 20)
         assert 20 <= shift <= 140
         moved, half = np.roll(x, shift, axis=0), dense.first_half(np.arange(160) // 20, r.split)
         first = half if r.direction == 1 else ~half
-        diagonal, valid = dense.back_to_back(y[first], moved[first], y[~first], moved[~first], alpha[r.split, r.direction])
+        diagonal, valid = plain.back_to_back(y[first], moved[first], y[~first], moved[~first], alpha[r.split, r.direction])
         assert valid and r.score == pytest.approx(diagonal.mean())
     assert np.mean([r.score for r in got]) < 0.3 * observed.agg(F.avg("score")).first()[0]
-    assert dense.b2b_nulls(frame.limit(30), observed, {"all": 2}, 5, 20).count() == 0
+    assert nulls.b2b_nulls(frame.limit(30), observed, {"all": 2}, 5, 20).count() == 0
 
 
 @pytest.mark.parametrize("name", ["back_to_back_nulls", "back_to_back_scores", "lagged_residual"])
@@ -140,10 +140,10 @@ def test_back_to_back_against_a_loop(spark):
         assert half.sum() == 48
         for direction, first in ((1, half), (2, ~half)):
             fold = np.searchsorted(np.unique(blocks[first]), blocks[first]) % 4
-            errors = np.mean([dense.alpha_errors(y[t][first], x[first], fold, alphas) for t in range(3)], axis=0)
+            errors = np.mean([plain.alpha_errors(y[t][first], x[first], fold, alphas) for t in range(3)], axis=0)
             alpha = alphas[dense.least_on_plateau(errors)]
             for t in range(3):
-                diagonal, _ = dense.back_to_back(y[t][first], x[first], y[t][~first], x[~first], alpha)
+                diagonal, _ = plain.back_to_back(y[t][first], x[first], y[t][~first], x[~first], alpha)
                 a, b = got[split, direction, t, "a"], got[split, direction, t, "b"]
                 assert a.alpha == alpha and a.valid and a.trace == pytest.approx(diagonal[:2].sum()) and b.score == pytest.approx(diagonal[2])
     strict = dense.b2b_scores(frame, {"a": 3}, alphas, splits=2, most_condition=1.0)
@@ -156,8 +156,8 @@ def test_nulls_shift_within_sections(spark):
     rows = [(1, 0, i, i // 12, i // 48, x[i].tolist(), y[i].tolist()) for i in range(96)]
     frame = spark.createDataFrame(rows, "participant long, time int, trial int, block int, section int, x array<double>, y array<double>")
     observed = dense.b2b_alphas(frame, [1.0], splits=1)
-    for r in dense.b2b_nulls(frame, observed, {"a": 2}, 3, 10).collect():
-        shift, half = dense.null_shift(1, r.rep, 48, 10), dense.first_half(np.arange(96) // 12, 0)
+    for r in nulls.b2b_nulls(frame, observed, {"a": 2}, 3, 10).collect():
+        shift, half = nulls.null_shift(1, r.rep, 48, 10), dense.first_half(np.arange(96) // 12, 0)
         moved = np.concatenate([np.roll(x[:48], shift, axis=0), np.roll(x[48:], shift, axis=0)])
         first = half if r.direction == 1 else ~half
-        assert r.score == pytest.approx(dense.back_to_back(y[first], moved[first], y[~first], moved[~first], 1.0)[0].mean())
+        assert r.score == pytest.approx(plain.back_to_back(y[first], moved[first], y[~first], moved[~first], 1.0)[0].mean())

