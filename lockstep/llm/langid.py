@@ -83,27 +83,33 @@ def fit_centroids(counts: np.ndarray, langs: list[str], per_lang: int = 4, quant
     return CentroidModel(idf, np.concatenate(centers).astype(np.float32), tuple(owners), np.array(least))
 
 
-def fit_languages(docs: DataFrame, rows_per_lang: int = 256, folds: int = 4, held_out: int = 2, per_lang: int = 4) -> CentroidModel:
-    """Fit on at most ``rows_per_lang`` rows of each language outside the held-out fold, those with the smallest hash of doc_id.
+def fit_languages(docs: DataFrame, rows_per_lang: int = 256, folds: int = 4, held_out: int = 2, per_lang: int = 4, most_langs: int = 512) -> CentroidModel:
+    """Fit on at most ``rows_per_lang`` documents of each language outside the held-out fold, those with the smallest hash of doc_id.
 
-    The ids are chosen first, without their texts: counts per language give a level of the hash that about four times as many
-    pass, so that only those are ranked, however large a language is. The bound makes them safe to broadcast and their vectors
-    (8 KB each) safe to gather. Rows with a null doc_id, text or lang are left out.
+    The ids are chosen first, without their texts, and each counts once, however often it is repeated: counts per language give a level of the hash
+    that about four times as many pass, so that only those are ranked, however large a language is. Of the rows of an id in a language the text with
+    the smallest hash is taken. The bounds make the ids safe to broadcast and their vectors (16 KB each) safe to gather; more than
+    ``most_langs`` languages are an error. Rows with a null doc_id, text or lang are left out.
     """
-    usable = docs.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id", "lang")
-    counts = stored(usable.groupBy("lang").agg(F.count("*").alias("_of")))
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").where(fold(F.col("doc_id"), folds) != held_out)
+    ids = usable.select("doc_id", "lang").distinct()
+    counts = stored(ids.groupBy("lang").agg(F.count("*").alias("_of")))
+    if counts.count() > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    few = usable.join(counts, "lang").where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("_of") <= 4 * rows_per_lang)
+    few = ids.join(counts, "lang").where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("_of") <= 4 * rows_per_lang)
     order = Window.partitionBy("lang").orderBy(digest, "doc_id")
     some = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_lang).drop("_n", "_of")
-    joined = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(some.distinct()), ["doc_id", "lang"])
+    joined = usable.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"])
+    one = joined.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_t")).select("doc_id", "lang", "_t.text")
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        packed = [np.minimum(gram_counts(t), 65535).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
-        yield [batch.column("doc_id").cast(pa.int64()), batch.column("lang"), pa.array(packed, pa.binary())]
+        for part in text_slices(batch, "text", 4 << 20):
+            packed = [gram_counts(t).astype("<u4").tobytes() for t in part.column("text").to_pylist()]
+            yield [part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array(packed, pa.binary())]
 
-    rows = sorted((r.lang, r.doc_id, bytes(r.counts)) for r in map_batches(joined, "doc_id long, lang string, counts binary", run).collect())
-    counts = np.array([np.frombuffer(c, "<u2") for *_, c in rows]).reshape(-1, DIMS)
+    rows = sorted((r.lang, r.doc_id, bytes(r.counts)) for r in map_batches(one, "doc_id long, lang string, counts binary", run).collect())
+    counts = np.array([np.frombuffer(c, "<u4") for *_, c in rows]).reshape(-1, DIMS)
     return fit_centroids(counts, [lang for lang, *_ in rows], per_lang)
 
 

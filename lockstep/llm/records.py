@@ -18,17 +18,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_slices, utf8
 from .tokens import tokenizer
 
-INDEX_SCHEMA = "shard int, record long, doc_id long, at long, n_bytes long, n_tokens long, tokens_before long, ids_crc32 long"
+INDEX_SCHEMA = "shard long, record long, doc_id long, at long, n_bytes long, n_tokens long, tokens_before long, ids_crc32 long"
 HEAD, ID_NULL = struct.Struct("<QI"), 128
 
 
@@ -42,7 +43,7 @@ def frame(payload: bytes) -> bytes:
     return b"%b%b%b%b\n" % (length, struct.pack("<I", masked(zlib.crc32(length))), payload, struct.pack("<I", masked(zlib.crc32(payload))))
 
 
-def payload_at(content: bytes, at: int) -> bytes:
+def payload_at(content: bytes | memoryview, at: int) -> bytes | memoryview:
     """The payload of the record at byte ``at``, its checksums verified."""
     length, check = HEAD.unpack_from(content, at)
     if masked(zlib.crc32(content[at : at + 8])) != check:
@@ -59,28 +60,61 @@ def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if width & ID_NULL else doc_id, np.frombuffer(payload, f"<u{width & 7}", offset=9).astype("<u4")
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
+def _tie() -> Column:
+    """Orders the rows of one doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def shard_starts(docs: DataFrame, shard_bytes: int) -> list[tuple]:
+    """(has id, doc_id, tie) of the first row of each shard, in order: a new one once ``shard_bytes`` bytes of text are passed.
+
+    Ids, hashes and sizes alone are put in order; a shard starts anew with each task that orders them. What the
+    driver gets is one row for each shard.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shard_bytes
+        for batch in batches:
+            starts = []
+            for i, size in enumerate(batch.column("size").to_pylist()):
+                if held + size > shard_bytes and held:
+                    starts.append(i)
+                    held = 0
+                held += size
+            yield batch.take(pa.array(starts, pa.int64()))
+
+    sizes = docs.select("doc_id", _tie().alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 32).cast("long").alias("size"))
+    order = ("doc_id", "tie")
+    starts = sizes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, size long").collect()
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.tie) for r in starts)
+
+
+def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 128 << 20) -> None:
     """Tokenise ``docs``, append ``end_id`` to each and write the shards below ``path``.
 
-    One shuffle ranges the texts by doc_id and, within one doc_id, by a hash of the text, so that a doc_id of many rows is
-    split too and any run gives the same order. A null text is empty, a null doc_id comes first, repeated rows are repeated
+    Shards are cut by running bytes of text, ``shard_bytes`` at most (or one longer text), in the order of doc_id and, within one doc_id, of a
+    hash of the text, so that a doc_id of many rows is split too and any run gives the same order. Texts are tokenised where they
+    are read; one shuffle brings each record to its shard. A null text is empty, a null doc_id comes first, repeated rows are repeated
     records, other columns are ignored, an empty table gives no record.
     """
+    docs = docs.select("doc_id", "text")
+    starts = shard_starts(docs, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         end = np.asarray([end_id], tok.dtype).tobytes()
         for batch in batches:
             for part in text_slices(batch, "text", 4 << 20):
-                out = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.encode(utf8(part.column("text"))), strict=True):
+                out, to = [], []
+                for doc_id, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.encode(utf8(part.column("text"))), strict=True):
                     head = struct.pack("<Bq", tok.dtype.itemsize | ID_NULL * (doc_id is None), doc_id or 0)
                     out.append(unframed(frame(head + ids + end)))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+                    to.append(bisect_right(starts, (doc_id is not None, doc_id or 0, tie)) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column("doc_id"), part.column("tie"), pa.array(out, pa.binary())], names=["shard", "doc_id", "tie", "frame"])
 
-    order = ("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    schema = f"shard int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, frame binary"
+    dealt = docs.withColumn("tie", _tie()).mapInArrow(run, schema).repartitionById(max(1, len(starts)), F.col("shard"))
+    dealt.sortWithinPartitions("doc_id", "tie").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def unframed(record: bytes) -> bytes:
@@ -106,7 +140,7 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((shard, len(rows), doc_id, at, len(payload) + 17, len(ids), before, zlib.crc32(ids.tobytes())))
                     at += len(payload) + 17
                     before += len(ids)
-                kinds = (pa.int32(), *[pa.int64()] * 7)
+                kinds = [pa.int64()] * 8
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
 
@@ -123,11 +157,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{path}.index")
 
 
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths))
+
+
+def _number() -> Column:
+    """The number of a shard from its file's name: the task's, and the file's where a task has written several."""
+    number = lambda pattern: F.coalesce(F.regexp_extract("path", pattern, 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(number(r"part-(\d+)[^/]*$"), 31) + number(r"-c(\d+)[^/]*$")
+
+
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard files: shard (from the numbers of the task and of its file, of which a task may write several), content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    number = lambda pattern: F.coalesce(F.regexp_extract("path", pattern, 1).try_cast("int"), F.lit(0))
-    return files.select((number(r"part-(\d+)[^/]*$") * 1000 + number(r"-c(\d+)[^/]*$")).alias("shard"), "content")
+    """The shard files: shard (its number; shards ascend by it), content."""
+    return _files(spark, path).select(_number().alias("shard"), "content")
 
 
 def global_starts(index: DataFrame) -> DataFrame:
@@ -144,15 +186,20 @@ def global_starts(index: DataFrame) -> DataFrame:
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Records that rows of the index name (shard, at), in any order: doc_id, ids.
 
-    The wanted offsets of a shard meet its file once. A record asked for twice comes twice, a null doc_id stays null; nothing
-    wanted gives no rows.
+    Only the shards that hold a wanted record are read (their names, one for each shard, come from the driver), and the wanted offsets of
+    one meet its file once. A record asked for twice comes twice, a null doc_id stays null; nothing wanted gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                found = [parsed(payload_at(row["content"], at)) for at in row["places"]]
+            for row in range(batch.num_rows):
+                content = memoryview(batch.column("content")[row].as_buffer())
+                found = [parsed(bytes(payload_at(content, at))) for at in batch.column("places")[row].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i.tolist() for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     places = wanted.groupBy("shard").agg(F.collect_list("at").alias("places"))
-    return shards(spark, path).join(places, "shard").select("content", "places").mapInArrow(run, "doc_id long, ids array<long>")
+    names = _files(spark, path).select("path", _number().alias("shard")).join(places.select("shard"), "shard", "left_semi").select("path").collect()
+    if not names:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    held = _files(spark, *(r.path for r in names)).select(_number().alias("shard"), "content")
+    return held.join(places, "shard").select("content", "places").mapInArrow(run, "doc_id long, ids array<long>")

@@ -130,3 +130,26 @@ def test_records_odd_rows_fetch_and_damage(spark, odd_docs, no_docs):
         bad[at] ^= 1
         with pytest.raises(ValueError):
             records.payload_at(bytes(bad), 0)
+
+
+def test_shards_are_bounded_and_fetch_reads_few(spark):
+    rows = [(i, f"text number {i} " * (400 if i % 7 == 0 else 20)) for i in range(1500)] + [(3, "again")] * 300 + [(None, "no id")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path, bound = work_dir(spark), 1 << 17
+    records.write_records(docs, path, tokenizer_path(), shard_bytes=bound)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").collect()
+    assert len(files) > 8 and max(f.length for f in files) <= 2 * bound
+    index = records.write_index(spark, path)
+    check_records(records.global_starts(index).collect(), rows)
+    wanted = index.where("doc_id = 700")
+    for f in files:  # a shard that holds no wanted record isn't read: damage there goes unseen
+        number = records._files(spark, f.path).select(records._number().alias("n")).first().n
+        if number != wanted.first().shard:
+            name = f.path.removeprefix("file:")
+            with open(name, "r+b") as file:
+                file.write(b"damaged")
+            import os
+
+            os.path.exists(crc := os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc")) and os.remove(crc)
+    assert dict(records.fetch(spark, path, wanted).collect()) == {700: [*whole_ids(rows[700][1]), 2]}
+    assert records.fetch(spark, path, wanted.limit(0)).count() == 0
