@@ -93,28 +93,33 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Tokenise ``docs``, append ``end_id`` to each and write the shards below ``path``.
 
     Shards are cut by running bytes of text, ``shard_bytes`` at most (or one longer text), in the order of doc_id and, within one doc_id, of a
-    hash of the text, so that a doc_id of many rows is split too and any run gives the same order. Texts are tokenised where they
-    are read; one shuffle brings each record to its shard. A null text is empty, a null doc_id comes first, repeated rows are repeated
+    hash of the text, so that a doc_id of many rows is split too and any run gives the same order. One shuffle brings each text to
+    its shard. A null text is empty, a null doc_id comes first, repeated rows are repeated
     records, other columns are ignored, an empty table gives no record.
     """
     docs = docs.select("doc_id", "text")
     starts = shard_starts(docs, shard_bytes)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = [bisect_right(starts, (d is not None, d or 0, t)) - 1 for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.int32())], names=[*batch.schema.names, "shard"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         end = np.asarray([end_id], tok.dtype).tobytes()
         for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                out, to = [], []
-                for doc_id, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.encode(utf8(part.column("text"))), strict=True):
+            for part in text_slices(batch, "text", 2 << 20):
+                out = []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.encode(utf8(part.column("text"))), strict=True):
                     head = struct.pack("<Bq", tok.dtype.itemsize | ID_NULL * (doc_id is None), doc_id or 0)
                     out.append(unframed(frame(head + ids + end)))
-                    to.append(bisect_right(starts, (doc_id is not None, doc_id or 0, tie)) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column("doc_id"), part.column("tie"), pa.array(out, pa.binary())], names=["shard", "doc_id", "tie", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    schema = f"shard int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, frame binary"
-    dealt = docs.withColumn("tie", _tie()).mapInArrow(run, schema).repartitionById(max(1, len(starts)), F.col("shard"))
-    dealt.sortWithinPartitions("doc_id", "tie").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, tie long, shard int"
+    dealt = docs.withColumn("tie", _tie()).mapInArrow(deal, schema).repartitionById(max(1, len(starts)), F.col("shard"))
+    ordered = dealt.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def unframed(record: bytes) -> bytes:
