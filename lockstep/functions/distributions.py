@@ -43,6 +43,22 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.astype(object).where(ok, None)
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The value that t stays below with probability ``p``: by halving an interval."""
+    if not 0 < p < 1 or df <= 0:
+        raise ValueError("a probability between 0 and 1 and degrees of freedom are wanted")
+    if p == 0.5:
+        return 0.0
+    tail, low, high = min(p, 1 - p), 0.0, 1.0
+    upper = lambda t: float(incomplete_beta(np.array(df / 2), np.array(0.5), np.array(df / (df + t * t)))) / 2
+    while upper(high) > tail:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if upper(mid) > tail else (low, mid)
+    return mid if p > 0.5 else -mid
+
+
 @F.pandas_udf(DoubleType())
 def f_p(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
     """Upper p of F."""

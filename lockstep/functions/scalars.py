@@ -45,6 +45,31 @@ def trailing_tone(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, "[1-5]$", ""), F.when(digit != "", digit.cast("int"))
 
 
+#: Contours at the end of a phone, and the tones they stand for.
+CONTOURS = {"˨˩˦": 3, "˧˥": 2, "˥˩": 4, "˥": 1, "˧": 5, "˩": 3}
+#: Labels of silence, in lower case.
+SILENCE = ["", "sil", "sp", "spn", "pau", "<unk>", "unk"]
+
+
+def longest_suffix(text: Column, suffixes: dict[str, int]) -> tuple[Column, Column]:
+    """``text`` without the longest of ``suffixes`` that ends it, and what that stands for (null if none does)."""
+    length, value = F.lit(0), F.lit(None).cast("int")
+    for suffix, means in sorted(suffixes.items(), key=lambda x: len(x[0])):
+        ends = F.endswith(text, F.lit(suffix))
+        length, value = F.when(ends, len(suffix)).otherwise(length), F.when(ends, means).otherwise(value)
+    return F.substring(text, F.lit(1), F.length(text) - length), value
+
+
+def phone_and_tone(label: Column) -> tuple[Column, Column]:
+    """A phone without its tone, and the tone: a digit from 1 to 5, else the longest contour at its end. Silence, null too, is ``sil`` without a tone."""
+    text = F.trim(F.coalesce(label, F.lit("")))
+    quiet = F.lower(text).isin(SILENCE)
+    by_digit, digit = trailing_tone(text)
+    by_contour, contour = longest_suffix(text, CONTOURS)
+    phone = F.when(quiet, "sil").when(digit.isNotNull(), by_digit).otherwise(by_contour)
+    return phone, F.when(~quiet, F.coalesce(digit, contour))
+
+
 def list_items(text: Column) -> Column:
     """Items between commas, semicolons, colons or spaces, trimmed, none empty, repeats out, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(text, r"[,;:\s]+"), F.trim), lambda x: x != ""))

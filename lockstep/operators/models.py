@@ -68,6 +68,16 @@ def grouped_ridge(frame: DataFrame, group: str, features: list[str], target: str
     return dealt.join(F.broadcast(found), "fold", "left").withColumn("predicted", guess).drop("_w", "_b")
 
 
+def compared_ridges(frame: DataFrame, group: str, features: list[str], part: list[str], target: str, penalty: float = 1.0, folds: int = 5) -> DataFrame:
+    """``frame`` with ``fold``, ``predicted`` and ``predicted_part``: ``grouped_ridge`` on all features and on a part of them, over the same folds.
+
+    Only rows with all features and the target are fit and compared.
+    """
+    whole = frame.dropna(subset=[group, target, *features])
+    both = grouped_ridge(whole, group, features, target, penalty, folds).withColumnsRenamed({"predicted": "_whole", "fold": "_fold"})
+    return grouped_ridge(both, group, part, target, penalty, folds).withColumnRenamed("predicted", "predicted_part").withColumnRenamed("_whole", "predicted").drop("_fold")
+
+
 def smoothness(features: int, lags: int) -> np.ndarray:
     """Penalty on the differences of each feature's neighbouring lags."""
     d = np.diff(np.eye(lags), axis=0)

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
 from .resampling import empirical_p, shuffled_labels
 from .sequences import clusters
-
-
-def welch_by(frame: DataFrame, key: list[str], label: Column, value: str) -> DataFrame:
-    """Welch's t of true against false labels by key, null without spread."""
-    a, b = F.when(label, F.col(value)), F.when(~label, F.col(value))
-    s = frame.groupBy(*key).agg(*[f(x).alias(f"_{n}{k}") for k, x in (("a", a), ("b", b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    error = F.col("_va") / F.col("_na") + F.col("_vb") / F.col("_nb")
-    return s.select(*key, F.when(error > 0, (F.col("_ma") - F.col("_mb")) / F.sqrt(error)).alias("t"))
-
-
-def one_sample_by(frame: DataFrame, key: list[str], value: str) -> DataFrame:
-    """t of the mean against 0 by key, null without spread."""
-    s = frame.groupBy(*key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("_n"))
-    return s.select(*key, F.when(F.col("_s") > 0, F.col("_m") / (F.col("_s") / F.sqrt("_n"))).alias("t"))
+from .weights import by_label, labels_of, resampled, welch
 
 
 def cluster_p(stats: DataFrame, key: list[str], by: str, stat: str, threshold: float, reps: int) -> DataFrame:
@@ -43,8 +33,8 @@ def cluster_p(stats: DataFrame, key: list[str], by: str, stat: str, threshold: f
 
 def label_clusters(frame: DataFrame, units: DataFrame, unit: str, label: str, key: list[str], by: str, value: str, threshold: float, reps: int) -> DataFrame:
     """Two groups of units compared at every time of every key; the labels of units are dealt anew, the same for all keys."""
-    dealt = shuffled_labels(units, unit, label, reps)
-    stats = welch_by(frame.join(dealt, unit), ["rep", *key, by], F.col(label), value)
+    dealt = labels_of(shuffled_labels(units, unit, label, reps), unit, label)
+    stats = welch(resampled(frame, unit, [*key, by], value, dealt, by_label, reps + 1), ["rep", *key, by])
     return cluster_p(stats, key, by, "t", threshold, reps)
 
 
@@ -55,9 +45,50 @@ def shifted_places(frame: DataFrame, unit: str, by: str, places: int, reps: int)
     return every.withColumn(by, (F.pmod(F.col(by) - 1 + shift, F.lit(places)) + 1).cast("int"))
 
 
+def place_shifts(units: DataFrame, unit: str, places: int, reps: int) -> DataFrame:
+    """unit, _w: how far each repetition moves the unit's places around: 0 in repetition 0, then a hashed number from 1 on."""
+    drawn = lambda rep: 1 + F.floor(hash_unit(F.lit("shift"), rep, F.col(unit)) * (places - 1))
+    return units.select(unit).distinct().withColumn("_w", F.transform(F.sequence(F.lit(0), F.lit(reps)), lambda r: F.when(r > 0, drawn(r)).otherwise(0).cast("int")))
+
+
 def existence_clusters(frame: DataFrame, unit: str, key: list[str], by: str, value: str, places: int, threshold: float, reps: int) -> DataFrame:
-    """Clusters in time where the units' ``value`` differs from 0, against repetitions in which each unit's times are shifted by themselves."""
-    stats = one_sample_by(shifted_places(frame, unit, by, places, reps), ["rep", *key, by], value)
+    """Clusters in time where the units' ``value`` differs from 0, against repetitions in which each unit's times (1 to ``places``) are moved around by themselves.
+
+    A unit's sums for all places of a key are one row, rolled for each repetition where it is added up.
+    """
+    at = (F.col(by) - 1).cast("int")
+    x = F.col(value).cast("double")
+    sums = frame.groupBy(unit, *key, at.alias("_at")).agg(F.count(x).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    packed = sums.groupBy(unit, *key).agg(F.collect_list(F.struct("_at", "n", "s", "q")).alias("_v")).join(place_shifts(frame, unit, places, reps), unit).drop(unit)
+    fields = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def flushed() -> pa.RecordBatch:
+            lists = [pa.array([k[i] for k in held for _ in range((reps + 1) * places)], t) for i, t in enumerate(types)]
+            rep, place = np.tile(np.repeat(np.arange(reps + 1, dtype=np.int32), places), len(held)), np.tile(np.arange(1, places + 1, dtype=np.int32), len(held) * (reps + 1))
+            sums = np.concatenate([v.reshape(-1, 3) for v in held.values()])
+            return pa.RecordBatch.from_arrays([*lists, pa.array(rep), pa.array(place), *(pa.array(sums[:, k]) for k in range(3))], names=[*key, "rep", by, "n", "s", "q"])
+
+        for batch in batches:
+            types[:] = [batch.schema.field(k).type for k in key]
+            for i, name in enumerate(zip(*(batch.column(k).to_pylist() for k in key), strict=True) if key else [()] * batch.num_rows):
+                inner = batch.column("_v").slice(i, 1).flatten()
+                table = np.zeros((places, 3))
+                table[inner.field("_at").to_numpy()] = np.column_stack([inner.field(c).to_numpy(zero_copy_only=False) for c in "nsq"])
+                rolled = table[(np.arange(places) - batch.column("_w")[i].values.to_numpy()[:, None]) % places]
+                held[name] = held[name] + rolled if name in held else rolled
+                if sum(v.size for v in held.values()) > 6 << 20:
+                    yield flushed()
+                    held.clear()
+        if held:
+            yield flushed()
+
+    added = packed.mapInArrow(run, f"{fields}{', ' * bool(key)}rep int, `{by}` int, n double, s double, q double").groupBy(*key, "rep", by).agg(*[F.sum(c).alias(c) for c in "nsq"])
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))
+    stats = added.where("n > 0").select(*key, "rep", by, F.when(F.col("n") > 1, F.when(spread > 1e-9, (F.col("s") / F.col("n")) / (spread / F.sqrt("n")))).alias("t"))
     return cluster_p(stats, key, by, "t", threshold, reps)
 
 

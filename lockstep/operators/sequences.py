@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cosine
+
 
 def ordered(key: list[str], by: list[str]):
     return Window.partitionBy(*key).orderBy(*by)
@@ -123,3 +125,21 @@ def pause_bounds(frame: DataFrame, key: list[str], by: list[str], at: str, least
 def odd_even(at: Column, start: Column, width: float) -> Column:
     """odd or even: parity of the number of the window of ``width`` since ``start``, counted from 1."""
     return F.when(F.pmod(F.floor((at - start) / width), F.lit(2)) == 0, "odd").otherwise("even")
+
+
+def earlier_cosine(frame: DataFrame, key: list[str], by: list[str], vector: str, counts: Column, n: int = 3, out: str = "cosine") -> DataFrame:
+    """``frame`` with ``out``: the mean cosine of a row's vector to those of the up to ``n`` rows before it in the key for which ``counts`` holds and that have a vector.
+
+    Null without a vector or without such a row; rows that don't count are passed over, and have a value of their own.
+    """
+    useful = F.coalesce(counts, F.lit(False)) & F.col(vector).isNotNull()
+    before = Window.partitionBy(*key).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    # the number of useful rows before a row tells which ones it looks at: an equi-join on these numbers, so that no window gathers vectors
+    marked = frame.withColumn("_useful", useful).withColumn("_k", F.coalesce(F.sum(F.col("_useful").cast("long")).over(before), F.lit(0)))
+    marked = marked.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+    held = marked.where("_useful").select(*[F.col(k).alias(f"_{k}") for k in key], (F.col("_k") + 1).alias("_j"), F.col(vector).alias("_other"))
+    asked = marked.where(F.col(vector).isNotNull() & (F.col("_k") > 0)).select(*key, "_row", F.col(vector).alias("_own"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("_k") - n + 1), F.col("_k"))).alias("_j"))
+    on = [F.col(k) == F.col(f"_{k}") for k in key]
+    met = asked.join(held.withColumnRenamed("_j", "_i"), [*on, F.col("_j") == F.col("_i")])
+    mean = met.groupBy(*key, "_row").agg(F.avg(cosine(F.col("_own"), F.col("_other"))).alias(out))
+    return marked.join(mean, [*key, "_row"], "left").drop("_useful", "_k", "_row")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rmse
 from ..sources.tables import finite
 from .sequences import circular_shift, ordered, placed
 
@@ -98,6 +99,32 @@ def rectified_steps(frame: DataFrame, key: list[str], by: list[str], value: str,
     return frame.withColumns({"onset": F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0)), "offset": F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0))})
 
 
+def nearest_template(rows: DataFrame, values: str, templates: DataFrame, name: str, template: str, least: int = 4, most: int = 256) -> DataFrame:
+    """``rows`` with nearest and distance: the template with the smallest root mean square difference over places that both have, ties by name.
+
+    Null where no template has ``least`` such places in common. ``templates`` has ``most`` rows at most, else it is an error; they travel with the rows.
+    """
+    held = templates.select(F.col(name).alias("n"), F.col(template).cast("array<double>").alias("t")).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} templates")
+    kind = templates.schema[name].dataType.simpleString()
+    every = F.array(*[F.struct(rmse(F.col(values).cast("array<double>"), F.array(*[F.lit(v) for v in r.t]), least).alias("d"), F.lit(r.n).cast(kind).alias("n")) for r in held]) if held else F.array().cast(f"array<struct<d:double,n:{kind}>>")
+    best = F.array_min(F.filter(every, lambda e: e["d"].isNotNull()))
+    return rows.withColumn("_best", best).withColumns({"nearest": F.col("_best.n"), "distance": F.col("_best.d")}).drop("_best")
+
+
+def rime_window(phones: Column, onset: Column, offset: Column, nuclei: list[str], slack: float = 1e-6) -> Column:
+    """A struct of start, end and nucleus: from the first phone that may be one to the syllable's end. ``phones`` are structs of on, off, phone in order.
+
+    Null without a nucleus, or if nothing of the syllable is left after it. A nucleus that starts before the syllable is an error.
+    """
+    first = F.get(F.filter(phones, lambda p: p["phone"].isin(nuclei)), F.lit(0))
+    start = F.greatest(first["on"], onset)
+    early = F.raise_error(F.concat(F.lit("a nucleus starts before its syllable: "), first["on"].cast("string")))
+    window = F.struct(start.alias("start"), offset.cast("double").alias("end"), first["phone"].alias("nucleus"))
+    return F.when(first.isNull(), None).when(first["on"] < onset - slack, early.cast("struct<start:double,end:double,nucleus:string>")).when(offset > start + slack, window)
+
+
 def sampled(events: DataFrame, signal: DataFrame, key: list[str], at: str, sample: str, n: int, last: str) -> DataFrame:
     """``n`` samples from the event on, the place held at the last one there is (``last``): an equi-join on the number of the sample."""
     wanted = events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(sample, F.greatest(F.lit(1), F.least(F.col(at) + F.col("k"), F.col(last))))
@@ -240,15 +267,20 @@ def bandpass_taps(rate: float, low: float, high: float, half: int, order: int =
     return np.roll(np.fft.irfft(gain, n), half)[: 2 * half + 1]
 
 
-def bandpass(frame: DataFrame, key: list[str], by: str, value: str, taps: np.ndarray, slice_rows: int = 4096, out: str = "filtered") -> DataFrame:
-    """``key``, ``by`` and ``out``: each key's values in order of ``by``, an even raster, under a symmetric filter of an odd number of taps.
+def quadrature_taps(rate: float, low: float, high: float, half: int, order: int = 4) -> np.ndarray:
+    """``bandpass_taps`` with every frequency a quarter turn later."""
+    n = 64 * (half + 1)
+    f = np.fft.rfftfreq(n, 1 / rate)[1:]
+    gain = np.concatenate([[0.0], 1 / (1 + ((f**2 - low * high) / (f * (high - low))) ** (2 * order))])
+    return np.roll(np.fft.irfft(-1j * gain, n), half)[: 2 * half + 1]
+
+
+def _overlapping(frame: DataFrame, key: list[str], by: str, value: str, half: int, slice_rows: int) -> DataFrame:
+    """``key``, ``by``, _v, _n, _at, _to, _slice: each key's values in order, dealt to slices of ``slice_rows`` places and the ``half`` places at their edges.
 
     A key is mirrored at both ends, its first and last value repeated; beyond the mirror image, which is as long as the key, there
-    is 0. Values that are null or not finite count as 0; rows with a null in key or ``by`` take no part. Rows are dealt to slices
-    of ``slice_rows`` places with the ``half`` places at their edges, so that a task never holds a whole key.
+    is 0. Values that are null or not finite count as 0; rows with a null in key or ``by`` take no part.
     """
-    half = len(taps) // 2
-    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
     whole = frame.where(" and ".join(f"`{k}` is not null" for k in [*key, by])).select(*key, by, F.when(finite(F.col(value)), F.col(value)).otherwise(0.0).cast("double").alias("_v"))
     at = placed(whole, key, by, F.col("_v"))
     places = F.array(F.col("_at"), -1 - F.col("_at"), 2 * F.col("_n") - 1 - F.col("_at"))
@@ -256,6 +288,16 @@ def bandpass(frame: DataFrame, key: list[str], by: str, value: str, taps: np.nda
     first = F.greatest(F.lit(0), F.floor((F.col("_to") - half) / slice_rows)).cast("long")
     last = F.least(F.floor((F.col("_n") - 1) / slice_rows), F.floor((F.col("_to") + half) / slice_rows)).cast("long")
     sliced = copies.withColumn("_slice", F.explode(F.sequence(first, last)))
+    return sliced.where((F.col("_to") >= F.col("_slice") * slice_rows - half) & (F.col("_to") < (F.col("_slice") + 1) * slice_rows + half))
+
+
+def convolved(frame: DataFrame, key: list[str], by: str, value: str, taps: dict[str, np.ndarray], slice_rows: int = 4096) -> DataFrame:
+    """``key``, ``by`` and a column for each of ``taps``, odd numbers of which all have as many: each key's values in order of ``by``, an even raster, under each filter.
+
+    Ends and odd values are those of ``_overlapping``; a task never holds a whole key.
+    """
+    half = len(next(iter(taps.values()))) // 2
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         start = int(rows["_slice"].iloc[0]) * slice_rows
@@ -263,10 +305,65 @@ def bandpass(frame: DataFrame, key: list[str], by: str, value: str, taps: np.nda
         line = np.zeros(end - start + 2 * half)
         line[rows["_to"].to_numpy() - start + half] = rows["_v"]
         own = rows[(rows["_to"] == rows["_at"]) & (rows["_at"] >= start) & (rows["_at"] < end)]
-        return own[[*key, by]].assign(**{out: np.convolve(line, taps, "valid")[own["_at"].to_numpy() - start]})
+        return own[[*key, by]].assign(**{name: np.convolve(line, t, "valid")[own["_at"].to_numpy() - start] for name, t in taps.items()})
+
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in [*key, by]] + [f"`{name}` double" for name in taps])
+    return _overlapping(frame, key, by, value, half, slice_rows).groupBy(*key, "_slice").applyInPandas(run, schema)
+
+
+def bandpass(frame: DataFrame, key: list[str], by: str, value: str, taps: np.ndarray, slice_rows: int = 4096, out: str = "filtered") -> DataFrame:
+    """``key``, ``by`` and ``out``: each key's values under a symmetric filter, as ``convolved``."""
+    return convolved(frame, key, by, value, {out: taps}, slice_rows)
+
+
+def envelope(frame: DataFrame, key: list[str], by: str, value: str, taps: np.ndarray, quadrature: np.ndarray, slice_rows: int = 4096, compress: bool = False) -> DataFrame:
+    """``key``, ``by``, ``envelope``: the size of a band of each key's values, from a pair of filters a quarter turn apart, both in one pass.
+
+    ``compress`` takes log(1 + x) of it.
+    """
+    pair = convolved(frame, key, by, value, {"_a": taps, "_b": quadrature}, slice_rows)
+    size = F.sqrt(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b"))
+    return pair.select(*key, by, (F.log1p(size) if compress else size).alias("envelope"))
+
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*key, by]) + f", `{out}` double"
-    return sliced.where((F.col("_to") >= F.col("_slice") * slice_rows - half) & (F.col("_to") < (F.col("_slice") + 1) * slice_rows + half)).groupBy(*key, "_slice").applyInPandas(run, schema)
+def resample_taps(up: int, down: int, zeros: int = 10) -> np.ndarray:
+    """A low pass at the lower of both rates, on the raster of ``up`` times the first: a windowed sinc of ``zeros`` zeros a side, with sum ``up``."""
+    wide = max(up, down)
+    at = np.arange(-zeros * wide, zeros * wide + 1)
+    return up * np.sinc(at / wide) / wide * np.hamming(len(at))
+
+
+def resampled(frame: DataFrame, key: list[str], by: str, value: str, up: int, down: int, taps: np.ndarray, slice_rows: int = 4096) -> DataFrame:
+    """``key``, place (from 0), resampled: each key's values, an even raster in order of ``by``, at ``up`` / ``down`` times their rate.
+
+    Output k stands at input k down / up and is the sum of inputs j times the tap at k down - j up: the phases of one filter, without the zeros between inputs
+    or outputs that nobody asks for. Beyond the ends there is 0, and values that are null or not finite count as 0. There are ceil(n up / down) outputs. Inputs
+    are dealt to slices of outputs with what these need beside them, so that a task never holds a whole key.
+    """
+    half = len(taps) // 2
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    whole = frame.where(" and ".join(f"`{k}` is not null" for k in [*key, by])).select(*key, by, F.when(finite(F.col(value)), F.col(value)).otherwise(0.0).cast("double").alias("_v"))
+    at = placed(whole, key, by, F.col("_v")).withColumn("_m", F.ceil(F.col("_n") * up / down))
+    first = F.greatest(F.lit(0), F.floor(F.ceil((F.col("_at") * up - half) / down) / slice_rows))
+    last = F.least(F.floor((F.col("_m") - 1) / slice_rows), F.floor(F.floor((F.col("_at") * up + half) / down) / slice_rows))
+    sliced = at.withColumn("_slice", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        start = int(rows["_slice"].iloc[0]) * slice_rows
+        k = np.arange(start, min(start + slice_rows, int(rows["_m"].iloc[0])))
+        low = -((half - k * down) // up)  # the first input that a tap of k reaches
+        inputs = low[:, None] + np.arange(2 * half // up + 2)
+        tap = k[:, None] * down - inputs * up + half
+        base = int(inputs.min())
+        line = np.zeros(int(inputs.max()) - base + 1)
+        here = rows["_at"].to_numpy() - base
+        some = (here >= 0) & (here < len(line))
+        line[here[some]] = rows["_v"].to_numpy()[some]
+        values = np.where((tap >= 0) & (tap < len(taps)), line[inputs - base] * taps[np.clip(tap, 0, len(taps) - 1)], 0.0).sum(axis=1)
+        return pd.DataFrame({**{name: rows[name].iloc[0] for name in key}, "place": k, "resampled": values})
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", place long, resampled double"
+    return sliced.groupBy(*key, "_slice").applyInPandas(run, schema)
 
 
 def window_components(frame: DataFrame, values: str, windows: int, out: str = "component") -> DataFrame:

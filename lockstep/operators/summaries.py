@@ -82,7 +82,7 @@ def hedges_g(frame: DataFrame, key: list[str], group: Column, value: str) -> Dat
 
 
 def icc21(frame: DataFrame, key: list[str], one: str, two: str) -> DataFrame:
-    """Agreement of two ratings, ICC(2,1), and its Spearman-Brown value 2r/(1+r)."""
+    """Agreement of two ratings, ICC(2,1), and its Spearman-Brown value 2r/(1+r), of keys with three rows or more."""
     w = Window.partitionBy(*key)
     mean = (F.avg(one).over(w) + F.avg(two).over(w)) / 2
     rows = frame.withColumns({"_g": mean, "_r": (F.col(one) + F.col(two)) / 2})
@@ -93,7 +93,7 @@ def icc21(frame: DataFrame, key: list[str], one: str, two: str) -> DataFrame:
     )
     msr, msc, mse = F.col("ssr") / (F.col("n") - 1), F.col("ssc"), (F.col("sst") - F.col("ssr") - F.col("ssc")) / (F.col("n") - 1)
     icc = (msr - mse) / (msr + mse + 2 * (msc - mse) / F.col("n"))
-    return s.where("n > 1").select(*key, "n", icc.alias("icc")).withColumn("spearman_brown", 2 * F.col("icc") / (1 + F.col("icc")))
+    return s.where("n > 2").select(*key, "n", icc.alias("icc")).withColumn("spearman_brown", 2 * F.col("icc") / (1 + F.col("icc")))
 
 
 def holm(tests: DataFrame, p: str, order: list[str]) -> DataFrame:

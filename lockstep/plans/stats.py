@@ -155,7 +155,7 @@ def group_contrast(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {SCORES}, h AS (SELECT family, subject, avg(score) FILTER (WHERE split % 2 = 1) AS a, avg(score) FILTER (WHERE split % 2 = 0) AS b FROM scores GROUP BY ALL),
 g AS (SELECT *, (avg(a) OVER w + avg(b) OVER w) / 2 AS gm, avg(a) OVER w AS am, avg(b) OVER w AS bm FROM h WHERE a IS NOT NULL AND b IS NOT NULL WINDOW w AS (PARTITION BY family)),
 s AS (SELECT family, count(*) AS n, sum(2 * pow((a + b) / 2 - gm, 2)) AS ssr, count(*) * (pow(max(am) - max(gm), 2) + pow(max(bm) - max(gm), 2)) AS ssc, sum(pow(a - gm, 2) + pow(b - gm, 2)) AS sst FROM g GROUP BY family),
-m AS (SELECT family, n, ssr / (n - 1) AS msr, ssc AS msc, (sst - ssr - ssc) / (n - 1) AS mse FROM s WHERE n > 1),
+m AS (SELECT family, n, ssr / (n - 1) AS msr, ssc AS msc, (sst - ssr - ssc) / (n - 1) AS mse FROM s WHERE n > 2),
 i AS (SELECT family, n, (msr - mse) / (msr + mse + 2 * (msc - mse) / n) AS icc FROM m)
 SELECT family, n, round(icc, 6) AS icc, round(2 * icc / (1 + icc), 6) AS spearman_brown, CASE WHEN 2 * icc / (1 + icc) >= 0.5 THEN 'good' WHEN 2 * icc / (1 + icc) >= 0.3 THEN 'fair' ELSE 'poor' END AS gate FROM i""")
 def split_half_reliability(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,6 +53,24 @@ def check_finite(frame: DataFrame, *columns: str) -> DataFrame:
     return frame
 
 
+def width_report(frame: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """column, n, wrong_width, only_zeros, not_finite: of array columns, how many rows break the contract; one pass."""
+    per = []
+    for c, width in widths.items():
+        odd = F.exists(c, lambda v: ~finite(v))
+        zeros = F.size(c) > 0, F.forall(c, lambda v: v == 0)
+        bad = (F.col(c).isNull() | (F.size(c) != width), zeros[0] & zeros[1], odd)
+        per.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), *[F.count_if(F.coalesce(b, F.lit(False))).alias(name) for b, name in zip(bad, ("wrong_width", "only_zeros", "not_finite"), strict=True)]))
+    return frame.agg(F.array(*per).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
+
+
+def check_widths(frame: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """``frame``, if each array column has its width in every row, no row of zeros alone, and finite values."""
+    if bad := [r.asDict() for r in width_report(frame, widths).where("wrong_width + only_zeros + not_finite > 0").collect()]:
+        raise ContractError(f"arrays: {bad}")
+    return frame
+
+
 def finite(column: Column) -> Column:
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))
 
