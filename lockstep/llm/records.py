@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices, utf8
+from .common import scratch, text_slices, utf8
 from .tokens import tokenizer
 
 INDEX_SCHEMA = "shard long, record long, doc_id long, at long, n_bytes long, n_tokens long, tokens_before long, ids_crc32 long"
@@ -85,11 +85,13 @@ def shard_starts(docs: DataFrame, shard_bytes: int) -> list[tuple]:
 
     sizes = docs.select("doc_id", _tie().alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 32).cast("long").alias("size"))
     order = ("doc_id", "tie")
-    starts = sizes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, size long").collect()
+    with scratch(docs.sparkSession) as keep:  # the texts are read once for this
+        ordered = keep(sizes).repartitionByRange(*order).sortWithinPartitions(*order)
+        starts = ordered.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, size long").collect()
     return sorted((r.doc_id is not None, r.doc_id or 0, r.tie) for r in starts)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 128 << 20) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 24 << 20) -> None:
     """Tokenise ``docs``, append ``end_id`` to each and write the shards below ``path``.
 
     Shards are cut by running bytes of text, ``shard_bytes`` at most (or one longer text), in the order of doc_id and, within one doc_id, of a
