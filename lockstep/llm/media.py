@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, stored, text_slices
 
 ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 TILE = 576
@@ -19,18 +19,22 @@ ROW = 24
 
 
 class _Sequence(HTMLParser):
-    """Collects text runs and media references in reading order."""
+    """Collects text runs and media references in reading order.
 
-    BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article figure blockquote pre hr".split())
+    Open figures are a stack: each has its own media and its own caption, wherever that stands in it, and hands it on when it
+    closes. A caption outside any figure is text. Nothing is read inside hidden elements.
+    """
+
+    BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article figure figcaption blockquote pre hr".split())
     HIDDEN = frozenset("script style noscript template".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
-        self.hidden = self.figure = 0
-        self.caption: list[str] | None = None
-        self.since = 0
+        self.hidden = 0
+        self.figures: list[dict] = []
+        self.captions: list[tuple[dict, list[str]]] = []
 
     def end_run(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -38,37 +42,61 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        figure, parts = self.captions.pop()
+        figure["caption"] = figure["caption"] or " ".join("".join(parts).split())
+
+    def end_figure(self) -> None:
+        while self.captions and self.captions[-1][0] is self.figures[-1]:
+            self.end_caption()
+        figure = self.figures.pop()
+        for item in figure["media"]:
+            item["caption"] = figure["caption"] or item["caption"]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in self.HIDDEN:
             self.hidden += 1
-        elif tag == "figcaption":
+        if self.hidden:
+            return
+        if tag in self.BREAKS and not self.captions:
+            self.end_run()
+        if tag == "figure":
+            self.end_run()
+            self.figures.append({"media": [], "caption": ""})
+        elif tag == "figcaption" and self.figures:
             self.end_run()
-            self.caption = []
+            self.captions.append((self.figures[-1], []))
         elif tag in ("img", "video", "audio", "source", "embed"):
             found = dict(attrs)
             if found.get("src"):
                 self.end_run()
                 self.items.append({"position": len(self.items), "kind": "media", "text": None, "ref": found["src"], "caption": found.get("alt") or found.get("title")})
-        elif tag in self.BREAKS:
-            self.end_run()
-        if tag == "figure":
-            self.since = len(self.items)
+                if self.figures:
+                    self.figures[-1]["media"].append(self.items[-1])
+        elif tag in self.BREAKS and self.captions:
+            self.captions[-1][1].append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.since :]:
-                if item["kind"] == "media" and text:
-                    item["caption"] = text
-        elif tag in self.BREAKS:
+        elif self.hidden:
+            return
+        elif tag == "figcaption" and self.captions:
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_run()
+            self.end_figure()
+        elif tag in self.BREAKS and not self.captions:
             self.end_run()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            (self.run if self.caption is None else self.caption).append(data)
+            (self.captions[-1][1] if self.captions else self.run).append(data)
+
+    def finish(self) -> None:
+        self.end_run()
+        while self.figures:
+            self.end_figure()
 
 
 def parse_sequence(page: str | None) -> list[dict]:
@@ -76,24 +104,24 @@ def parse_sequence(page: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(page or "")
     parser.close()
-    parser.end_run()
+    parser.finish()
     return parser.items
 
 
 def interleaved(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """``pages`` without their HTML, with ``items``: ordered structs (position, kind, text, ref, caption).
 
-    A figure's caption goes to the media in it; else an alternative text or title serves. Scripts and styles
-    are left out. Null, empty or broken HTML gives what can be read of it, if only an empty array.
+    A figure's caption goes to the media that are its own; else an alternative text or title serves. Hidden elements
+    (scripts, styles, templates and what stands in for scripts) are left out, media in them too. Very long pages are read by themselves. Null, empty or broken HTML gives what can be read of it, if only an empty array.
     """
     keep = [c for c in pages.columns if c not in (html_column, "items")]
     schema = pages.select(*keep, F.lit(None).cast(f"array<{ITEM}>").alias("items")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
-        for batch in batches:
-            items = pa.array([parse_sequence(x) for x in batch.column(html_column).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), items], names=[*keep, "items"])
+        for part in (p for batch in batches for p in text_slices(batch, html_column, 4 << 20)):
+            items = pa.array([parse_sequence(x) for x in part.column(html_column).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), items], names=[*keep, "items"])
 
     return pages.select(*keep, html_column).mapInArrow(run, schema)
 
@@ -101,10 +129,15 @@ def interleaved(pages: DataFrame, html_column: str = "html") -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame, *key: str) -> DataFrame:
     """One row for each item of ``sequences``, in position, media items with the columns of ``media``.
 
-    ``media`` has a row for each ``digest``; references read ``sha256:<digest>``. The join moves the items,
+    References read ``sha256:<digest>``. Of several rows of ``media`` with one ``digest``, which should agree, one is taken, so that no item
+    is multiplied. The join moves the items,
     not the texts' sequences; a digest that many documents share is a hot key, which adaptive
     execution splits. Items whose digest is unknown keep nulls, so that positions stay whole.
     """
+    return _resolved(sequences, media.dropDuplicates(["digest"]), *key)
+
+
+def _resolved(sequences: DataFrame, media: DataFrame, *key: str) -> DataFrame:
     items = sequences.select(*key, F.explode("items").alias("item")).select(*key, "item.*")
     return items.withColumn("digest", F.regexp_extract("ref", r"^sha256:([0-9a-f]{64})$", 1)).join(media, "digest", "left")
 
@@ -179,4 +212,4 @@ def document_media(docs: DataFrame) -> DataFrame:
     sequences = interleaved(kept.select("doc_id", "n_bytes", page.alias("html")))
     features = media_features(kept)
     features = stored(features.groupBy("digest").agg(*[F.first(c).alias(c) for c in features.columns if c != "digest"]))
-    return resolve(sequences, features, "doc_id", "n_bytes").where("kind = 'media'")
+    return _resolved(sequences, features, "doc_id", "n_bytes").where("kind = 'media'")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +19,29 @@ def sign_code(embedding: Column) -> Column:
     return F.when(F.size(embedding) > 0, F.concat_ws("", F.transform(embedding, lambda x: F.when(x > 0, "1").otherwise("0"))))
 
 
+@cache
+def _flips(width: int, radius: int) -> np.ndarray:
+    """All masks of ``radius`` bits of ``width``."""
+    return np.array([sum(1 << f for f in flips) for flips in combinations(range(width), radius)], np.int64)
+
+
 class MultiIndex:
     """One hash index for each segment of a set of codes.
 
-    A query grows the search radius of all segments together. Once all are searched to radius r, every code
-    within ``segments * (r + 1) - 1`` bits has been seen, for a code farther away in each segment by r + 1
-    or more is that far in all. The search ends when the kth distance found is covered.
+    Segments are as wide as it takes to give each value about one code, so that a probe meets few. A query grows the search radius one segment at a
+    time: once m segments are searched to radius r and the other s - m to r - 1, every code within ``s * r + m - 1`` bits has been
+    seen, for a code farther away in each segment than was searched is that far in sum. The search ends when the kth distance found is covered.
     """
 
-    def __init__(self, bits: np.ndarray, segment_bits: int = 8):
+    def __init__(self, bits: np.ndarray, segment_bits: int | None = None):
         """bits: a row of 0 and 1 for each code."""
         self.bits = bits
-        self.cuts = [slice(at, min(at + segment_bits, bits.shape[1])) for at in range(0, bits.shape[1], segment_bits)]
+        width = bits.shape[1]
+        count = max(1, round(width / (segment_bits or min(16, max(4, len(bits).bit_length())))))
+        edges = [width * k // count for k in range(count + 1)]
+        self.cuts = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
         self.packed = np.packbits(bits, axis=1)
+        self.verified = 0
         self.order, self.start = [], []
         for cut in self.cuts:
             values = self._value(bits[:, cut])
@@ -46,25 +57,23 @@ class MultiIndex:
         most = query.size if most is None else most
         packed = np.packbits(query)
         seen = np.zeros(len(self.bits), bool)
-        found, distances = [], []
-        for radius in range(max(c.stop - c.start for c in self.cuts) + 1):
-            fresh = []
-            for cut, order, start in zip(self.cuts, self.order, self.start, strict=True):
-                width = cut.stop - cut.start
-                value = int(self._value(query[None, cut])[0])
-                for flips in combinations(range(width), radius):
-                    probe = value ^ sum(1 << f for f in flips)
-                    fresh.append(order[start[probe] : start[probe + 1]])
-            new = np.unique(np.concatenate(fresh)) if fresh else np.empty(0, np.int64)
-            new = new[~seen[new]]
-            seen[new] = True
-            found.append(new)
-            distances.append(np.bitwise_count(self.packed[new] ^ packed).sum(axis=1, dtype=np.int64))
-            so_far = np.concatenate(distances)
-            kth = np.partition(so_far, k - 1)[k - 1] if len(so_far) >= k else query.size
-            if min(kth, most) <= len(self.cuts) * (radius + 1) - 1:
+        at, far = np.empty(0, np.int64), np.empty(0, np.int64)
+        kth = query.size
+        for radius, (m, (cut, order, start)) in product(range(max(c.stop - c.start for c in self.cuts) + 1), enumerate(zip(self.cuts, self.order, self.start, strict=True), 1)):
+            width = cut.stop - cut.start
+            if radius <= width:
+                probe = int(self._value(query[None, cut])[0]) ^ _flips(width, radius)
+                sizes = start[probe + 1] - start[probe]
+                new = order[np.repeat(start[probe] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+                new = new[~seen[new]]  # a code is in one bucket of a segment
+                seen[new] = True
+                self.verified += len(new)
+                at = np.concatenate([at, new])
+                far = np.concatenate([far, np.bitwise_count(self.packed[new] ^ packed).sum(axis=1, dtype=np.int64)])
+                if len(new) and len(far) >= k:
+                    kth = np.partition(far, k - 1)[k - 1]
+            if min(kth, most) <= len(self.cuts) * radius + m - 1:
                 break
-        at, far = np.concatenate(found), np.concatenate(distances)
         at, far = at[far <= most], far[far <= most]
         if len(far) > k:
             keep = far <= np.partition(far, k - 1)[k - 1]

@@ -46,6 +46,45 @@ def test_interleaving(spark):
     assert rows == [(0, None), (1, "payload"), (2, None), (3, None), (4, None), (5, None)]
 
 
+def captions(page):
+    return [(i["ref"], i["caption"]) if i["kind"] == "media" else i["text"] for i in media.parse_sequence(page)]
+
+
+def test_captions_stay_with_their_figures():
+    assert captions("<figure><figcaption>first</figcaption><img src=a></figure>") == [("a", "first")]
+    assert captions("<figure><img src=a></figure><p>t</p><figcaption>stray</figcaption><img src=b alt=own>") == [("a", None), "t", "stray", ("b", "own")]
+    nested = "<figure><img src=a><figure><img src=b><figcaption>inner</figcaption></figure><img src=c><figcaption>outer</figcaption></figure><img src=d>"
+    assert captions(nested) == [("a", "outer"), ("b", "inner"), ("c", "outer"), ("d", None)]
+    assert captions("<noscript><img src=x></noscript><template><figure><img src=y><figcaption>no</figcaption></figure></template><img src=z>") == [("z", None)]
+    assert captions("<figure><img src=a><figcaption>one<br>two <b>three</b>") == [("a", "one two three")]
+    assert captions("<figure><img src=a alt=kept><figcaption> </figcaption></figure></figure></figcaption>after") == [("a", "kept"), "after"]
+    assert captions("<p>x</p>" * 3 + "y" * 200_000) == ["x"] * 3 + ["y" * 200_000]
+
+
+def test_a_digest_that_repeats_multiplies_nothing(spark):
+    frame = spark.createDataFrame([(1, f"<img src='sha256:{'1' * 64}'><img src='sha256:{'1' * 64}'>")], "page_id long, html string")
+    known = spark.createDataFrame([("1" * 64, "same")] * 3, "digest string, bytes string")
+    assert [r.bytes for r in media.resolve(media.interleaved(frame), known, "page_id").collect()] == ["same", "same"]
+
+
+def plain_feature(samples):
+    """Mean, deviation, edges and the block hash, number after number."""
+    n = len(samples)
+    mean = sum(samples) / n
+    sd = max(0.0, sum(v * v for v in samples) / n - mean * mean) ** 0.5
+    edge = sum(abs(a - b) for a, b in zip(samples, samples[1:], strict=False)) / max(1, n - 1)
+    blocks = [sum(samples[k * n // 64 : (k + 1) * n // 64]) for k in range(64)]
+    median = (sorted(blocks)[31] + sorted(blocks)[32]) / 2
+    bits = int("".join("1" if b > median else "0" for b in blocks), 2)
+    return f"mean={mean:.4f};sd={sd:.4f};edge={edge:.4f};hash={bits:016x}"
+
+
+def test_features_against_a_loop():
+    for text in ("", "a", "some words here " * 70, "é" * 500, "x" * 5000):
+        samples = padded(text)[1]
+        assert media.sample_features(samples) == plain_feature(samples)
+
+
 def test_interleaving_of_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = media.interleaved(pages).collect()

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,14 @@ def test_top_k_over_twenty_blocks(spark):
     frame = spark.createDataFrame(items, "id long, code string")
     queries = [x for x in items if x[0] % 25 == 0]
     assert sorted(map(tuple, topk.hamming_top_k(frame, frame.where("id % 25 = 0"), 5, block=40).collect())) == plain_top_k(items, queries, 5)
+
+
+def test_a_search_meets_a_small_part_of_a_block():
+    rng = np.random.default_rng(12)
+    bits = rng.integers(0, 2, (1 << 15, 64)).astype(np.uint8)
+    index = topk.MultiIndex(bits)
+    for query in rng.integers(0, 2, (20, 64)).astype(np.uint8):
+        far = (bits != query).sum(axis=1)
+        at, found = index.search(query, 11)
+        assert sorted(at.tolist()) == np.flatnonzero(far <= np.sort(far)[10]).tolist() and (far[at] == found).all()
+    assert index.verified / 20 < 0.15 * len(bits)
