@@ -129,3 +129,17 @@ def merge_rare(frame: DataFrame, level: str, least: int, other: str = "other") -
 def tertile_edges(items: DataFrame, value: str) -> DataFrame:
     """The 1/3 and 2/3 quantiles of a value: one row."""
     return quantiles(items, [], value, {"q1": 1 / 3, "q2": 2 / 3})
+
+
+def epoch_quality(long: DataFrame, epoch: list[str], channel: str, value: str) -> DataFrame:
+    """By epoch: the largest peak to peak over channels, the largest \\|z\\| (z by channel over all epochs; 0 without spread), and the channels' mean variance."""
+    stats = long.groupBy(channel).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    z = F.when(F.col("_s") > 0, F.abs(F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)
+    by = long.join(stats, channel).groupBy(*epoch, channel).agg((F.max(value) - F.min(value)).alias("_p"), F.max(z).alias("_z"), F.var_samp(value).alias("_v"))
+    return by.groupBy(*epoch).agg(F.max("_p").alias("peak_to_peak"), F.max("_z").alias("largest_z"), F.avg("_v").alias("mean_variance"))
+
+
+def subject_waves(frame: DataFrame, subject: str, key: list[str], value: str) -> DataFrame:
+    """``key``, mean, sem, n: the mean over subjects of their own means, and its standard error."""
+    own = frame.groupBy(subject, *key).agg(F.avg(value).alias("_v"))
+    return own.groupBy(*key).agg(F.avg("_v").alias("mean"), (F.stddev_samp("_v") / F.sqrt(F.count("_v"))).alias("sem"), F.count("_v").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,3 +88,25 @@ def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
 def missing_keys(work: DataFrame, done: DataFrame, *key: str) -> DataFrame:
     """Rows of a work list without a result yet."""
     return work.join(done.select(*key), list(key), "left_anti")
+
+
+def excluding(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """``frame`` without the keys that ``text`` lists (between commas, semicolons or spaces; repeats count once); a key that ``frame`` doesn't have is an error."""
+    wanted = list(dict.fromkeys(re.findall(r"[^,;:\s]+", text)))
+    if not wanted:
+        return frame
+    listed = frame.sparkSession.createDataFrame([(w,) for w in wanted], "_key string")
+    unknown = [r[0] for r in listed.join(frame.select(F.col(key).cast("string").alias("_key")), "_key", "left_anti").collect()]
+    if unknown:
+        raise ContractError(f"unknown {key}: {sorted(unknown)}")
+    return frame.where(~F.col(key).cast("string").isin(wanted) | F.col(key).isNull())
+
+
+def backfilled(entries: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """``entries`` with what ``found`` knows: keys that are missing are added, and nulls of those there are filled; other values stay as they are."""
+    rest = [c for c in entries.columns if c not in key]
+    other = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.col(c).alias(f"_f_{c}") for c in rest])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    both = entries.withColumn("_there", F.lit(True)).join(other.withColumn("_known", F.lit(True)), on, "full")
+    keys = [F.when(F.col("_there"), F.col(k)).otherwise(F.col(f"_k{i}")).alias(k) for i, k in enumerate(key)]
+    return both.select(*keys, *[F.coalesce(c, f"_f_{c}").alias(c) for c in rest]).select(*entries.columns)
