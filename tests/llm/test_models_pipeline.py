@@ -137,3 +137,122 @@ def test_lasso_meets_its_conditions():
     on = np.abs(w) > 1e-9
     assert abs(error.mean()) < 1e-6 and on[:2].all() and not on.all()
     assert np.allclose(gradient[on], -0.02 * np.sign(w[on]), atol=1e-5) and (np.abs(gradient[~on]) <= 0.02 + 1e-5).all()
+
+
+def plain_grams(text):
+    """Counts of 2- and 3-byte grams by hash, one gram after the other."""
+    raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    out = {}
+    for n in (2, 3):
+        for i in range(len(raw) - n + 1):
+            bucket = (int.from_bytes(raw[i : i + n], "big") * 2654435761 % 2**32) >> 20
+            out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def test_languages_against_a_loop(spark):
+    """Weights, cosines, the nearest centroid and the rejection, number after number."""
+    rng = np.random.default_rng(2)
+    words = {"en": ["the", "of", "and", "thing"], "fr": ["le", "été", "que", "dans"], "xx": ["zzq", "qqz", "zqz"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i, lang in enumerate(rng.choice(["en", "fr"], 300).tolist())]
+    rows += [(900 + i, t, None) for i, t in enumerate(("the été zzq", "zzq qqz zqz qzz", "of", "12 34", "", None, "the " * 3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit_languages(docs)
+    learned = [(t, lang) for d, t, lang in rows if lang and zlib.crc32(str(d).encode()) % 4 != 2]
+    counts = [plain_grams(t) for t, _ in learned]
+    df = [sum(k in c for c in counts) for k in range(langid.DIMS)]
+    idf = [np.log((1 + len(counts)) / (1 + n)) + 1 for n in df]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+
+    def vector(c):
+        v = np.zeros(langid.DIMS)
+        for k, n in c.items():
+            v[k] = n**0.5 * idf[k]
+        return v / max(1e-12, sum(x * x for x in v) ** 0.5)
+
+    for lang in ("en", "fr"):  # each centroid is the mean direction of the rows that are nearest to it
+        own = [vector(c) for c, (_, own) in zip(counts, learned, strict=True) if own == lang]
+        centers = model.centers[[i for i, x in enumerate(model.langs) if x == lang]]
+        nearest = [int(np.argmax(centers @ v)) for v in own]
+        for j, c in enumerate(centers):
+            if mine := [v for v, k in zip(own, nearest, strict=True) if k == j]:
+                mean = np.mean(mine, axis=0)
+                assert np.dot(mean / np.linalg.norm(mean), c) > 0.999
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for d, t, _ in rows:
+        letters = bool(re.search(r"[^\W\d_]", t or ""))
+        cosines = [float(np.dot(vector(plain_grams(t or "")), c)) for c in model.centers]
+        at = int(np.argmax(cosines))
+        if letters:
+            assert got[d].lang_near == model.langs[at] and abs(got[d].score - cosines[at]) < 1e-5
+            assert got[d].accepted == (cosines[at] >= model.least[at]) or abs(cosines[at] - model.least[at]) < 1e-5
+            assert got[d].lang == (got[d].lang_near if got[d].accepted else "und")
+        else:
+            assert (got[d].lang_near, got[d].score, got[d].accepted) == ("und", 0.0, False)
+    assert not got[901].accepted and got[900].lang_near in ("en", "fr")
+
+
+def test_repeated_ids_use_no_places(spark):
+    rows = [(1, f"the text of number {i}", "en") for i in range(3000)] + [(i, "the thing of", "en") for i in range(2, 40)] + [(i, "le été dans", "fr") for i in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen, fitted = [], langid.fit_centroids
+    try:
+        langid.fit_centroids = lambda counts, langs, per_lang: seen.append(list(langs)) or fitted(counts, langs, per_lang)
+        model = langid.fit_languages(docs, rows_per_lang=30)
+    finally:
+        langid.fit_centroids = fitted
+    assert len(seen[0]) <= 60 and seen[0].count("en") <= 30 and set(model.langs) == {"en", "fr"}
+    assert langid.fit_languages(docs, rows_per_lang=30).langs == model.langs
+    try:
+        langid.fit_languages(docs, most_langs=1)
+        raise AssertionError("two languages fit a bound of one")
+    except ValueError:
+        pass
+
+
+def best_split(x, y, rows, columns, least):
+    """The split of least Gini impurity over thresholds at quantiles, by trying every one."""
+    best = None
+    for k in columns:
+        for at in sorted({float(np.quantile(x[rows, k], q, method="lower")) for q in np.linspace(0.02, 0.98, 25)}):
+            sides = [[r for r in rows if (x[r, k] > at) == above] for above in (False, True)]
+            if min(map(len, sides)) >= least:
+                gini = lambda s: (p := sum(y[r] for r in s) / len(s)) * (1 - p)
+                gain = gini(rows) - sum(len(s) * gini(s) for s in sides) / len(rows)
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, k, at)
+    return best
+
+
+def test_a_tree_by_enumeration():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4))
+    y = ((x[:, 1] > 0.2) & (x[:, 3] < 0.5) | (rng.random(120) < 0.05)).astype(int)
+    want = []
+
+    def grow(rows, path):
+        if len(path) >= 2 or len(rows) < 16 or len({y[r] for r in rows}) < 2:
+            return
+        best = best_split(x, y, rows, range(4), 8)
+        if best is None or best[0] < 1e-6:
+            return
+        for above in (False, True):
+            want.append((*path, (best[1], above, best[2])))
+            grow([r for r in rows if (x[r, best[1]] > best[2]) == above], want[-1])
+
+    grow(list(range(120)), ())
+    assert quality.tree_rules(x, y, 2, np.arange(4)) == want and len(want) >= 4
+
+
+def test_pipeline_quality_keeps_what_the_rules_score(spark):
+    """The stage against the rules applied to plain statistics, one document after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()}
+    model = quality.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = set()
+    for r in docs.collect():
+        s = plain_statistics((r.text or "").encode())
+        total = model.bias + sum(w for rule, w in model.rules if all((s[k] > at) == above for k, above, at in rule))
+        if 1 / (1 + np.exp(-total)) >= 0.3:
+            want.add(r.doc_id)
+    assert kept == want
