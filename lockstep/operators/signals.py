@@ -190,7 +190,7 @@ def standardised(frame: DataFrame, columns: list[str], least: dict[str, Column]
     return filled.join(F.broadcast(scale)).withColumns(z).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
-def generalisation(frame: DataFrame, unit: str, key: list[str], at: str, value: str) -> DataFrame:
+def time_correlations(frame: DataFrame, unit: str, key: list[str], at: str, value: str) -> DataFrame:
     """Training time against test time: the correlation over units of the values at both, for each key. A unit has one row for each time, so that its pairs are few."""
     other = frame.select(unit, *key, F.col(at).alias("t_test"), F.col(value).alias("_y"))
     both = frame.withColumnRenamed(at, "t_train").join(other, [unit, *key])

@@ -125,14 +125,14 @@ def balanced_half_means(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ev.join(F.broadcast(halves), "block").groupBy("split", "half").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "mean")
 
 
-@query(f"""WITH {EV}, {HALF_SQL}, k AS (SELECT split, list_sort(list(block) FILTER (WHERE half = 1)) AS a, list_sort(list(block) FILTER (WHERE half = 2)) AS b FROM rows_ GROUP BY split),
-n AS (SELECT count(DISTINCT user_id) AS users FROM ev)
-SELECT CAST(split AS INTEGER) AS split, least(array_to_string(a, ','), array_to_string(b, ',')) AS key, users FROM k, n""")
+@query("""WITH m AS (SELECT l_suppkey AS split, l_linenumber AS block, avg(l_quantity) > 25 AS first FROM lineitem GROUP BY ALL),
+k AS (SELECT split, coalesce(list_sort(list(block) FILTER (WHERE first)), []) AS a FROM m GROUP BY split), b AS (SELECT *, list_filter(range(1, 8), lambda x: NOT list_contains(a, x)) AS b FROM k)
+SELECT split, least(array_to_string(a, ','), array_to_string(b, ',')) AS key FROM b""")
 def split_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """The name of each split, the same for its complement, with the users that it is applied to."""
-    first = perm.assignment_rows(spark, ["events"]).where("half = 1").groupBy("split").agg(F.collect_list("block").alias("a"))
-    users = table(spark, folder, "events").agg(F.count_distinct("user_id").alias("users"))
-    return first.select("split", perm.split_key(F.col("a"), F.sequence(F.lit(1), F.lit(8))).alias("key")).join(F.broadcast(users))
+    """Suppliers as splits of seven line numbers, those with a mean quantity over 25 as one half: a name for each, the same for its complement."""
+    m = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("split"), F.col("l_linenumber").alias("block")).agg((F.avg("l_quantity") > 25).alias("first"))
+    halves = m.groupBy("split").agg(F.array_sort(F.collect_list(F.when(F.col("first"), F.col("block").cast("int")))).alias("a"))
+    return halves.select("split", perm.split_key(F.col("a"), F.sequence(F.lit(1), F.lit(7))).alias("key"))
 
 
 @query(f"""WITH {EV}, u AS (SELECT user_id, max(n) AS n FROM ev GROUP BY user_id) SELECT user_id, CAST(greatest(0, n - 2 * 20 + 1) AS BIGINT) AS shifts, CASE WHEN n >= 40 THEN 20 END AS first, CASE WHEN n >= 40 THEN CAST(n - 20 AS INTEGER) END AS last FROM u""")

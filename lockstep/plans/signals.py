@@ -147,21 +147,21 @@ TG = f"{MEANS}, tg AS (SELECT a.family, a.time AS t_train, b.time AS t_test, cor
 
 
 @query(f"WITH {TG} SELECT family, t_train, t_test, round(score, 6) AS score, n FROM tg")
-def temporal_generalisation(spark: SparkSession, folder: str) -> DataFrame:
+def time_correlations(spark: SparkSession, folder: str) -> DataFrame:
     """Every month against every month over subjects, by family."""
-    return rounded(signals.generalisation(_means(spark, folder), "subject", ["family"], "time", "v"), "score")
+    return rounded(signals.time_correlations(_means(spark, folder), "subject", ["family"], "time", "v"), "score")
 
 
 @query(f"WITH {TG} SELECT family, t_test - t_train AS lag, round(avg(score), 6) AS score FROM tg GROUP BY ALL")
 def realigned_diagonals(spark: SparkSession, folder: str) -> DataFrame:
-    matrix = signals.generalisation(_means(spark, folder), "subject", ["family"], "time", "v")
+    matrix = signals.time_correlations(_means(spark, folder), "subject", ["family"], "time", "v")
     return rounded(signals.diagonal_means(matrix, ["family"]), "score")
 
 
 @query(f"""WITH {TG}, r AS (SELECT family, t_train, count(*) FILTER (WHERE score > 0.05) AS width, max(score) FILTER (WHERE t_train = t_test) AS own FROM tg GROUP BY ALL)
 SELECT family, round(coalesce(avg(width) FILTER (WHERE own > 0.05), avg(width)), 6) AS width, count(*) FILTER (WHERE own > 0.05) AS rows_above FROM r GROUP BY family""")
 def sustained_width(spark: SparkSession, folder: str) -> DataFrame:
-    matrix = signals.generalisation(_means(spark, folder), "subject", ["family"], "time", "v")
+    matrix = signals.time_correlations(_means(spark, folder), "subject", ["family"], "time", "v")
     return rounded(signals.sustained(matrix, ["family"], 0.05), "width")
 
 
