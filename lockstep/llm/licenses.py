@@ -53,6 +53,31 @@ TEMPLATES = {
         License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
         software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
         See the License for the specific language governing permissions and limitations under the License.""",
+    "notice:mit-terms": "licensed under [[the terms of]] [[the]] mit license",
+    "notice:gpl-2.0": "gnu general public license [[{{2}}]] version 2",
+    "notice:gpl-3.0": "gnu general public license [[{{2}}]] version 3",
+    "notice:lgpl-2.1": "gnu lesser general public license [[{{2}}]] version 2 1",
+    "notice:lgpl-3.0": "gnu lesser general public license [[{{2}}]] version 3",
+    "notice:agpl-3.0": "gnu affero general public license [[{{2}}]] version 3",
+    "notice:mpl-2.0": "mozilla public license [[version]] [[v]] 2 0",
+    "notice:epl-2.0": "eclipse public license [[version]] [[v]] 2 0",
+    "notice:bsl-1.0": "distributed under the boost software license version 1 0",
+    "notice:cc0-1.0": "cc0 1 0 [[universal]]",
+    "notice:spdx": "spdx license identifier {{3}}",
+    "header:gpl": """This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU [[Lesser]] [[Affero]] General Public License
+        as published by the Free Software Foundation[[,]] either version {{2}} of the License, or (at your option) any later version.""",
+    "header:mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at {{1}} mozilla.org/MPL/2.0""",
+    "license:zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will {{6}} be held liable for any damages arising
+        from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter
+        it and redistribute it freely, subject to the following restrictions: [[1.]] The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+        not required. [[2.]] Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. [[3.]] This
+        notice may not be removed or altered from any source distribution.""",
+    "license:unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "license:0bsd": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS
+        PROVIDED "AS IS" AND {{6}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
     "notice:cc-work": """This work is licensed under [[a]] [[the]] Creative Commons Attribution [[NonCommercial]] [[NoDerivatives]] [[NoDerivs]] [[ShareAlike]]
         {{2}} [[International]] [[Unported]] License""",
 }

@@ -182,3 +182,18 @@ def test_labels_and_score_of_whole_texts(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, label in enumerate(licenses.TEMPLATES):
         assert label in got[k].labels.split(",") and got[k].score == 1 - 2.0 ** -(got[k].n_base + 2 * len(got[k].matches))
+
+
+def test_common_notices_and_versions(spark):
+    texts = {
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": {"header:gpl"},
+        "GNU General Public License, version 2, or GNU Lesser General Public License (LGPL) version 2.1": {"notice:gpl-2.0", "notice:lgpl-2.1"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": {"header:mpl-2.0", "notice:mpl-2.0"},
+        "// SPDX-License-Identifier: Apache-2.0": {"notice:spdx"},
+        "It is licensed under the terms of the MIT license.": {"notice:mit-terms"},
+        "This is free and unencumbered software released into the public domain by nobody.": set(),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan_licenses(docs).collect()}
+    for i, want in enumerate(texts.values()):
+        assert want <= found[i] and (want or not found[i])
