@@ -94,11 +94,16 @@ def han(text: Column) -> Column:
 
 
 def canonical(frame: DataFrame, column: str, inventory: DataFrame, entry: str) -> DataFrame:
-    """``canonical``: the longest entry of a small inventory that the text begins with, else null."""
-    entries = inventory.agg(F.collect_set(entry).alias("_all"))
-    fit = F.filter("_all", lambda e: F.col(column).startswith(e))
-    longest = F.aggregate(fit, F.lit(""), lambda best, e: F.when(F.char_length(e) > F.char_length(best), e).otherwise(best))
-    return frame.join(F.broadcast(entries)).withColumn("canonical", F.when(longest != "", longest)).drop("_all")
+    """``canonical``: the longest entry of an inventory that the text begins with, else null.
+
+    Each distinct text meets the inventory by its beginnings, no longer than the longest entry: an equi-join, however large the inventory.
+    """
+    entries = inventory.select(F.col(entry).alias("_e")).where("_e <> ''").distinct()
+    longest = entries.agg(F.max(F.char_length("_e")).alias("_m"))
+    texts = frame.select(F.col(column).alias("_text")).where("_text <> ''").distinct().join(F.broadcast(longest)).where("_m is not null")
+    starts = texts.select("_text", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.char_length("_text"), F.col("_m"))), lambda k: F.left("_text", k))).alias("_e"))
+    found = starts.join(entries, "_e").groupBy("_text").agg(F.max_by("_e", F.char_length("_e")).alias("canonical"))
+    return frame.join(found, F.col(column) == F.col("_text"), "left").drop("_text")
 
 
 def occupancy(pieces: DataFrame, key: list[str], level: str, levels: list[str], on: str, off: str) -> DataFrame:
@@ -124,8 +129,13 @@ def inventory(expected: DataFrame, found: DataFrame, key: list[str], size: str)
     return both.withColumn("problem", problem)
 
 
-def nearest_sample(wanted: DataFrame, axis: DataFrame, at: str, index: str) -> DataFrame:
-    """The samples of a short time axis that are nearest to the wanted times, each once; times outside the axis drop out."""
+def nearest_sample(wanted: DataFrame, axis: DataFrame, at: str, index: str, most: int = 1 << 16) -> DataFrame:
+    """The samples of a short time axis that are nearest to the wanted times, each once; times outside the axis drop out.
+
+    The axis travels with the times: more than ``most`` samples are an error (``joins.nearest_in_time`` takes any number).
+    """
+    if axis.limit(most + 1).count() > most:
+        raise ValueError(f"an axis of more than {most} samples")
     whole = axis.agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(index).alias("i")))).alias("_axis"))
     inside = wanted.join(F.broadcast(whole)).where((F.col(at) >= F.array_min("_axis.t")) & (F.col(at) <= F.array_max("_axis.t")))
     best = F.array_min(F.transform("_axis", lambda p: F.struct(F.abs(p["t"] - F.col(at)).alias("d"), p["i"].alias("i"))))

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lockstep.operators import alignment
 from lockstep.operators import features as fe
 from lockstep.operators import summaries as agg
-from lockstep.sources import tables
+from lockstep.sources import feature_store, tables
 
 
 def test_columns_have_families(spark):
@@ -64,3 +65,36 @@ def test_syllables(spark):
     rows = spark.createDataFrame([(c,) for c in cases], "s string")
     got = [tuple(r) for r in rows.select("s", *fe.syllable_parts(F.col("s"))).collect()]
     assert all(g[1:] == cases[g[0]] or g[0] is None for g in got)
+
+
+def test_features_on_disk(spark, tmp_path):
+    path, names = str(tmp_path / "store"), {"pitch": ["low", "high"], "env": ["size"]}
+    rows = [("pitch", s, p, [float(p), float(s)]) for s in (1, 2) for p in range(5)] + [("env", s, p, [0.5]) for s in (1, 2) for p in range(3)]
+    frame = spark.createDataFrame(rows, "feature string, section int, place long, values array<double>")
+    feature_store.write_features(frame, path, names)
+    got = feature_store.read_features(spark, path, ["pitch"], [2])
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[:2] == ("pitch", 2))
+    assert feature_store.read_features(spark, path, ["pitch", "env"]).count() == 16 and feature_store.feature_names(spark, path, "pitch") == ["low", "high"]
+    feature_store.write_features(frame.where("feature = 'env' and section = 2 and place < 2"), path, {"env": ["size"]})
+    assert feature_store.read_features(spark, path, ["env"]).count() == 5 and feature_store.feature_names(spark, path, "pitch") == ["low", "high"]
+    for bad in (("pitch", 1, 0, [1.0]), ("pitch", 1, 0, [1.0, float("nan")]), ("pitch", None, 0, [1.0, 1.0]), ("pitch", 1, None, [1.0, 1.0]), ("pitch", 1, 0, None), ("other", 1, 0, [1.0])):
+        with pytest.raises(tables.ContractError):
+            feature_store.write_features(spark.createDataFrame([bad], frame.schema), path, names)
+    with pytest.raises(tables.ContractError):
+        feature_store.write_features(frame.union(frame), path, names)
+    with pytest.raises(tables.ContractError):
+        feature_store.read_features(spark, path, ["pitch"], [1, 3])
+    frame.where("feature = 'env' and section = 1").withColumn("place", F.col("place") + 1).drop("feature", "section").write.mode("overwrite").parquet(f"{path}/blocks/feature=env/section=1")
+    with pytest.raises(tables.ContractError):
+        feature_store.read_features(spark, path, ["env"])
+    assert feature_store.read_features(spark, path, ["pitch"]).count() == 10
+
+
+def test_longest_entry_that_begins_a_text(spark):
+    rows = spark.createDataFrame([("zhang",), ("z",), ("",), (None,), ("éa",), ("q",), ("zhang",)], "t string")
+    entries = spark.createDataFrame([("z",), ("zh",), ("",), ("é",), (None,), ("zhangx",)], "e string")
+    assert sorted(map(tuple, alignment.canonical(rows, "t", entries, "e").collect()), key=str) == sorted([("zhang", "zh"), ("zhang", "zh"), ("z", "z"), ("", None), (None, None), ("éa", "é"), ("q", None)], key=str)
+    assert alignment.canonical(rows, "t", entries.limit(0), "e").where("canonical is not null").count() == 0
+    axis = spark.createDataFrame([(0.5 * i, i) for i in range(5)], "t double, i int")
+    with pytest.raises(ValueError):
+        alignment.nearest_sample(axis, axis, "t", "i", most=4)
