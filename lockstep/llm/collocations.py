@@ -104,7 +104,7 @@ def count_longer(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """lang, phrase, f of all triples whose two pairs are among ``pairs`` (lang, phrase), and of a few others.
 
     A triple is at most as frequent as its pairs. A filter of bits over the pairs, 64 MB at most, tells each shard which intervals to extend: it
-    lets through all of ``pairs``, so that the counts of their triples are whole; a count of another triple may be too small, and never too large.
+    lets through all of ``pairs``, and is the same everywhere, so that every count is whole.
     """
     spark = texts.sparkSession
     bits = key_bits(pairs, hashed=_pair_column(F.col("phrase")))

@@ -40,7 +40,7 @@ def count_words(docs: DataFrame, least: int = 7, every: int = 31, held: int = 20
             for part in text_slices(batch, "text"):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True):
                     start = zlib.crc32(f"{'null' if doc_id is None else doc_id}:".encode())
-                    for word, n in Counter(_RUNS(text.translate(_LOWER).decode())).items():
+                    for word, n in Counter(_RUNS(text.translate(_LOWER).decode("utf-8", "replace"))).items():
                         if len(word) >= least:
                             h = zlib.crc32(word.encode(), start)
                             if h % every == 0:
