@@ -11,13 +11,17 @@ def mean_over_valid(scores: DataFrame, key: list[str], value: str, valid: Column
     return scores.where(valid).groupBy(*key).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(value).alias("n"))
 
 
-def quantiles(frame: DataFrame, key: list[str], value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+def quantiles(frame: DataFrame, key: list[str], value: str, shares: dict[str, float], parts: int = 64, most: int = 1 << 17) -> DataFrame:
     """Exact quantiles, interpolated between neighbours, by key: a column for each name in ``shares``. Null values are left out.
 
-    No task holds the values of a key: they are counted by value first, ranged over ``parts`` slices of each key at approximate
+    Where no key has more than ``most`` values, Spark's own aggregate takes them. Else no task holds the values of a key: they are counted by value first, ranged over ``parts`` slices of each key at approximate
     quantiles, and only the slices' totals and each slice are put in order. Keys match null-safe.
     """
-    counts = frame.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    known = frame.where(F.col(value).isNotNull())
+    if (known.groupBy(*key).agg(F.count("*").alias("_c")).agg(F.max("_c")).first()[0] or 0) <= most:
+        found = known.groupBy(*key).agg(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares.values()])).alias("_q"))
+        return found.select(*key, *[F.col("_q")[k].alias(name) for k, name in enumerate(shares)])
+    counts = known.groupBy(*key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     edges = counts.groupBy(*key).agg(F.approx_percentile("_v", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
     cut = _beside(counts, edges, key).withColumn("_part", F.aggregate("_edges", F.lit(0), lambda n, e: n + (e < F.col("_v")).cast("int"))).drop("_edges")
     slices = cut.groupBy(*key, "_part").agg(F.sum("_c").alias("_m"))

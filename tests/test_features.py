@@ -98,3 +98,11 @@ def test_longest_entry_that_begins_a_text(spark):
     axis = spark.createDataFrame([(0.5 * i, i) for i in range(5)], "t double, i int")
     with pytest.raises(ValueError):
         alignment.nearest_sample(axis, axis, "t", "i", most=4)
+
+
+def test_quantiles_of_small_and_large_keys_agree(spark):
+    rows = [("a", float(i * 37 % 101)) for i in range(101)] + [("b", 1.0)] * 5 + [("b", 2.0), (None, 3.0), ("c", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    shares = {"low": 0.1, "mid": 0.5, "high": 0.975}
+    small, large = (sorted((r.k or "", round(r.low, 9), round(r.mid, 9), round(r.high, 9)) for r in agg.quantiles(frame, ["k"], "v", shares, most=m).collect()) for m in (1 << 17, 0))
+    assert small == large == [("", 3.0, 3.0, 3.0), ("a", 10.0, 50.0, 97.5), ("b", 1.0, 1.0, 1.875)]
