@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
 
+#: Tasks that units are dealt to before they are repeated: a table of units is small, their repetitions are not.
+PARTS = 64
+
 
 def repetitions(frame: DataFrame, n: int) -> DataFrame:
     """``frame`` once for each repetition 0..n; 0 is the data as observed."""
@@ -39,9 +42,12 @@ def empirical_p(stats: DataFrame, key: list[str], stat: str) -> DataFrame:
 
 
 def bootstrap_rows(frame: DataFrame, key: list[str], unit: str, n: int) -> DataFrame:
-    """Rows drawn with replacement within each key: one for each row and repetition 1..n, by hashed place."""
+    """Rows drawn with replacement within each key: one for each row and repetition 1..n, by hashed place. A null unit has the last place, as in SQL.
+
+    Draws meet rows by a merge: Spark's estimates don't see that the draws are ``n`` times the rows, and would send them through the driver.
+    """
     w = Window.partitionBy(*key)
-    placed = frame.withColumn("_k", F.row_number().over(w.orderBy(unit)) - 1).withColumn("_n", F.count("*").over(w))
-    draws = repetitions(placed.select(*key, F.col(unit).alias("_u"), "_n"), n).where("rep > 0")
+    placed = frame.withColumn("_k", F.row_number().over(w.orderBy(F.asc_nulls_last(unit))) - 1).withColumn("_n", F.count("*").over(w))
+    draws = repetitions(placed.select(*key, F.col(unit).alias("_u"), "_n").repartition(PARTS, "_u"), n).where("rep > 0")
     draws = draws.withColumn("_k", F.floor(hash_unit(F.lit("boot"), F.col("rep"), F.col("_u")) * F.col("_n")).cast("int")).drop("_n", "_u")
-    return draws.join(placed.drop("_n"), [*key, "_k"]).drop("_k")
+    return draws.join(placed.drop("_n").hint("merge"), [*key, "_k"]).drop("_k")
