@@ -23,15 +23,16 @@ def sign_flips(frame: DataFrame, unit: str, n: int) -> DataFrame:
 
 
 def shuffled_labels(units: DataFrame, unit: str, label: str, n: int) -> DataFrame:
-    """unit, rep, label: labels dealt anew among all units in each repetition, group sizes kept; as they are in repetition 0.
+    """unit, rep, label: labels dealt anew among all units in each repetition, group sizes kept; as they are in repetition 0. A null unit has the last place, as in SQL.
 
-    Units are few (one row each); the windows sort them within a repetition.
+    The windows sort the units (one row each) within a repetition. Labels, once each, meet the places of all repetitions by a merge:
+    Spark's estimates don't see that these are ``n`` times the units, and would send them through the driver.
     """
-    reps = repetitions(units.select(unit, label), n)
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.when(F.col("rep") > 0, hash_unit(F.lit("label"), F.col("rep"), F.col(unit))).otherwise(F.lit(0.0)), unit))
-    sorted_units = reps.select("rep", unit, place.alias("_k"))
-    labels = reps.select("rep", F.row_number().over(Window.partitionBy("rep").orderBy(unit)).alias("_k"), label)
-    return sorted_units.join(labels, ["rep", "_k"]).drop("_k")
+    reps = repetitions(units.select(unit).repartition(PARTS, unit), n)
+    order = F.when(F.col("rep") > 0, hash_unit(F.lit("label"), F.col("rep"), F.col(unit))).otherwise(F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(order, F.asc_nulls_last(unit)))
+    labels = units.select(F.row_number().over(Window.orderBy(F.asc_nulls_last(unit))).alias("_k"), label)
+    return reps.select("rep", unit, place.alias("_k")).join(labels.hint("merge"), "_k").drop("_k")
 
 
 def empirical_p(stats: DataFrame, key: list[str], stat: str) -> DataFrame:
