@@ -135,3 +135,13 @@ def test_label_cluster_test_without_large_broadcasts(spark, suppliers, items):
     assert len(want) > 3 and min(w[-1] for w in want) < 0.05
     assert sorted((r.family, r.first, r["last"], r.size) for r in got) == sorted(w[:4] for w in want)
     assert np.allclose([r[4:] for r in sorted(map(tuple, got))], [w[4:] for w in sorted(want)], atol=2e-6)
+
+
+def test_label_permutation_test_without_large_broadcasts(spark, suppliers):
+    folder, rows = suppliers
+    asked = queries()["label_permutation_test"](spark, folder)
+    got = asked.collect()
+    assert broadcast_rows(asked) < 50 * SUPPLIERS
+    x = np.array([r[2] for r in rows])
+    d = np.array([x[labels].mean() - x[~labels].mean() for labels in dealt(rows, lambda r: r[1] < 12)])
+    assert [tuple(r) for r in got] == [pytest.approx((d[0], (1 + np.sum(np.abs(d[1:]) >= abs(d[0]) - 1e-9)) / 201), abs=2e-6)]
