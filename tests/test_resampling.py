@@ -145,3 +145,22 @@ def test_label_permutation_test_without_large_broadcasts(spark, suppliers):
     x = np.array([r[2] for r in rows])
     d = np.array([x[labels].mean() - x[~labels].mean() for labels in dealt(rows, lambda r: r[1] < 12)])
     assert [tuple(r) for r in got] == [pytest.approx((d[0], (1 + np.sum(np.abs(d[1:]) >= abs(d[0]) - 1e-9)) / 201), abs=2e-6)]
+
+
+def test_metric_contrasts_without_large_broadcasts(spark, suppliers, items):
+    folder, rows = suppliers
+    asked = queries()["metric_contrasts"](spark, folder)
+    got = {(r.family, r.metric): tuple(r[c] for c in ("n_a", "n_b", "mean_a", "mean_b", "g", "p")) for r in asked.collect()}
+    assert broadcast_rows(asked) < 50 * SUPPLIERS
+    held = {}
+    for s, f, _, x in items:
+        held.setdefault((s, f), []).append(x)
+    names, table = cells((s, (f, metric), take(xs)) for (s, f), xs in held.items() for metric, take in (("mean", np.mean), ("top", max)))
+    deals, want = dealt(rows, lambda r: r[1] < 12), {}
+    for name, v in zip(names, table.T, strict=True):
+        d = np.array([np.nanmean(v[labels]) - np.nanmean(v[~labels]) for labels in deals])
+        a, b = (v[at & ~np.isnan(v)] for at in (deals[0], ~deals[0]))
+        df = len(a) + len(b) - 2
+        g = (1 - 3 / (4 * df - 1)) * d[0] / np.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / df)
+        want[name] = (len(a), len(b), a.mean(), b.mean(), g, (1 + np.sum(np.abs(d[1:]) >= abs(d[0]) - 1e-9)) / 201)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
