@@ -164,3 +164,16 @@ def test_metric_contrasts_without_large_broadcasts(spark, suppliers, items):
         g = (1 - 3 / (4 * df - 1)) * d[0] / np.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / df)
         want[name] = (len(a), len(b), a.mean(), b.mean(), g, (1 + np.sum(np.abs(d[1:]) >= abs(d[0]) - 1e-9)) / 201)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_omnibus_f_test_without_large_broadcasts(spark, suppliers):
+    folder, rows = suppliers
+    asked = queries()["omnibus_f_test"](spark, folder)
+    got = asked.collect()
+    assert broadcast_rows(asked) < 50 * SUPPLIERS
+    x, f = np.array([r[2] for r in rows]), []
+    for labels in dealt(rows, lambda r: r[1] % 4):
+        groups = [x[labels == k] for k in range(4)]
+        between = sum(len(g) * (g.mean() - x.mean()) ** 2 for g in groups) / 3
+        f.append(between / (sum(((g - g.mean()) ** 2).sum() for g in groups) / (len(x) - 4)))
+    assert [tuple(r) for r in got] == [pytest.approx((f[0], (1 + np.sum(np.array(f[1:]) >= f[0] - 1e-9)) / 201), abs=2e-6)]
